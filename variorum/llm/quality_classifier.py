@@ -104,7 +104,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
             w, bias = train([texts[i] for i in order], np.array([ys[i] for i in order], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
-    got = rows.coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = rows.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
     return Model(np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias) if got else Model(np.zeros(BUCKETS), 0.0)
 
 
