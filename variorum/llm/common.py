@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +42,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; keeps the ones seen last, up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+WHITE = bytes([0x20, *range(0x09, 0x0E)])
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordHashes:
+    """64-bit hashes of the words of whole blocks of texts: sums over the bytes of an Arrow buffer, without a Python object a word."""
+
+    def __init__(self, gaps: bytes = WHITE, lower: bool = False):
+        self.gap = np.zeros(256, bool)
+        self.gap[list(gaps)] = True
+        self.value = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
+        if lower:
+            self.value[65:91] = self.value[97:123]
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, text after text, and where each text's begin (one more offset than texts). Null: no words."""
+        column = column.cast(pa.binary()).fill_null(b"")
+        if not len(column):
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        _, offsets, data = column.buffers()
+        off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        text = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+        off -= off[0]
+        n = len(text)
+        if len(self.up) <= n:
+            self.up, self.down = powers(BASE, n + (n >> 2)), powers(INVERSE, n + (n >> 2))
+        inside = ~self.gap[text]
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        before = np.zeros(n + 1, bool)
+        before[1:] = inside
+        after = np.zeros(n + 1, bool)
+        after[:-1] = inside
+        starts = np.flatnonzero(after & (~before | edge))
+        ends = np.flatnonzero(before & (~after | edge))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[text] * self.up[:n], dtype=np.uint64, out=total[1:])
+        return mix((total[ends] - total[starts]) * self.down[starts]), np.searchsorted(starts, off)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, mix, slices, small, table, written
+from .common import WordHashes, mix, slices, small, table, written
 from .components import components
 
 N = 5
@@ -109,10 +109,11 @@ def signatures(u: np.ndarray, band: int, segments: int, h: int) -> np.ndarray:
 
 class Sets:
     def __init__(self):
-        self.hashes = WordHashes()
+        self.hashes = WordHashes(lower=True)
 
-    def of(self, text: bytes) -> np.ndarray:
-        return shingles(self.hashes.of(text.lower().split()))
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        flat, at = self.hashes(texts)
+        return [shingles(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def all_signatures(u: np.ndarray, bands: Bands) -> np.ndarray:
@@ -137,8 +138,8 @@ def classes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for b in slices(batches, 1000):
-            found = [sets.of(t) for t in byte_texts(b.column(2))]
+        for b in slices(batches, 1000, 2 << 20):
+            found = sets(b.column(2))
             n = np.array([len(u) for u in found], np.int64)
             cls = np.array([class_of(u) if len(u) else 0 for u in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(n), pa.array(cls, mask=n == 0)], ["doc_id", "key", "n_shingles", "cls"])
@@ -151,10 +152,9 @@ def indexed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, bands, seen = Sets(), Bands(), set()
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, 2 << 20):
             sigs, names = [], []
-            for t in byte_texts(b.column(0)):
-                u = sets.of(t)
+            for u in sets(b.column(0)):
                 if len(u) and (name := class_of(u)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(name)
@@ -193,8 +193,8 @@ def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for b in slices(batches, 500):
-            found = [sets.of(t) for t in byte_texts(b.column(2))]
+        for b in slices(batches, 500, 2 << 20):
+            found = sets(b.column(2))
             bits = [np.packbits(np.bincount((u & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64) for u in found]
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).view(np.int64))) for xs in (found, bits)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) for u in found], pa.int64()), *lists], ["cls", "key", "n", "u", "bits"])

@@ -27,19 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, mix, slices, table
+from .common import BASE, INVERSE, WordHashes, byte_texts, mix, powers, slices, table
 
 WINDOW, GRAM = 35, 16
 CELLS = 1 << 27
 CHUNK = 1 << 17  # bytes of a plane in a chunk
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 class Rolling:
@@ -71,15 +63,13 @@ class Windows:
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram, self.hashes, self.roll = window, gram, WordHashes(), Rolling()
 
-    def load(self, texts: list[bytes]) -> bool:
+    def load(self, texts: pa.Array) -> bool:
         """False if no document has a window."""
-        cut = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in cut], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+        self.flat, self.offsets = self.hashes(texts)
+        self.counts = np.diff(self.offsets)
         w, g = self.window, self.gram
         if self.counts.max(initial=0) < w:
             return False
-        self.flat = np.concatenate([self.hashes.of(x) for x in cut])
         n = len(self.flat)
         last = np.repeat(self.offsets[1:], self.counts)  # the end of each word's document
         at = np.arange(n)
@@ -134,8 +124,8 @@ def sketch(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, w = Sketch(cells), Windows(window, gram)
-        for b in slices(batches, 1000):
-            if w.load(byte_texts(b.column(0))):
+        for b in slices(batches, 1000, 2 << 20):
+            if w.load(b.column(0)):
                 s.add(w.anchors)
         for k in range(0, len(s.once), chunk):
             once, twice = s.once[k : k + chunk], s.twice[k : k + chunk]
@@ -191,8 +181,8 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, twice = Windows(window, gram), plane.value
-        for b in slices(batches, 1000):
-            if not w.load(byte_texts(b.column(1))):
+        for b in slices(batches, 1000, 2 << 20):
+            if not w.load(b.column(1)):
                 continue
             keep = np.flatnonzero(w.valid)
             keep = keep[repeated(w.anchor[keep], twice)]
@@ -217,7 +207,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: i
     marks = repeats(rows, window, gram, cells).groupBy("key").agg(F.collect_list("pos").alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, 2 << 20):
             n, removed, kept = [], [], []
             marks = b.column(2)
             for i, text in enumerate(byte_texts(b.column(1))):
