@@ -125,6 +125,11 @@ class Scores(dict):
         return z
 
 
+def scores(texts: list[bytes], words: Scores, bias: float) -> np.ndarray:
+    z = np.array([sum(map(words.__getitem__, t.split()), 0j) for t in texts], np.complex128)
+    return 1 / (1 + np.exp(-np.clip(z.real / np.maximum(z.imag, 1) + bias, -500, 500)))
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row; one pass, no shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -133,14 +138,25 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         words = Scores(m.weights.tolist())
         for b in slices(batches, 2000):
-            z = [sum(map(words.__getitem__, t.split()), 0j) for t in byte_texts(b.column(1))]
-            z = np.array(z, np.complex128)
-            logit = z.real / np.maximum(z.imag, 1) + m.bias
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(byte_texts(b.column(1)), words, m.bias))], ["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def filter_rows(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows with a score of at least `least`, all columns as they are; one pass, no shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        words = Scores(m.weights.tolist())
+        for b in slices(batches, 2000):
+            yield b.filter(pa.array(scores(byte_texts(b.column(at)), words, m.bias) >= least))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, INVERSE, WordHashes, byte_texts, mix, powers, slices, table
 
@@ -201,13 +202,14 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
-def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
-    rows = keyed(documents.select("doc_id", "text"))
+def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row; with carry, text and those columns too."""
+    rows = keyed(documents)
     marks = repeats(rows, window, gram, cells).groupBy("key").agg(F.collect_list("pos").alias("marks"))
+    names = [] if carry is None else ["text", *carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000, 2 << 20):
+        for b in slices(batches, 1000):
             n, removed, kept = [], [], []
             marks = b.column(2)
             for i, text in enumerate(byte_texts(b.column(1))):
@@ -222,10 +224,12 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: i
                     words = [words[j] for j in np.flatnonzero(stay)]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            rest = [b.column(1), *b.columns[3:]] if names else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *rest], ["doc_id", "n_words", "n_removed", "kept", *names])
 
-    joined = rows.join(marks, "key", "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    joined = rows.join(marks, "key", "left").select("doc_id", "text", "marks", *(carry or []))
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(documents.schema[c] for c in names)])
+    return joined.mapInArrow(cut, out)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
