@@ -204,9 +204,8 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row; with carry, text and those columns too."""
-    rows = keyed(documents)
+    rows = keyed(documents.select("doc_id", "text", F.struct(*(documents[c] for c in carry or [])).alias("rest") if carry else F.lit(None).cast("int").alias("rest")))
     marks = repeats(rows, window, gram, cells).groupBy("key").agg(F.collect_list("pos").alias("marks"))
-    names = [] if carry is None else ["text", *carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
@@ -224,12 +223,14 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: i
                     words = [words[j] for j in np.flatnonzero(stay)]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            rest = [b.column(1), *b.columns[3:]] if names else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *rest], ["doc_id", "n_words", "n_removed", "kept", *names])
-
-    joined = rows.join(marks, "key", "left").select("doc_id", "text", "marks", *(carry or []))
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(documents.schema[c] for c in names)])
-    return joined.mapInArrow(cut, out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(1), b.column(3)], ["doc_id", "n_words", "n_removed", "kept", "text", "rest"])
+
+    joined = rows.join(marks, "key", "left").select("doc_id", "text", "marks", "rest")
+    fields = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("text", T.StringType()), ("rest", rows.schema["rest"].dataType)]
+    out = joined.mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
+    if carry is None:
+        return out.drop("text", "rest")
+    return out.select("doc_id", "n_words", "n_removed", "kept", "text", *(["rest.*"] if carry else []))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
