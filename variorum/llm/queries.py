@@ -6,6 +6,7 @@ from .byte_bpe import op2_byte_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .decontamination import op9_decontamination
 from .jaccard_join import op4_jaccard_join
+from .license_scan import op5_license_scan
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .substring_dedup import op6_substring_dedup
@@ -16,8 +17,8 @@ from .url_filter import OP3_SQL, op3_url_filter
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_jaccard_join, op6_substring_dedup,
-        op7_chat_format, op8_suffix_dedup, op9_decontamination, op10_quality_classifier,
+        op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_jaccard_join, op5_license_scan,
+        op6_substring_dedup, op7_chat_format, op8_suffix_dedup, op9_decontamination, op10_quality_classifier,
     )
 }
 # fmt: on
