@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import collation, texts
+
+_MODULES = (texts, collation)
+QUERIES = {name: f for m in _MODULES for name, f in m.registry.queries.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.registry.sql.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    """The table of readings of the smallest documents."""
+    return collation.f21_variant_table(spark, "/root/testdata/sf0.001")
