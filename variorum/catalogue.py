@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import collation, texts
+from .plans import collation, projects, stemma, texts
 
-_MODULES = (texts, collation)
+_MODULES = (texts, collation, projects, stemma)
 QUERIES = {name: f for m in _MODULES for name, f in m.registry.queries.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.registry.sql.items()}
 
