@@ -5,8 +5,10 @@ sets of sizes a and b with similarity of at least 0.8 differ in at most H = (a +
 the partition of a band cuts the universe of hashes into segments, and since each difference spoils one segment, all but
 H segments of the larger set's band are equal in both sets.
 
-Allocation: segments are ordered by cost (the largest subsets are the rarest, ties by hash), and a set indexes only its
-first H + 1 subsets that are not empty, under its own band and, while it can be the smaller one, the next. The first
+Allocation: segments are ordered by cost, and a set indexes only its first H + 1 subsets that are not empty, under its
+own band and, while it can be the smaller one, the next. Subsets that are frequent in an eighth of all sets (those of
+passages that many texts share) cost most, then small ones, ties by hash; what is frequent is a broadcast bitmap of a
+fixed size, and decides only on the order, never on what is found. The first
 common subset in that order is among the H + 1 first ones of either set, so a pair is met if either set has as many.
 Sets with fewer add a second tier: all their subsets with their one-deletion neighbourhoods, which meet a segment with
 one difference too; where even this falls short of H + 1, a third tier of single elements.
@@ -83,11 +85,20 @@ class Bands:
 
     def segments(self, band: int) -> int:
         top = self.high[band]
-        return max(differences(top, top) + 2, round(0.3 * top))
+        return max(differences(top, top) + 2, round(0.5 * top))
 
 
-def signatures(u: np.ndarray, band: int, segments: int, h: int) -> np.ndarray:
-    """What a set indexes under a band's partition if partners may differ in h elements."""
+#: Bits of the bitmap of frequent subsets, the share of sets that it counts, and how many of those make a subset frequent.
+HOT_BITS, HOT_SHARE, HOT = 1 << 24, 8, 4
+
+
+def is_hot(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = sig & np.uint64(HOT_BITS - 1)
+    return (hot[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+
+
+def signatures(u: np.ndarray, band: int, segments: int, h: int, hot: np.ndarray | None) -> np.ndarray:
+    """What a set indexes under a band's partition if partners may differ in h elements; without a bitmap: all its subsets."""
     seg = ((u >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
     starts = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
     sizes = np.diff(starts, append=len(u))
@@ -95,8 +106,10 @@ def signatures(u: np.ndarray, band: int, segments: int, h: int) -> np.ndarray:
     sums = np.add.reduceat(mixed, starts)
     place = mix((np.uint64(band + 1) << np.uint64(32)) + seg[starts])
     sig = mix(sums ^ place)
+    if hot is None:
+        return sig
     if len(sig) > h:
-        return sig[np.lexsort((sig, -sizes))[: h + 1]] if len(sig) > h + 1 else sig
+        return sig[np.lexsort((sig, -sizes, is_hot(sig, hot)))[: h + 1]] if len(sig) > h + 1 else sig
     # second tier: all subsets with their one-deletion neighbourhoods
     many = np.repeat(sizes > 1, sizes)
     which = np.repeat(np.arange(len(sizes)), sizes)
@@ -116,15 +129,15 @@ class Sets:
         return [shingles(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def all_signatures(u: np.ndarray, bands: Bands) -> np.ndarray:
+def all_signatures(u: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.ndarray:
     size, most = len(u), len(u) * DEN // NUM
     if not differences(size, most):
         return u[:0]  # only equal sets are similar
     band = bands.of(size)
     bands.of(most)
-    found = [signatures(u, band, bands.segments(band), differences(size, min(most, bands.high[band])))]
+    found = [signatures(u, band, bands.segments(band), differences(size, min(most, bands.high[band])), hot)]
     if most > bands.high[band]:
-        found.append(signatures(u, band + 1, bands.segments(band + 1), differences(size, most)))
+        found.append(signatures(u, band + 1, bands.segments(band + 1), differences(size, most), hot))
     return np.concatenate(found)
 
 
@@ -147,18 +160,19 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, cls long")
 
 
-def indexed(rows: DataFrame) -> DataFrame:
-    """sig and cls: what each set indexes; copies of a set in one task do so once."""
+def indexed(rows: DataFrame, hot: np.ndarray | None) -> DataFrame:
+    """sig and cls: what each set indexes, copies of a set in one task once; without a bitmap, all subsets of a share of the sets."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bands, seen = Sets(), Bands(), set()
+        sets, bands, seen, hot = Sets(), Bands(), set(), shared.value
         for b in slices(batches, 1000, 2 << 20):
             sigs, names = [], []
             for u in sets(b.column(0)):
-                if len(u) and (name := class_of(u)) not in seen:
+                if len(u) and (name := class_of(u)) not in seen and (hot is not None or name % HOT_SHARE == 0):
                     if len(seen) < 1_000_000:
                         seen.add(name)
-                    if len(s := all_signatures(u, bands)):
+                    if len(s := all_signatures(u, bands, hot)):
                         sigs.append(s)
                         names.append(np.full(len(s), name, np.uint64))
             if sigs:
@@ -167,6 +181,17 @@ def indexed(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sig long, cls long")
 
 
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The bitmap of subsets that several of an eighth of all sets have."""
+    some = indexed(rows, None).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    at = F.col("sig").bitwiseAND(F.lit(HOT_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = some.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()  # HOT_BITS / 64 rows at most
+    hot = np.zeros(HOT_BITS // 64, np.int64)
+    hot[words.w.to_numpy(np.int64)] = words.bits.to_numpy(np.int64)
+    return hot.view(np.uint64)
+
+
 def buckets_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by sig and cls: sig, hub (the smallest cls of the sig) and cls, without repeats and without sigs of one class. Holds one batch."""
     last = hub = top = None  # of the row before: sig, its hub, cls
@@ -219,7 +244,7 @@ def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = keyed(documents)
     told = written(classes(rows), "classes")
-    index = indexed(rows).repartition("sig").sortWithinPartitions("sig", "cls")
+    index = indexed(rows, frequent(rows)).repartition("sig").sortWithinPartitions("sig", "cls")
     buckets = written(index.mapInArrow(buckets_of_two, "sig long, hub long, cls long"), "buckets")
     names = told.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"))
     met = written(names.join(buckets.select("cls").distinct(), "cls"), "met")
