@@ -14,8 +14,9 @@ Sets with fewer add a second tier: all their subsets with their one-deletion nei
 one difference too; where even this falls short of H + 1, a third tier of single elements.
 
 Equal sets count once. Sets that meet are verified exactly: first each with the smallest member of one of its buckets,
-then with those of all its buckets, then the rest of all pairs of a bucket that are still in different components. A
-pair in one component needs no test, so a group of near copies costs about one test a member. No bucket is capped.
+then, in a few rounds, with another neighbour in each of its buckets, then all pairs of a bucket that are still in
+different components. A pair in one component needs no test, so a group of near copies costs a few tests a member and
+bucket. No bucket is capped.
 
 Nulls and edge cases: a null or empty text has no shingles and is linked with nothing; rows sharing a doc_id must be
 repeats of one row; null doc_ids are named by their texts, and their component_id is null if none of it has a doc_id;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, slices, small, table, written
@@ -39,6 +40,8 @@ N = 5
 NUM, DEN = 80, 100
 #: Rows of a table that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Rounds of tests with neighbours before the rest of all pairs.
+ROUNDS = 3
 NO_ID = 1 << 62
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -260,23 +263,29 @@ def join(documents: DataFrame) -> DataFrame:
         apart = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         return comp, written(own.join(apart, "sig"), "apart")
 
-    first = written(buckets.where("hub <> cls").groupBy(F.col("cls").alias("y")).agg(F.min("hub").alias("x")).select("x", "y"), "pairs")
-    links = written(verified(first, sets), "links")
+    def untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        for t in tested:
+            pairs = pairs.join(t, ["x", "y"], "left_anti")
+        return written(pairs, "pairs")
+
+    tested = [untested(buckets.where("hub <> cls").groupBy(F.col("cls").alias("y")).agg(F.min("hub").alias("x")), [])]
+    links = written(verified(tested[0], sets), "links")
     comp, apart = merged(links)
-    if not apart.isEmpty():
-        hubs = apart.join(comp.toDF("hub", "hub_comp"), "hub").where("comp <> hub_comp").select(F.col("hub").alias("x"), F.col("cls").alias("y")).distinct()
-        second = written(hubs.join(first, ["x", "y"], "left_anti"), "pairs")
-        links = written(links.union(verified(second, sets)), "links")
+    for k in range(ROUNDS):
+        if apart.isEmpty():
+            break
+        # each class with another neighbour in each of its buckets: no more pairs than rows
+        w = Window.partitionBy("sig").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
+        near = apart.select(F.lag("cls").over(w).alias("x"), F.col("cls").alias("y"), F.lag("comp").over(w).alias("cx"), "comp").where("cx <> comp")
+        tested.append(untested(near, tested))
+        links = written(links.union(verified(tested[-1], sets)), "links")
         comp, apart = merged(links)
-        if not apart.isEmpty():
-            size = sets.select("cls", "n")
-            one = apart.join(size, "cls").select("sig", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-            two = one.toDF("sig", "y", "cy", "ny")
-            rest = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM))
-            done = first.union(second)
-            done = done.union(done.select("y", "x"))
-            third = written(rest.select("x", "y").distinct().join(done, ["x", "y"], "left_anti"), "pairs")
-            links = written(links.union(verified(third, sets)), "links")
+    if not apart.isEmpty():
+        one = apart.join(sets.select("cls", "n"), "cls").select("sig", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+        two = one.toDF("sig", "y", "cy", "ny")
+        rest = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM))
+        links = written(links.union(verified(untested(rest, tested), sets)), "links")
     c = components(links)
     found = names.join(c, names.key == c.node, "left").select("cls", F.coalesce("component", "key").alias("component"))
     out = told.join(found, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("c"))
