@@ -1,0 +1,232 @@
+"""Every operator against brute force on a small table of odd cases, and on an empty one."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from cases import messy
+from pyspark.sql import functions as F
+
+from variorum.llm import byte_bpe, chat_format, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, substring_dedup, suffix_array, suffix_dedup, url_filter
+
+ROWS = [(i, (t or "").encode()) for i, t, *_ in messy()]
+
+
+def collected(df, *columns):
+    return sorted(map(tuple, df.select("doc_id", *columns).collect()), key=str)
+
+
+def rules(text: bytes):
+    w = text.split()
+    at = defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i : i + 5])].append(i)
+    again = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in text.decode().split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", text.decode())), dup, len(again)
+
+
+def test_quality_rules(docs, empty):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = collected(quality_rules.measures(docs), *names)
+    assert got == sorted(((i, *rules(t)) for i, t in ROWS), key=str)
+    assert quality_rules.measures(empty).count() == 0
+
+
+def test_byte_bpe(docs, empty):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lines, pattern = byte_bpe.vocabulary()
+    ids = byte_bpe.encode(docs, lines, pattern)
+    assert ids.columns == [*docs.columns, "ids"]
+    assert collected(ids, "ids") == sorted(((i, e.encode_ordinary(t.decode())) for i, t in ROWS), key=str)
+    back = byte_bpe.decode(ids.select("doc_id", "ids"), lines, pattern)
+    assert sorted(bytes(r.decoded) for r in back.collect()) == sorted(t for _, t in ROWS)
+    assert byte_bpe.encode(empty, lines, pattern).count() == 0
+
+
+def test_replay_with_lower_ranks_later():
+    """A merge may bring up a pair of lower rank, which then goes first."""
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"ab", b"aa", b"aaa", b"ca"]
+    lines = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    ranks = byte_bpe.Ranks(lines)
+    pieces = [b"abcabc", b"aaaaaaa", b"abca", b"cabcab", b"aabcaa", b"", b"bcabcaabc"]
+
+    def plain(piece):
+        if piece in ranks.rank:
+            return [ranks.rank[piece]]
+        parts = [bytes([b]) for b in piece]
+        while True:
+            best = min(((ranks.rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks.rank), default=None)
+            if best is None:
+                return [ranks.rank[p] for p in parts]
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    assert byte_bpe.replay(pieces, ranks) == [plain(p) for p in pieces]
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q#f", "x://example.net", "http://example.network/", "https://www.spam.org/p/1.html?a", "https://spam.org/p/1", "http://e.example.com/de/1", "http://q.org/fr/"]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    listed = spark.createDataFrame([("spam.org/p/1",), ("spam.org/p/1",), (None,)], "canonical string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {
+        0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("a.example.net", "/en/x", "example.net/en/", "allow"),
+        4: ("example.net", "", None, "allow"), 5: ("example.network", "/", None, "allow"), 6: ("www.spam.org", "/p/1.html", None, "block"),
+        7: ("spam.org", "/p/1", None, "block"), 8: ("e.example.com", "/de/1", "example.com/de/", "block"), 9: ("q.org", "/fr/", "org/fr/", "allow"),
+    }
+    assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    assert url_filter.filter_urls(pages, listed.limit(0)).where("verdict = 'block'").count() == 1
+
+
+def shingles(text: bytes):
+    w = tuple(text.lower().split())
+    return {w[i : i + 5] for i in range(len(w) - 4)} if len(w) >= 5 else ({w} if w else set())
+
+
+def test_jaccard_join(docs, empty):
+    sets = [(i, shingles(t)) for i, t in ROWS]
+    group = {k: k for k in range(len(sets))}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a, (_, s) in enumerate(sets):
+        for b, (_, t) in enumerate(sets[:a]):
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                group[root(a)] = root(b)
+    want = []
+    for k, (i, s) in enumerate(sets):
+        ids = [sets[m][0] for m in range(len(sets)) if root(m) == root(k) and sets[m][0] is not None] if s else [i]
+        want.append((i, len(s), min(ids, default=None)))
+    assert collected(jaccard_join.join(docs), "n_shingles", "component_id") == sorted(want, key=str)
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_jaccard_signatures_meet():
+    """Any two similar sets index a common signature: sizes from 5, with and without frequent subsets."""
+    r = np.random.default_rng(5)
+    bands = jaccard_join.Bands()
+    for hot in (np.zeros(jaccard_join.HOT_BITS // 64, np.uint64), np.full(jaccard_join.HOT_BITS // 64, 0x5555555555555555, np.uint64)):
+        for _ in range(1500):
+            n = int(r.integers(5, 120))
+            u = np.unique(r.integers(0, 2**64, n, np.uint64))
+            drop = int(r.integers(0, n // 5 + 1))
+            add = int(r.integers(0, n // 5 + 1))
+            v = np.unique(np.concatenate([r.permutation(u)[drop:], r.integers(0, 2**64, add, np.uint64)]))
+            common = len(np.intersect1d(u, v))
+            if len(u) != common and 100 * common >= 80 * (len(u) + len(v) - common) or len(v) != common and 100 * common >= 80 * (len(u) + len(v) - common):
+                a, b = (jaccard_join.all_signatures(x, bands, hot) for x in (u, v))
+                assert len(np.intersect1d(a, b)), (len(u), len(v), common)
+
+
+def cut(seqs, n):
+    """For each sequence: which places a repeated run of n covers."""
+    count = Counter(seq[i : i + n] for seq in seqs for i in range(len(seq) - n + 1))
+    out = []
+    for seq in seqs:
+        mark = np.zeros(len(seq) + 1, int)
+        for i in range(len(seq) - n + 1):
+            if count[seq[i : i + n]] > 1:
+                mark[i] += 1
+                mark[i + n if i + n < len(mark) else -1] -= 1
+        out.append(np.cumsum(mark)[: len(seq)] > 0)
+    return out
+
+
+def test_substring_dedup(docs, empty):
+    seqs = [tuple(t.split()) for _, t in ROWS]
+    want = []
+    for (i, _), seq, mark in zip(ROWS, seqs, cut(seqs, 35), strict=True):
+        want.append((i, len(seq), int(mark.sum()), b" ".join(w for w, m in zip(seq, mark, strict=True) if not m).decode()))
+    for cells in (substring_dedup.CELLS, 1 << 10):  # a full sketch only lets more windows through
+        got = substring_dedup.dedup(docs, cells=cells, carry=["lang", "key", "marks"])
+        assert collected(got, "n_words", "n_removed", "kept") == sorted(want, key=str)
+        assert got.select("key", "marks", "lang").distinct().collect() == [(5, "x", "en")]
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_suffix_dedup(docs, empty):
+    texts = [t for _, t in ROWS]
+    want = []
+    for (i, t), mark in zip(ROWS, cut(texts, 60), strict=True):
+        spans = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
+        want.append((i, len(t), int(mark.sum()), spans, hashlib.sha256(bytes(c for c, m in zip(t, mark, strict=True) if not m)).hexdigest()))
+    for group in (1000, 1):  # by suffix arrays, and spread by strings
+        got = suffix_dedup.dedup(docs, length=60, gram=16, group=group).withColumn("kept", F.sha2("kept", 256))
+        assert collected(got, "n_bytes", "n_removed", "n_spans", "kept") == sorted(want, key=str)
+    assert suffix_dedup.dedup(empty).count() == 0
+
+
+def test_suffix_array():
+    r = np.random.default_rng(0)
+    for k in range(60):
+        t = r.integers(1, 2 + k % 3, int(r.integers(1, 60)))
+        t = np.append(np.tile(t, 1 + k % 3), 0)
+        sa = suffix_array.suffix_array(t, int(t.max()) + 1, 10**6)
+        plain = t.tolist()
+        assert sa.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+        shared = suffix_array.common_prefixes(t, sa, 20)
+        for a, b in zip(sa, sa[1:], strict=False):
+            n = 0
+            while n < 20 and max(a, b) + n < len(plain) and plain[a + n] == plain[b + n]:
+                n += 1
+            assert shared[b] == n
+
+
+def test_chat_format(spark):
+    text = "a\\<|im_end|>\\\\<\\|\n"
+    rows = [(1, 0, "user", text, 0), (1, 1, "assistant\n<|\\l", "", 0), (1, 2, "assistant", "<\\|\\", 0), (2, None, "assistant", None, 0), (2, 0, None, None, 0), (None, 0, "assistant", "x", 0), (1, 2, "assistant", "<\\|\\", 0), (3, 0, "user", "only", 0)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    f = chat_format.format_chats(chats)
+    read = f.select("conv_id", "example", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("loss"), "loss_start").collect()
+    by = {(r.conv_id, r.example): r for r in read}
+    assert [tuple(x) for x in by[1, 3 - 1].t] == [("user", text), ("assistant\n<|\\l", ""), ("assistant", "<\\|\\"), ("assistant", "<\\|\\")]
+    assert [by[1, k].loss for k in (1, 2)] == ["<\\|\\", "<\\|\\"]
+    assert by[2, 1].loss == "" and by[2, 1].loss_start is not None and by[2, 2].loss_start is None
+    assert by[None, 1].loss == "x" and by[3, 1].loss_start is None and len(by) == 6
+    assert chat_format.format_chats(chats.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(100 + k, " ".join(t.split()[a:b]), 1) for k, (t, a, b) in enumerate([(messy()[0][1], 10, 40), (messy()[10][1], 5000, 5060), (messy()[3][1], 50, 66)])]
+    bench = spark.createDataFrame([*items, (7, None, 1), (8, "", 1), (9, "nothing like it is here at all in any text", 1)], "item_id long, text string, share int")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(1, 100), (2, 100), (3, 100), (15, 100), (11, 101), (4, 102), (5, 102)}
+    assert decontamination.find_leaks(empty, bench).count() == 0
+    assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_quality_classifier(spark, sf_dir, docs, empty):
+    got = quality_classifier.op10_quality_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got.quality == got.predicted).mean() > 0.9
+    labels = spark.createDataFrame([(1, 1), (4, 0), (9, None), (999, 1)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    assert quality_classifier.score(docs, model).where("score between 0 and 1").count() == len(ROWS)
+    assert quality_classifier.filter_rows(docs, model).columns == docs.columns
+    none = quality_classifier.fit(docs, labels.limit(0))
+    assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5}
+    assert quality_classifier.score(empty, none).count() == 0
+
+
+def test_license_scan(spark, docs, empty):
+    notices = ["Licensed under the Apache License, Version 2.0.", "x\nReleased under the MIT License.\ny", "fahrt mit der license", "This work is licensed under the GNU General Public License, version 3."]
+    more = spark.createDataFrame([(50 + k, t, 5, "x", "en") for k, t in enumerate(notices)], docs.schema)
+    scanner = license_scan.fit(docs)
+    got = {r.doc_id: r.families for r in license_scan.scan(docs.union(more), scanner).collect()}
+    assert {k: v for k, v in got.items() if v} == {50: "apache", 51: "mit", 53: "gpl"}
+    assert license_scan.scan(empty, scanner).count() == 0

@@ -121,7 +121,7 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
                     if new < r:
                         waiting.add(word[i])
     out = []
-    ends = [*starts[1:], len(sym)]
+    ends = [*starts[1:], len(sym)][: len(starts)]
     for s, e in zip(starts, ends, strict=True):
         out.append([t for t in sym[s:e] if t >= 0])
     return out
