@@ -38,8 +38,3 @@ def oracle(sf_dir):
     for path in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
-
-
-def rows_of(frame, columns):
-    f = frame[columns].astype(object)
-    return sorted(map(str, f.where(f.notna(), None).itertuples(index=False, name=None)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 from variorum import catalogue
 
