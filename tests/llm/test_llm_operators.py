@@ -230,3 +230,10 @@ def test_license_scan(spark, docs, empty):
     got = {r.doc_id: r.families for r in license_scan.scan(docs.union(more), scanner).collect()}
     assert {k: v for k, v in got.items() if v} == {50: "apache", 51: "mit", 53: "gpl"}
     assert license_scan.scan(empty, scanner).count() == 0
+
+
+def test_license_families_that_differ_by_short_words(spark, docs):
+    texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "mit cc nc sa gnu bsd"]
+    more = spark.createDataFrame([(i, "word " * 500 + "\n" + t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.scan(more, license_scan.fit(docs.select("doc_id", "text"))).collect()}
+    assert got == {0: "cc-by", 1: "cc-by-nc", 2: "cc-by-sa", 3: None}
