@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, INVERSE, byte_texts, mix, powers, slices, table, written
@@ -168,6 +168,17 @@ def shard_repeats(texts: list[bytes], places: list[tuple[int, int]], length: int
     return [(int(text_at[i]), int(i - first[text_at[i]]), int(j - first[text_at[i]])) for i, j in zip(s, e, strict=True)]
 
 
+def merged(r: Column) -> Column:
+    """An array of ranges (s, e) as the maximal runs that they cover, so that a context sends few rows to each copy."""
+
+    def step(runs: Column, x: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when((F.size(runs) > 0) & (x["s"] <= last["e"]), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
+
+    return F.aggregate(F.array_sort(r), F.array().cast("array<struct<s:int,e:int>>"), step)
+
+
 RANGES = "a long, ctx long, s int, e int"
 
 
@@ -238,7 +249,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: i
     chosen = told.where("n > 1").select("a", "ctx", "one.key", "one.pos", "n")
     copies = written(contexts(rows, chosen, length, gram), "copies")
     parts = in_shards(copies.where(F.col("n") <= group), length).union(by_strings(copies.where(F.col("n") > group), length))
-    marked = written(parts.groupBy("a", "ctx").agg(F.collect_list(F.struct("s", "e")).alias("r")), "ranges")
+    marked = written(parts.groupBy("a", "ctx").agg(merged(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("r")), "ranges")
     back = reach(length, gram)
     lo = F.greatest(F.lit(0), F.col("pos") - back)
     full = found.join(told.where("c > 1").select("a", "ctx"), ["a", "ctx"]).select("key", lo.alias("s"), (F.col("pos") + length).alias("e"))
