@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from variorum.llm import byte_bpe, common, decontamination, jaccard_join, quality_classifier, substring_dedup
 
 
-def _back(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (one row each)."""
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; labels are those of the corpus, the texts those of docs. Rows are scored in place: nothing is shuffled."""
     model = quality_classifier.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -23,9 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked ones; repeated rows of it stay together."""
-    groups = jaccard_join.join(docs)
-    return _back(docs, groups.where("doc_id = component_id").select("doc_id"))
+    """One row of each group of linked documents: that of the smallest doc_id, or any one where none has a doc_id. A row linked with nothing stays, with or without a doc_id."""
+    return jaccard_join.representatives(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +31,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.find_leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = common.small(common.written(found.select("doc_id").distinct(), "leaks"), 1_000_000)
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item; those without a doc_id are told apart by their texts."""
+    keyed = docs.withColumn("_key", common.row_key())
+    found = decontamination.find_leaks(keyed, common.table(spark, sf_dir, "benchmark"), "_key")
+    bad = common.small(common.written(found.select("_key.*").distinct(), "leaks"), 1_000_000)
+    mine = [keyed["_key"]["stand_in"] == bad["stand_in"], keyed["_key"]["key"] == bad["key"]]
+    return keyed.join(bad, mine, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs of bytes that are no ASCII white space. bytes.split() cuts at the same six.
@@ -42,6 +42,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_key() -> Column:
+    """struct(stand_in, key): what names a document, its doc_id or, flagged by stand_in, a hash of its text where it has none."""
+    return F.struct(F.col("doc_id").isNull().alias("stand_in"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WHITE = bytes([0x20, *range(0x09, 0x0E)])

@@ -19,7 +19,8 @@ different components. A pair in one component needs no test, so a group of near
 bucket. No bucket is capped.
 
 Nulls and edge cases: a null or empty text has no shingles and is linked with nothing; rows sharing a doc_id must be
-repeats of one row; null doc_ids are named by their texts, and their component_id is null if none of it has a doc_id;
+repeats of one row; a doc_id may be any number; null doc_ids are named by their texts, beside a flag that tells these names
+from doc_ids, and their component_id is null if none of it has a doc_id;
 texts of any length count whole; an empty table gives no rows; extra columns are passed over.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, slices, small, table, written
+from .common import WordHashes, mix, row_key, slices, small, table, written
 from .components import components
 
 N = 5
@@ -42,7 +43,6 @@ NUM, DEN = 80, 100
 BROADCAST_ROWS = 1_000_000
 #: Rounds of tests with neighbours before the rest of all pairs.
 ROUNDS = 3
-NO_ID = 1 << 62
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -145,8 +145,7 @@ def all_signatures(u: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.nd
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(NO_ID)
-    return documents.select(F.coalesce("doc_id", stand_in).alias("key"), "doc_id", "text")
+    return documents.select(row_key().alias("k"), "doc_id", "text").select("k.key", "doc_id", "text", "k.stand_in")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -217,47 +216,47 @@ def buckets_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """cls, key, n, u (the set) and bits (512 parities of it) of the chosen classes (cls, key)."""
+    """cls, n, u (the set) and bits (512 parities of it) of the chosen classes (cls, stand_in, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
         for b in slices(batches, 500, 2 << 20):
-            found = sets(b.column(2))
+            found = sets(b.column(1))
             bits = [np.packbits(np.bincount((u & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64) for u in found]
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).view(np.int64))) for xs in (found, bits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) for u in found], pa.int64()), *lists], ["cls", "key", "n", "u", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(u) for u in found], pa.int64()), *lists], ["cls", "n", "u", "bits"])
 
-    return chosen.join(rows.select("key", "text"), "key").select("cls", "key", "text").dropDuplicates(["cls"]).mapInArrow(run, "cls long, key long, n long, u array<long>, bits array<long>")
+    own = chosen.select("cls", "stand_in", "key").join(rows.select("stand_in", "key", "text"), ["stand_in", "key"])
+    return own.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(run, "cls long, n long, u array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (keys a and b) among pairs of classes (x, y). Sizes and parities, which can only underestimate the difference, go first."""
-    light = sets.select("cls", "n", "bits", "key")
-    p = pairs.join(light.toDF("x", "nx", "bx", "a"), "x").join(light.toDF("y", "ny", "by", "b"), "y")
+    """The links (a, b) among pairs of classes (x, y). Sizes and parities, which can only underestimate the difference, go first."""
+    light = sets.select("cls", "n", "bits")
+    p = pairs.join(light.toDF("x", "nx", "bx"), "x").join(light.toDF("y", "ny", "by"), "y")
     differ = F.aggregate(F.zip_with("bx", "by", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
     p = p.where((F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM) & (differ * (DEN + NUM) <= (F.col("nx") + F.col("ny")) * (DEN - NUM)))
-    p = p.select("x", "y", "a", "b", "nx", "ny")
+    p = p.select("x", "y", "nx", "ny")
     heavy = sets.select("cls", "u")
     both = p.join(heavy.toDF("x", "ux"), "x").join(heavy.toDF("y", "uy"), "y")
-    common = both.select("a", "b", "nx", "ny", F.size(F.array_intersect("ux", "uy")).alias("c"))
+    common = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny", F.size(F.array_intersect("ux", "uy")).alias("c"))
     return common.where(F.col("c") * DEN >= (F.col("nx") + F.col("ny") - F.col("c")) * NUM).select("a", "b")
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, cls), classes (cls, doc_id, stand_in, key: their smallest names, doc_ids first) and the heads of components of several classes (cls, doc_id, stand_in, key: the smallest names of the component)."""
     rows = keyed(documents)
     told = written(classes(rows), "classes")
     index = indexed(rows, frequent(rows)).repartition("sig").sortWithinPartitions("sig", "cls")
     buckets = written(index.mapInArrow(buckets_of_two, "sig long, hub long, cls long"), "buckets")
-    names = told.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"))
+    names = smallest(told.where("cls IS NOT NULL").withColumn("stand_in", F.col("doc_id").isNull()), "cls")
     met = written(names.join(buckets.select("cls").distinct(), "cls"), "met")
     sets = written(sets_of(rows, small(met, BROADCAST_ROWS)), "sets")
-    key_of = sets.select("cls", "key")
 
     def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The component of each class, and the buckets that hold several."""
         c = components(links)
-        comp = key_of.join(c, key_of.key == c.node, "left").select("cls", F.coalesce("component", "key").alias("comp"))
+        comp = sets.join(c, sets.cls == c.node, "left").select("cls", F.coalesce("component", "cls").alias("comp"))
         comp = written(comp, "comp")
         own = buckets.join(comp, "cls")
         apart = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
@@ -286,10 +285,40 @@ def join(documents: DataFrame) -> DataFrame:
         two = one.toDF("sig", "y", "cy", "ny")
         rest = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM))
         links = written(links.union(verified(untested(rest, tested), sets)), "links")
-    c = components(links)
-    found = names.join(c, names.key == c.node, "left").select("cls", F.coalesce("component", "key").alias("component"))
-    out = told.join(found, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("c"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id"))
+    c = components(links).toDF("cls", "component")
+    heads = small(written(smallest(names.join(c, "cls"), "component"), "heads"), BROADCAST_ROWS)
+    return told, names, c.join(heads, "component").drop("component")
+
+
+def smallest(named: DataFrame, by: str) -> DataFrame:
+    """doc_id, stand_in and key of the smallest name in each group: the smallest doc_id, or where there is none the smallest stand-in."""
+    g = named.groupBy(by).agg(F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("stand_in"), F.col("key"))).alias("other"))
+    return g.select(by, "doc_id", F.col("doc_id").isNull().alias("stand_in"), F.coalesce("doc_id", "other").alias("key"))
+
+
+def join(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    told, names, heads = grouped(documents)
+    found = names.select("cls", F.col("doc_id").alias("own")).join(heads.select("cls", F.col("doc_id").alias("head"), F.lit(True).alias("linked")), "cls", "left")
+    found = found.select("cls", F.when(F.col("linked"), F.col("head")).otherwise(F.col("own")).alias("component_id"))
+    out = told.join(found, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """One row of each group, all columns as they are: that of the smallest doc_id, or of the smallest stand-in where no row of the group has one. Texts without shingles are linked with nothing: each such row without a doc_id stays, and one of those that share a doc_id."""
+    told, names, heads = grouped(documents)
+    chosen = names.join(heads, "cls", "left_anti").unionByName(heads).select("stand_in", "key").distinct()
+    own = told.select(F.col("doc_id").isNull().alias("stand_in"), "key", "cls")
+    n = own.groupBy("stand_in", "key").agg(F.count(F.lit(1)).alias("n"), F.count("cls").alias("full"))
+    alone = n.where("full = 0").select("stand_in", "key", ((F.col("n") > 1) & ~F.col("stand_in")).alias("again"))
+    rest = n.where("full > 0").join(chosen, ["stand_in", "key"], "left_semi").select("stand_in", "key", (F.col("n") > 1).alias("again"))
+    kept = small(written(alone.unionByName(rest), "kept"), BROADCAST_ROWS)
+    rows = documents.select(F.struct(*documents.columns).alias("row"), row_key().alias("k")).select("row", "k.stand_in", "k.key").join(kept, ["stand_in", "key"])
+    once = rows.where(~F.col("again")).select("row.*")
+    if kept.where("again").isEmpty():
+        return once
+    return once.unionByName(rows.where("again").dropDuplicates(["stand_in", "key"]).select("row.*"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
