@@ -8,23 +8,40 @@ from pyspark.sql import functions as F
 from ..query import Registry, table
 
 registry = Registry()
-KEY_WORDS = 4
+#: Words of a passage's key, or characters where it has too few words inside; characters of a document that are cut up together.
+KEY_WORDS, KEY_CHARS, PIECE = 4, 8, 1000
 #: Passages that may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
 def passage_hits(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, item_id, hits. A passage's first words are an equi-join key against the words of documents; where it holds, the whole is compared in place."""
-    first = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, KEY_WORDS), " ")
-    p = passages.where("length(text) > 0").select("item_id", F.col("text").alias("passage"), first.alias("key"))
-    keys = p.select("key").distinct()
+    """doc_id, item_id, hits. Words that lie wholly inside a passage (without its first and last, which may be parts of words of a document) are an equi-join key against the words of documents; passages with too few of them have their first characters as key, against the character n-grams of documents. Where a key holds, the whole is compared in place."""
+    parts = F.split("text", r"\s+")
+    inside = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    long = F.size(inside) >= KEY_WORDS
+    key = F.when(long, F.array_join(F.slice(inside, 1, KEY_WORDS), " ")).otherwise(F.substring("text", 1, KEY_CHARS))
+    kind = F.when(long, 0).otherwise(F.least(F.length("text"), F.lit(KEY_CHARS)))
+    p = passages.where("length(text) > 0").select("item_id", F.col("text").alias("passage"), kind.alias("kind"), key.alias("key"))
+    sizes = sorted(r.kind for r in p.where("kind > 0").select("kind").distinct().collect())  # KEY_CHARS rows at most
+    keys = p.select("kind", "key").distinct()
     small = passages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     p, keys = (F.broadcast(p), F.broadcast(keys)) if small else (p, keys)
+    none = F.array().cast("array<int>")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    d = documents.select("doc_id", "text", words.alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (KEY_WORDS - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, KEY_WORDS), " "))
-    near = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keys, "key").select("doc_id", "key").distinct()
-    found = documents.select("doc_id", "text").join(near, "doc_id").join(p, "key").where(F.contains("text", F.col("passage")))
+    d = documents.select("doc_id", words.alias("w"))
+    starts = F.when(F.size("w") >= KEY_WORDS, F.sequence(F.lit(1), F.size("w") - (KEY_WORDS - 1))).otherwise(none)
+    grams = F.transform(starts, lambda i: F.array_join(F.slice("w", i, KEY_WORDS), " "))
+    held = d.select("doc_id", F.lit(0).alias("kind"), F.explode(F.array_distinct(grams)).alias("key"))
+    if sizes:
+        # pieces that overlap, since a character is found by counting from the first
+        at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE))
+        pieces = documents.select("doc_id", F.explode(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(PIECE + KEY_CHARS - 1)))).alias("piece"))
+        for size in sizes:
+            last = F.least(F.length("piece") - (size - 1), F.lit(PIECE))
+            cut = F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(none), lambda i: F.substring(F.col("piece"), i, F.lit(size)))  # noqa: B023
+            held = held.union(pieces.select("doc_id", F.lit(size), F.explode(F.array_distinct(cut))))
+    near = held.join(keys, ["kind", "key"]).select("doc_id", "kind", "key").distinct()
+    found = documents.select("doc_id", "text").join(near, "doc_id").join(p, ["kind", "key"]).where(F.contains("text", F.col("passage")))
     n = (F.length("text") - F.length(F.replace(F.col("text"), F.col("passage"), F.lit("")))) / F.length("passage")
     return found.select("doc_id", "item_id", n.cast("long").alias("hits")).distinct()
 
