@@ -24,10 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeated windows cover; a text that loses all its words goes."""
-    cut = substring_dedup.dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substring_dedup.dedup(docs, carry=others)
     stay = cut.where("n_removed < n_words OR n_words = 0")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return stay.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    own = {c: F.col("rest")[c] for c in others}
+    own["doc_id"], own["text"] = F.col("doc_id"), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    own["n_chars"] = F.length(own["text"]).cast("long")
+    return stay.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +46,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def marked(documents: DataFrame) -> DataFrame:
+    """documents with what names a row for its own marks: key (doc_id, or where there is none a hash of the text) and tag (another hash of the text, and whether there is a doc_id), so that no two texts share marks."""
+    return documents.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "tag": F.hash("text", F.col("doc_id").isNull())})
+
+
 def row_key() -> Column:
     """struct(stand_in, key): what names a document, its doc_id or, flagged by stand_in, a hash of its text where it has none."""
     return F.struct(F.col("doc_id").isNull().alias("stand_in"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
 
 
 BASE = 0x9E3779B97F4A7C15
+LONG = 512
 INVERSE = pow(BASE, -1, 1 << 64)
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -66,6 +76,7 @@ class WordHashes:
         self.gap = np.zeros(256, bool)
         self.gap[list(gaps)] = True
         self.value = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
+        self.lower = lower
         if lower:
             self.value[65:91] = self.value[97:123]
         self.up = self.down = np.ones(1, np.uint64)
@@ -93,7 +104,27 @@ class WordHashes:
         ends = np.flatnonzero(before & (~after | edge))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[text] * self.up[:n], dtype=np.uint64, out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts]), np.searchsorted(starts, off)
+        found = mix((total[ends] - total[starts]) * self.down[starts])
+        for i in np.flatnonzero(ends - starts >= LONG).tolist():  # such sums can be made to agree for words of 1,024 bytes
+            word = text[starts[i] : ends[i]].tobytes()
+            found[i] = int.from_bytes(hashlib.blake2b(word.lower() if self.lower else word, digest_size=8).digest())
+        return found, np.searchsorted(starts, off)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that hands a task's memory back when the task ends: workers are used again, and what they keep adds up."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            pass
+
+    return wrapped
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,14 @@ more often than its anchor, and only a tenth as many anchors as windows have to
    occur twice or more give their positions back to their documents. No window is lost, and none is wrongly kept
    apart; beyond a few 10^8 anchors the sketch fills up and lets more windows through to the exact grouping.
 
-Nulls and edge cases: a null text has no words; texts shorter than a window lose nothing; doc_id names a document, so
-rows that share it must be repeats of one row (a null doc_id is named by its text), and a repeated row counts as a copy;
-long texts are handled whole; extra columns are passed over; an empty table gives no rows.
+A window that a task meets twice is known to repeat: it sends one row for the whole task to the grouping, and its other
+places go straight back to their documents, as runs. So a passage that a third of all documents share sends a row a task
+to its group.
+
+Nulls and edge cases: a null text has no words; texts shorter than a window lose nothing; rows are told apart by doc_id
+and text (null ids by text, beside a mark that no doc_id has), so rows of one doc_id with different texts are different
+documents, and a repeated row counts as a copy; long texts are handled whole; extra columns are passed over, or carried
+in a struct, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, INVERSE, WordHashes, byte_texts, mix, powers, slices, table
+from .common import BASE, INVERSE, WordHashes, byte_texts, frugal, marked, mix, powers, slices, table
 
 WINDOW, GRAM = 35, 16
 CELLS = 1 << 27
@@ -149,7 +154,7 @@ def sketch(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int
         for k, p in planes.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(p[1].tobytes(), 1)], pa.binary())], ["chunk", "twice"])
 
-    merged = texts.mapInArrow(count, "chunk int, once binary, twice binary").repartition("chunk").mapInArrow(merge, "chunk int, twice binary")
+    merged = texts.mapInArrow(frugal(count), "chunk int, once binary, twice binary").repartition("chunk").mapInArrow(frugal(merge), "chunk int, twice binary")
     plane = np.zeros(cells // 8, np.uint8)
     for row in merged.toLocalIterator():
         plane[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
@@ -157,80 +162,120 @@ def sketch(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int
 
 
 def runs_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h1, h2, key, pos) sorted by h1 and h2: key and pos of those that are not alone with their hashes. Holds one batch and one row."""
-    held: tuple | None = None  # the last row so far, and whether it is given out
+    """Of rows (h1, h2, key, tag, pos, n, known) sorted by h1 and h2: key, tag, pos and n of those that are known to repeat or not alone with their hashes. Holds one batch and one row."""
+    names = ["key", "tag", "pos", "n"]
+    held: pa.RecordBatch | None = None  # the last row so far, if it is not given out
+    last: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, key, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        h1, h2, known = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 6))
         same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        keep = np.zeros(len(h1), bool)
+        keep = known > 0
         keep[1:] |= same
         keep[:-1] |= same
-        out_key, out_pos = key, pos
-        if held is not None and held[0] == h1[0] and held[1] == h2[0]:
+        rows = pa.RecordBatch.from_arrays([b.column(i) for i in range(2, 6)], names)
+        if last == (h1[0], h2[0]):
             keep[0] = True
-            if not held[4]:
-                yield pa.RecordBatch.from_arrays([pa.array([held[2]], pa.int64()), pa.array([held[3]], pa.int32())], ["key", "pos"])
-        yield pa.RecordBatch.from_arrays([pa.array(out_key[keep]), pa.array(out_pos[keep])], ["key", "pos"])
-        held = (h1[-1], h2[-1], key[-1], pos[-1], bool(keep[-1]))
+            if held is not None:
+                yield held
+        yield rows.filter(pa.array(keep))
+        last = (h1[-1], h2[-1])
+        held = None if keep[-1] else rows.slice(rows.num_rows - 1, 1)
+
+
+class Known:
+    """Windows that a task has met twice: they repeat wherever they stand, and one row of a task is enough to tell other tasks. At most SIZE are remembered; what is forgotten sends more rows."""
+
+    SIZE = 1 << 20
+
+    def __init__(self):
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """0: not known to repeat, 1: known, 2: known, and the row that tells other tasks."""
+        out = np.zeros(len(h1), np.int8)
+        if len(self.h1):
+            at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+            out[(self.h1[at] == h1) & (self.h2[at] == h2)] = 1
+        order = np.flatnonzero(out == 0)
+        order = order[np.lexsort((h2[order], h1[order]))]
+        if not len(order):
+            return out
+        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        out[order[1:][same]] = 1
+        told = order[np.concatenate([same, [False]]) & ~np.concatenate([[False], same])]
+        out[told] = 2
+        if len(self.h1) + len(told) <= self.SIZE:
+            h1, h2 = np.concatenate([self.h1, h1[told]]), np.concatenate([self.h2, h2[told]])
+            order = np.argsort(h1, kind="stable")
+            self.h1, self.h2 = h1[order], h2[order]
+        return out
+
+
+WINDOWS = "h1 long, h2 int, key long, tag int, pos int, n int, known byte"
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """key and pos (word number) of each window whose words also start anywhere else. documents: key, text."""
+    """key, tag, pos (word number) and n of each run of n windows whose words also start anywhere else. documents: key, tag, text."""
     plane = documents.sparkSession.sparkContext.broadcast(sketch(documents.select("text"), window, gram, cells))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, twice = Windows(window, gram), plane.value
+        w, twice, again = Windows(window, gram), plane.value, Known()
         for b in slices(batches, 1000, 2 << 20):
-            if not w.load(b.column(1)):
+            if not w.load(b.column(2)):
                 continue
             keep = np.flatnonzero(w.valid)
             keep = keep[repeated(w.anchor[keep], twice)]
             if not len(keep):
                 continue
             h1, h2 = w.hashes96(keep)
+            known = again(h1, h2)
             doc = np.searchsorted(w.offsets, keep, side="right") - 1
-            key = b.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(key), pa.array((keep - w.offsets[doc]).astype(np.int32))], ["h1", "h2", "key", "pos"])
-
-    rows = documents.select("key", "text").mapInArrow(emit, "h1 long, h2 int, key long, pos int")
-    return rows.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(runs_of_two, "key long, pos int")
-
-
-def keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+            # known windows that follow each other go as one row, and to any task
+            begins = np.ones(len(keep), bool)
+            begins[1:] = (known[1:] != 1) | (known[:-1] != 1) | (keep[1:] != keep[:-1] + 1) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(begins)
+            n = np.diff(at, append=len(keep)).astype(np.int32)
+            h1, h2, known, keep, doc = h1[at], h2[at], known[at], keep[at], doc[at]
+            key, tag = (b.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
+            pos = (keep - w.offsets[doc]).astype(np.int32)
+            alone = known == 1
+            h1[alone] = mix(key[alone].view(np.uint64) + mix(pos[alone].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2.view(np.int32), key, tag, pos, n, known)], ["h1", "h2", "key", "tag", "pos", "n", "known"])
+
+    rows = documents.select("key", "tag", "text").mapInArrow(frugal(emit), WINDOWS)
+    return rows.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(frugal(runs_of_two), "key long, tag int, pos int, n int")
 
 
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row; with carry, text and those columns too."""
-    rows = keyed(documents.select("doc_id", "text", F.struct(*(documents[c] for c in carry or [])).alias("rest") if carry else F.lit(None).cast("int").alias("rest")))
-    marks = repeats(rows, window, gram, cells).groupBy("key").agg(F.collect_list("pos").alias("marks"))
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row; with carry, text and a struct `rest` of those columns too."""
+    rest = F.struct(*(documents[c] for c in carry)) if carry else F.lit(None).cast("int")
+    rows = marked(documents.select("doc_id", "text", rest.alias("rest")))
+    marks = repeats(rows, window, gram, cells).groupBy("key", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, 4 << 20):
             n, removed, kept = [], [], []
             marks = b.column(2)
             for i, text in enumerate(byte_texts(b.column(1))):
                 words = text.split()
                 n.append(len(words))
                 if marks[i].is_valid:
+                    at, size = (marks[i].values.field(k).to_numpy() for k in (0, 1))
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(marks[i].values.to_numpy())
-                    edge[at] += 1
-                    edge[at + window] -= 1
+                    np.add.at(edge, np.minimum(at, len(words)), 1)
+                    np.add.at(edge, np.minimum(at + size - 1 + window, len(words)), -1)
                     stay = np.cumsum(edge)[:-1] == 0
                     words = [words[j] for j in np.flatnonzero(stay)]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(1), b.column(3)], ["doc_id", "n_words", "n_removed", "kept", "text", "rest"])
 
-    joined = rows.join(marks, "key", "left").select("doc_id", "text", "marks", "rest")
-    fields = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("text", T.StringType()), ("rest", rows.schema["rest"].dataType)]
-    out = joined.mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
-    if carry is None:
-        return out.drop("text", "rest")
-    return out.select("doc_id", "n_words", "n_removed", "kept", "text", *(["rest.*"] if carry else []))
+    joined = rows.join(marks, ["key", "tag"], "left").select("doc_id", "text", "marks", "rest")
+    fields = [("doc_id", documents.schema["doc_id"].dataType), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("text", T.StringType()), ("rest", rows.schema["rest"].dataType)]
+    out = joined.mapInArrow(frugal(cut), T.StructType([T.StructField(*f) for f in fields]))
+    return out.drop("text", "rest") if carry is None else out
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
