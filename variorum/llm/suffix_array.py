@@ -1,110 +1,91 @@
-"""Suffix arrays of bounded shards by induced sorting, with whole buckets as numpy arrays."""
+"""Suffix arrays of shards by induced sorting, from anchors outwards.
+
+A shard is a list of contexts: the bytes around an anchor, which is the least gram of every string that the context
+holds. Its suffixes are classified into those that begin at an anchor and those that begin to the left of one. The first
+are sorted as what follows them, and permuted common prefixes with their neighbours are taken. The order of the others is
+induced, one distance from the anchor after the other: suffixes at distance i are in the order of their first byte and,
+within it, of the suffixes at distance i - 1, so each distance is one stable counting pass over the last one's order.
+Equal strings stand at equal distances from equal anchors; suffixes of different distances need no comparison.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import BASE, INVERSE, mix, powers
-
-
-def types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next (the last one, a unique least symbol, is)."""
-    ends = np.append(np.flatnonzero(t[1:] != t[:-1]), len(t) - 1)  # of runs of one symbol
-    smaller = np.append(t[ends[:-1]] < t[ends[:-1] + 1], True)
-    return np.repeat(smaller, np.diff(ends, prepend=-1))
 
+class RangeLeast:
+    """The least of any run of numbers, from the least of all runs whose length is a power of two."""
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """All suffixes in order, from leftmost-smaller ones that are in order: larger ones from left to right, then smaller ones from right to left. A bucket's suffixes that come from itself follow in rounds."""
-    first = t[lms]
-    seeds = np.split(lms[np.argsort(first, kind="stable")], np.cumsum(np.bincount(first, minlength=symbols))[:-1])
-    large: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    def __init__(self, x: np.ndarray):
+        rows = [x]
+        size = 1
+        while 2 * size <= len(x):
+            last = rows[-1]
+            rows.append(np.concatenate([np.minimum(last[:-size], last[size:]), last[-size:]]))
+            size *= 2
+        self.rows = np.array(rows)
+        self.log = np.zeros(len(x) + 1, np.int64)
+        for k in range(1, len(rows)):
+            self.log[1 << k :] = k
 
-    def deal(prev: np.ndarray, to: list[list[np.ndarray]]) -> None:
-        c = t[prev]
-        order = np.argsort(c, kind="stable")
-        prev, c = prev[order], c[order]
-        cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for part, symbol in zip(np.split(prev, cuts), c[np.append(0, cuts)].tolist() if len(c) else [], strict=False):
-            to[symbol].append(part)
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        k = self.log[end - first]
+        return np.minimum(self.rows[k, first], self.rows[k, end - (1 << k)])
 
-    for c in range(symbols):
-        q = np.concatenate(large[c]) if large[c] else lms[:0]
-        rounds = []
-        while len(q):
-            rounds.append(q)
-            prev = q[q > 0] - 1
-            q = prev[t[prev] == c]
-        large[c] = rounds
-        seq = np.concatenate([*rounds, seeds[c]]) if rounds else seeds[c]
-        prev = seq[seq > 0] - 1
-        deal(prev[t[prev] > c], large)
-    tails: list[list[np.ndarray]] = [[] for _ in range(symbols)]  # each from the largest suffix down
-    tails[0].append(np.array([len(t) - 1]))  # the least symbol, which nothing follows
-    out: list[np.ndarray] = []
-    for c in range(symbols - 1, -1, -1):
-        q = np.concatenate(tails[c]) if tails[c] else lms[:0]
-        rounds = []
-        while len(q):
-            rounds.append(q)
-            prev = q[q > 0] - 1
-            prev = prev[small[prev]]
-            q = prev[t[prev] == c]
-        l_part = np.concatenate(large[c])[::-1] if large[c] else lms[:0]
-        seq = np.concatenate([*rounds, l_part]) if rounds else l_part
-        prev = seq[seq > 0] - 1
-        deal(prev[t[prev] < c], tails)
-        out.append(seq)
-    return np.concatenate(out)[::-1]
 
+def right_parts(flat: np.ndarray, anchor: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at anchors by group and bytes (size: how many each has), and of each place in it how many bytes it shares with the place before (none with another group)."""
+    width = int(size.max())
+    column = np.arange(width)
+    inside = column < size[:, None]
+    part = np.zeros((len(anchor), width), np.uint8)
+    part[inside] = flat[(anchor[:, None] + column)[inside]]
+    named = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), part], 1)
+    order = np.argsort(named.view(f"S{width + 4}").ravel(), kind="stable")
+    one, two = order[:-1], order[1:]
+    differ = part[one] != part[two]
+    shared = np.where(differ.any(1), differ.argmax(1), width)
+    shared = np.minimum(shared, np.minimum(size[one], size[two]))
+    shared[group[one] != group[two]] = 0
+    return order, np.concatenate([[0], shared])
 
-def suffix_array(t: np.ndarray, symbols: int, depth: int) -> np.ndarray:
-    """Starts of the suffixes of t, in order of their first `depth` symbols at least. t ends with its only 0."""
-    small = types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) < 2:
-        return _induce(t, small, lms, symbols)
-    # names of the leftmost-smaller substrings, in the order that inducing from unsorted ones gives
-    order = _induce(t, small, lms, symbols)
-    at = np.zeros(len(t), bool)
-    at[lms] = True
-    order = order[at[order]]
-    end = np.append(lms[1:], len(t) - 1) + 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(t))[: len(t)], dtype=np.uint64)])
-    name_of = mix((total[end] - total[lms]) * powers(INVERSE, len(t))[lms]) ^ (end - lms).astype(np.uint64)
-    index = np.zeros(len(t), np.int64)
-    index[lms] = np.arange(len(lms))
-    ranked = index[order]
-    rank = np.empty(len(lms), np.int64)
-    rank[ranked] = np.concatenate([[0], np.cumsum(name_of[ranked][1:] != name_of[ranked][:-1])])
-    # the reduced text of names: ranks by twice as many names each round
-    step = 1
-    while rank.max() < len(lms) - 1 and step * 2 <= 2 * depth:
-        key = rank * (len(lms) + 1) + np.concatenate([rank[step:] + 1, np.zeros(min(step, len(lms)), np.int64)])[: len(lms)]
-        ranked = np.argsort(key, kind="stable")
-        rank[ranked] = np.concatenate([[0], np.cumsum(key[ranked][1:] != key[ranked][:-1])])
-        step *= 2
-    return _induce(t, small, lms[np.argsort(rank, kind="stable")], symbols)
 
+def repeats(flat: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, group: np.ndarray, length: int, needed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the least and the greatest distance from its anchor at which a string of `length` bytes begins that another context of its group has too (-1: none).
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, whole: bool = False) -> np.ndarray:
-    """Permuted common prefixes: for each suffix, in text order, how many symbols (up to most) it shares with the one before it in sa. Halving steps on hashes of runs; with whole, one step that tells most or 0."""
-    n = len(t)
-    up, down = powers(BASE, n), powers(INVERSE, n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    here = np.flatnonzero(before >= 0)
-    there = before[here]
-    shared = np.zeros(len(here), np.int64)
-    step = most if whole else 1 << (most.bit_length() - 1)
-    while step:
-        a, b = here + shared, there + shared
-        ok = (np.maximum(a, b) + step <= n) & (shared + step <= most)
-        a, b = a[ok], b[ok]
-        same = (total[a + step] - total[a]) * down[a] == (total[b + step] - total[b]) * down[b]
-        shared[np.flatnonzero(ok)[same]] += step
-        step = 0 if whole else step >> 1
-    out = np.zeros(n, np.int64)
-    out[here] = shared
-    return out
+    flat: bytes of all contexts; start, size, left: where each begins, its bytes, and its bytes before the anchor. needed
+    (contexts x distances): becomes False where a string repeats that of another context before it in the order.
+    """
+    anchor = start + left
+    who, shared = right_parts(flat, anchor, size - left, group)
+    common = RangeLeast(shared)
+    place = np.arange(len(who))
+    same = group[who]
+    least, most = np.full(len(start), -1), np.full(len(start), -1)
+    for i in range(int(left.max(initial=0)) + 1):
+        if i:
+            stay = left[who] >= i
+            who, place, same = who[stay], place[stay], same[stay]
+            key = same * 256 + flat[anchor[who] - i]
+            order = np.argsort(key, kind="stable")
+            who, place, same = who[order], place[order], key[order]
+        if len(who) < 2:
+            break
+        new = same[1:] != same[:-1]
+        begins, ends = np.concatenate([[True], new]), np.concatenate([new, [True]])
+        stay = ~(begins & ends)  # alone with its left part: no string further left repeats
+        who, place, same = who[stay], place[stay], np.cumsum(begins)[stay]
+        if not len(who):
+            break
+        pair = np.flatnonzero(same[1:] == same[:-1])
+        equal = np.zeros(len(who) - 1, bool)
+        equal[pair] = common(place[pair] + 1, place[pair + 1] + 1) >= length - i
+        again = np.zeros(len(who), bool)
+        again[1:] |= equal
+        again[:-1] |= equal
+        hit = who[again]
+        most[hit] = i
+        least[hit[least[hit] < 0]] = i
+        if needed is not None:
+            needed[who[1:][equal], i] = False
+    return least, most

@@ -2,39 +2,40 @@
 
 A suffix array of the corpus is built in shards that hold whole groups of possible matches:
 
-1. Each 400-byte string has an anchor, its smallest 64-byte gram by hash; equal strings have equal anchors. Of each
-   anchor only a hash, its place, and a hash of its context (all bytes that strings with this anchor can cover) leave
-   the task.
-2. Contexts that occur twice as wholes are repeated from end to end. Among the rest, an anchor with several different
-   contexts sends one copy of each to the anchor's shard.
-3. A shard (about SHARD bytes of whole groups) is sorted by induced sorting; permuted common prefixes then tell which
-   400-byte strings stand at two places. Groups of more than GROUP contexts (a passage that very many documents share)
-   do not go into one shard: their strings are spread over all tasks by hash and grouped there, exactly as well.
-4. The repeated ranges go back to all copies of a context, and from there to the documents.
-
-Nulls and edge cases: a null text is empty; texts under 400 bytes lose nothing; matches never cross documents; rows that
-share a doc_id must be repeats of one row (null doc_ids are named by their texts), and a repeated row is a copy; what
+1. Each 400-byte string has an anchor, its leftmost smallest 64-byte gram by hash; equal strings have equal anchors. Of
+   each anchor only a hash, its place, and a hash of its context (all strings that have this anchor) leave the task.
+2. Contexts that occur twice as wholes are repeated from end to end. An anchor with several different contexts, one of
+   them without a copy, sends one of each to the anchor's shard.
+3. A shard (groups of about SHARD bytes together) is sorted by induced sorting; permuted common prefixes then tell which
+   strings stand in two contexts. A group of more than a shard is cut into several, each sorted alike. Between these
+   shards, strings that stand once in theirs, and one of each that stands more often, are compared by hashes: of what
+   16 neighbouring strings have in common first, of the strings themselves where that occurs twice.
+4. The repeated ranges go back to the documents.
+
+Nulls and edge cases: a null text is empty; texts under 400 bytes lose nothing; matches never cross documents; rows are
+told apart by doc_id and text (null ids by text, beside a mark that no doc_id has), and a repeated row is a copy; what
 remains of a text after a cut need not be valid UTF-8 and is therefore binary; an empty table gives no rows; extra
-columns are passed over.
+columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import BASE, INVERSE, byte_texts, mix, powers, slices, table, written
-from .substring_dedup import keyed, sliding
-from .suffix_array import common_prefixes, suffix_array
+from .common import BASE, INVERSE, byte_texts, frugal, marked, mix, powers, slices, table, written
+from .substring_dedup import sliding
+from .suffix_array import repeats
 
 LENGTH, GRAM = 400, 64
-SHARD = 1 << 20
-GROUP = 1000
+SHARD = 4 << 20
+#: Neighbouring strings whose common part is compared first, between shards of one group.
+BLOCK = 16
 
 
 class Bytes:
@@ -66,23 +67,38 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, off - off[0]
 
 
-def reach(length: int, gram: int) -> int:
-    """Bytes of context before an anchor; after its start there are `length`."""
-    return length - gram
+def nearest(value: np.ndarray, pos: np.ndarray, doc: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """For each of some places in order the next one (step 1) or the one before (step -1) in its document whose value is smaller, or, before, no greater; out of reach: reach + 1 places away."""
+    out = pos + step * (reach + 1)
+    left = np.arange(len(pos))
+    other = left + step
+    while len(left):
+        ok = (other >= 0) & (other < len(pos))
+        left, other = left[ok], other[ok]
+        ok = (doc[other] == doc[left]) & (np.abs(pos[other] - pos[left]) <= reach)
+        left, other = left[ok], other[ok]
+        stop = value[other] < value[left] if step > 0 else value[other] <= value[left]
+        out[left[stop]] = pos[other[stop]]
+        left, other = left[~stop], other[~stop] + step
+    return out
+
+
+ANCHORS = "a long, ctx long, key long, tag int, lo int, before int, n int"
 
 
 def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """a (hash), ctx (hash of the context), key and pos of every anchor."""
+    """Every anchor: a (hash), ctx (hash of its context), key and tag of its document, lo (where the context begins), before (its bytes before the anchor) and n (its strings)."""
+    back = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Bytes()
         for b in slices(batches, 1000, 1 << 20):
-            text, off = flat(b.column(1))
+            text, off = flat(b.column(2))
             sizes = np.diff(off)
             if sizes.max(initial=0) < length:
                 continue
             hashes.load(text)
-            n, back = len(text), reach(length, gram)
+            n = len(text)
             last = np.repeat(off[1:], sizes)
             at = np.arange(n)
             grams = np.where((at + gram <= last)[: n - gram + 1], hashes.grams(gram), np.uint64(2**64 - 1))
@@ -92,36 +108,118 @@ def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             if not len(pos):
                 continue
             doc = np.searchsorted(off, pos, side="right") - 1
-            lo, hi = np.maximum(off[doc], pos - back), np.minimum(off[doc + 1], pos + length)
-            ctx = mix(hashes.runs(lo, hi) ^ (pos - lo).astype(np.uint64))
-            key = b.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(key), pa.array((pos - off[doc]).astype(np.int32))], ["a", "ctx", "key", "pos"])
+            value = grams[pos]
+            lo = np.maximum(np.maximum(off[doc], pos - back), nearest(value, pos, doc, back, -1) + 1)
+            hi = np.minimum(np.minimum(pos, off[doc + 1] - length), nearest(value, pos, doc, back, 1) - 1 - back)
+            ok = lo <= hi
+            pos, doc, lo, hi = pos[ok], doc[ok], lo[ok], hi[ok]
+            ctx = mix(hashes.runs(lo, hi + length) ^ (pos - lo).astype(np.uint64))
+            key, tag = (b.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[ok].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(key), pa.array(tag), *(pa.array(x.astype(np.int32)) for x in (lo - off[doc], pos - lo, hi - lo + 1))],
+                ["a", "ctx", "key", "tag", "lo", "before", "n"],
+            )
 
-    return rows.select("key", "text").mapInArrow(run, "a long, ctx long, key long, pos int")
+    return rows.select("key", "tag", "text").mapInArrow(frugal(run), ANCHORS)
 
 
-def contexts(rows: DataFrame, chosen: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes of chosen contexts (a, ctx, key, pos, n), with where they begin in their documents."""
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("a", "ctx", "pos", "n")).alias("w"))
-    back = reach(length, gram)
+CONTEXTS = "a long, salt int, key long, tag int, lo int, before int, single boolean, split boolean, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
-            out: list[list] = [[] for _ in range(6)]
-            for key, text, w in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                for x in w:
-                    lo = max(0, x["pos"] - back)
-                    for column, v in zip(out, (x["a"], x["ctx"], key, lo, text[lo : x["pos"] + length], x["n"]), strict=True):
-                        column.append(v)
-                if len(out[0]) > 10_000:
-                    yield batch_of(out)
-                    out = [[] for _ in range(6)]
-            yield batch_of(out)
 
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["a", "ctx", "key", "lo", "bytes", "n"])
+def contexts(rows: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """The bytes of chosen contexts (a, salt, key, tag, lo, before, n, single, split)."""
+    wanted = chosen.groupBy("key", "tag").agg(F.collect_list(F.struct("a", "salt", "lo", "before", "n", "single", "split")).alias("w"))
 
-    return rows.join(wanted, "key").select("key", "text", "w").mapInArrow(run, "a long, ctx long, key long, lo int, bytes binary, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200, 2 << 20):
+            w = b.column(3)
+            own = np.repeat(np.arange(b.num_rows), np.diff(w.offsets.to_numpy()))
+            f = {name: w.flatten().field(name) for name in ("a", "salt", "lo", "before", "n", "single", "split")}
+            texts = byte_texts(b.column(2))
+            cut = [texts[k][i : i + n - 1 + length] for k, i, n in zip(own.tolist(), f["lo"].to_pylist(), f["n"].to_pylist(), strict=True)]
+            for i in range(0, len(own), 10_000):
+                part = slice(i, i + 10_000)
+                own_rows = pa.array(own[part])
+                columns = [f["a"], f["salt"], None, None, f["lo"], f["before"], f["single"], f["split"]]
+                columns = [x.slice(i, 10_000) if x is not None else b.column(j - 2).take(own_rows) for j, x in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut[part], pa.binary())], ["a", "salt", "key", "tag", "lo", "before", "single", "split", "bytes"])
+
+    return rows.join(wanted, ["key", "tag"]).select("key", "tag", "text", "w").mapInArrow(frugal(run), CONTEXTS)
+
+
+FOUND = "key long, tag int, lo int, before int, single boolean, s int, e int, a long, block int, core long, strings array<long>"
+
+
+def shard_rows(b: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """The repeated range (s, e, in its document) of each single context of a shard; of contexts of split groups also the hashes of their strings by blocks of BLOCK distances, but of equal strings only one."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    text, off = flat(b.column(8))
+    a, salt, key, tag, lo, before, single, split = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+    group = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])]))
+    size, left = np.diff(off), before.astype(np.int64)
+    needed = None
+    if split.any():
+        i = np.arange(-(-(int(left.max()) + 1) // BLOCK) * BLOCK)
+        needed = split[:, None] & (i <= left[:, None]) & (i >= length - (size - left)[:, None])
+    least, most = repeats(text, off[:-1], size, left, group, length, needed)
+    hit = np.flatnonzero((most >= 0) & single)
+    if len(hit):
+        s, e = (lo[hit] + left[hit] - most[hit]).astype(np.int32), (lo[hit] + left[hit] - least[hit] + length).astype(np.int32)
+        none = [pa.nulls(len(hit), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[hit]) for x in (key, tag, lo, before, single)), pa.array(s), pa.array(e), *none], names)
+    if needed is None:
+        return
+    hashes = Bytes()
+    hashes.load(text)
+    anchor = off[:-1] + left
+    for first in range(0, len(anchor), 2000):
+        own = needed[first : first + 2000].reshape(-1, needed.shape[1] // BLOCK, BLOCK)
+        k, block = np.nonzero(own.any(2))
+        if not len(k):
+            continue
+        mask = own[k, block]
+        k += first
+        begin = anchor[k, None] - (block[:, None] * BLOCK + np.arange(BLOCK))
+        begin = np.where(mask, begin, 0)
+        strings = np.where(mask, hashes.runs(begin, np.minimum(begin + length, len(text))), np.uint64(0))
+        core = hashes.runs(anchor[k] - block * BLOCK, anchor[k] + length - block * BLOCK - BLOCK + 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * BLOCK), pa.array(strings.ravel().view(np.int64), mask=~mask.ravel()))
+        none = [pa.nulls(len(k), pa.int32())] * 2
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (key, tag, lo, before, single)), *none, pa.array(a[k]), pa.array(block.astype(np.int32)), pa.array(core.view(np.int64)), lists], names)
+
+
+def in_shards(parts: DataFrame, length: int, shard: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.nbytes for x in held) < shard:
+                continue
+            # whole groups are sorted, the last one waits for the next batch
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            a, salt = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            last = int(np.flatnonzero((a == a[-1]) & (salt == salt[-1]))[0])
+            held = [rows.slice(last)]
+            if last:
+                yield from shard_rows(rows.slice(0, last), length)
+        if held:
+            yield from shard_rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+
+    return parts.repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(frugal(run), FOUND)
+
+
+def between_shards(blocks: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges (key, tag, s, e) of single contexts whose strings stand in other shards of their group."""
+    place = ["a", "block", "core"]
+    met = blocks.groupBy(*place).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*place)
+    rows = blocks.join(met, place).select("key", "tag", "lo", "before", "single", "a", "block", F.posexplode("strings").alias("i", "h")).where("h IS NOT NULL")
+    rows = rows.withColumn("i", F.col("block") * BLOCK + F.col("i"))
+    again = rows.groupBy("a", "i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "i", "h")
+    start = F.col("lo") + F.col("before") - F.col("i")
+    found = rows.join(again, ["a", "i", "h"]).where("single")
+    return found.groupBy("key", "tag", "lo").agg(F.min(start).cast("int").alias("s"), (F.max(start) + length).cast("int").alias("e")).select("key", "tag", "s", "e")
 
 
 def ranges(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,135 +227,22 @@ def ranges(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def shard_repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
-    """(text number, start, end) of what repeated strings cover in a shard; places: document and offset of each text."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes + 1)])
-    t = np.ones(int(first[-1]) + 1, np.int64)  # 1 after each text, then the only 0
-    t[-1] = 0
-    own = np.repeat(np.arange(len(texts)), sizes)
-    where = np.arange(len(own)) + own  # of each byte in t
-    t[where] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 2
-    sa = suffix_array(t, 258, length)
-    same = common_prefixes(t, sa, length, whole=True) >= length
-    text_at = np.full(len(t), -1, np.int64)
-    text_at[where] = own
-    fits = np.zeros(len(t), bool)
-    offset = np.arange(len(own)) - (np.cumsum(sizes) - sizes)[own]
-    fits[where] = offset + length <= sizes[own]
-    # a run of suffixes with the same string repeats if two of them are different places of documents
-    run = np.cumsum(~same[sa])
-    start = sa[fits[sa]]
-    run = run[fits[sa]]
-    if not len(start):
-        return []
-    docs = np.unique([d for d, _ in places], return_inverse=True)[1]
-    low = np.array([o for _, o in places], np.int64)
-    k = text_at[start]
-    place = docs[k] * np.int64(1 << 40) + low[k] + (start - first[k])
-    lo = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
-    hi = np.full(int(run[-1]) + 1, -1)
-    np.minimum.at(lo, run, place)
-    np.maximum.at(hi, run, place)
-    again = start[lo[run] != hi[run]]
-    edge = np.zeros(len(t) + length + 1, np.int32)
-    np.add.at(edge, again, 1)
-    np.add.at(edge, again + length, -1)
-    s, e = ranges(np.cumsum(edge)[: len(t)] > 0)
-    # the mark after a text is never covered, so a range lies in one text
-    return [(int(text_at[i]), int(i - first[text_at[i]]), int(j - first[text_at[i]])) for i, j in zip(s, e, strict=True)]
-
-
-def merged(r: Column) -> Column:
-    """An array of ranges (s, e) as the maximal runs that they cover, so that a context sends few rows to each copy."""
-
-    def step(runs: Column, x: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when((F.size(runs) > 0) & (x["s"] <= last["e"]), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
-
-    return F.aggregate(F.array_sort(r), F.array().cast("array<struct<s:int,e:int>>"), step)
-
-
-RANGES = "a long, ctx long, s int, e int"
-
-
-def _range_batch(rows: list) -> pa.RecordBatch:
-    a, ctx, s, e = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(ctx, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["a", "ctx", "s", "e"])
-
-
-def in_shards(copies: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges (a, ctx, s, e, counted from the context's start) by suffix arrays of whole groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, places, names = [], [], []
-        held = 0
-
-        def flush():
-            found = [(*names[k], s, e) for k, s, e in shard_repeats(texts, places, length)]
-            return [_range_batch(found)] if found else []
-
-        for b in batches:
-            for a, ctx, key, lo, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if held >= SHARD and names[-1][0] != a:
-                    yield from flush()
-                    texts, places, names, held = [], [], [], 0
-                texts.append(text)
-                places.append((key, lo))
-                names.append((a, ctx))
-                held += len(text)
-        if texts:
-            yield from flush()
-
-    return copies.select("a", "ctx", "key", "lo", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, RANGES)
-
-
-def by_strings(copies: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: strings are grouped by their hashes, and repeat if they stand at two places of documents."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Bytes(), Bytes()
-        two.value = mix(two.value)
-        for b in slices(batches, 100):
-            text, off = flat(b.column(4))
-            one.load(text)
-            two.load(text)
-            n = len(text)
-            at = np.arange(n)
-            start = np.flatnonzero(at + length <= np.repeat(off[1:], np.diff(off)))
-            k = np.searchsorted(off, start, side="right") - 1
-            h1, h2 = one.runs(start, start + length), two.runs(start, start + length) >> np.uint64(32)
-            a, ctx, key, lo = (b.column(i).to_numpy(zero_copy_only=False)[k] for i in range(4))
-            s = start - off[k]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2.astype(np.int64), a, ctx, key, lo + s, s.astype(np.int32))], ["h1", "h2", "a", "ctx", "key", "at", "s"])
-
-    rows = copies.select("a", "ctx", "key", "lo", "bytes").mapInArrow(spread, "h1 long, h2 long, a long, ctx long, key long, at long, s int")
-    place = F.struct("key", "at")
-    again = rows.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h1", "h2")
-    return rows.join(again, ["h1", "h2"]).select("a", "ctx", "s", (F.col("s") + length).alias("e"))
-
-
-def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
-    rows = keyed(documents.select("doc_id", "text"))
+    rows = marked(documents.select("doc_id", "text"))
     found = written(anchors(rows, length, gram), "anchors")
-    whole = found.groupBy("a", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "pos")).alias("one"))
-    several = whole.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("most"))
-    several = several.where("n > 1 OR most > 1")
-    told = written(whole.join(several, "a").select("a", "ctx", "c", "one", "n"), "contexts")
-    chosen = told.where("n > 1").select("a", "ctx", "one.key", "one.pos", "n")
-    copies = written(contexts(rows, chosen, length, gram), "copies")
-    parts = in_shards(copies.where(F.col("n") <= group), length).union(by_strings(copies.where(F.col("n") > group), length))
-    marked = written(parts.groupBy("a", "ctx").agg(merged(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("r")), "ranges")
-    back = reach(length, gram)
-    lo = F.greatest(F.lit(0), F.col("pos") - back)
-    full = found.join(told.where("c > 1").select("a", "ctx"), ["a", "ctx"]).select("key", lo.alias("s"), (F.col("pos") + length).alias("e"))
-    some = found.join(marked, ["a", "ctx"]).select("key", lo.alias("lo"), F.explode("r").alias("r")).select("key", (F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e"))
-    marks = full.union(some).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    whole = found.groupBy("a", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "tag", "lo", "before", "n")).alias("one"))
+    several = whole.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("c").alias("most"), F.min("c").alias("fewest")).where("m > 1 OR most > 1")
+    told = written(whole.join(several, "a").select("a", "ctx", "c", "one", "m", "fewest"), "contexts")
+    size = F.greatest(F.lit(1), F.ceil(F.col("m") * (length + (length - gram) // 2) / shard)).cast("int")
+    chosen = told.where("m > 1 AND fewest = 1").select("a", F.pmod("ctx", size).cast("int").alias("salt"), "one.*", (F.col("c") == 1).alias("single"), (size > 1).alias("split"))
+    sorted_ = written(in_shards(contexts(rows, chosen, length), length, shard), "ranges")
+    copied = found.join(told.where("c > 1").select("a", "ctx"), ["a", "ctx"]).select("key", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
+    marks = copied.union(sorted_.where("core IS NULL").select("key", "tag", "s", "e")).union(between_shards(sorted_.where("core IS NOT NULL"), length))
+    marks = marks.groupBy("key", "tag").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
+        for b in slices(batches, 500, 4 << 20):
             out: list[list] = [[] for _ in range(4)]
             marks = b.column(2)
             for i, text in enumerate(byte_texts(b.column(1))):
@@ -265,7 +250,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: i
                 if marks[i].is_valid:
                     s, e = (marks[i].values.field(k).to_numpy() for k in (0, 1))
                     edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, s, 1)
+                    np.add.at(edge, np.minimum(s, n), 1)
                     np.add.at(edge, np.minimum(e, n), -1)
                     s, e = ranges(np.cumsum(edge)[:n] > 0)
                     removed, spans = int((e - s).sum()), len(s)
@@ -274,7 +259,8 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: i
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = StructType([documents.schema["doc_id"], *StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").fields])
+    return rows.join(marks, ["key", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(frugal(cut), schema)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
