@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from cases import messy
+import pyarrow as pa
+from cases import messy, words
 from pyspark.sql import functions as F
 
-from variorum.llm import byte_bpe, chat_format, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, substring_dedup, suffix_array, suffix_dedup, url_filter
+from variorum.llm import byte_bpe, chat_format, common, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, substring_dedup, suffix_array, suffix_dedup, url_filter
 
 ROWS = [(i, (t or "").encode()) for i, t, *_ in messy()]
 
@@ -74,7 +76,25 @@ def test_replay_with_lower_ranks_later():
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    assert byte_bpe.replay(pieces, ranks) == [plain(p) for p in pieces]
+    ids, count = byte_bpe.replay(pieces, ranks)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain(p) for p in pieces]
+
+
+def test_byte_bpe_digests_and_white_space(spark):
+    """What the query returns, against tiktoken: runs of all kinds of white space, marks, null and empty texts, clashing columns."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(3)
+    parts = [" ", " ", "  ", "\n", " \n", "\t", "a", "bc", "'s", "12", "!?", "\x1c", "\u3000", "é", "字", "\r\n", "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [None, "", " ", "   ", " a", "  a", "a  ", "x" * 3000, "字" * 2000]
+    docs = spark.createDataFrame([(i, t, "mine", "also") for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in byte_bpe.encode(docs, *byte_bpe.vocabulary(), digest=True).collect()}
+    for i, t in enumerate(texts):
+        ids = e.encode_ordinary(t or "")
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), t
 
 
 def test_url_filter(spark):
@@ -156,36 +176,94 @@ def test_substring_dedup(docs, empty):
     for cells in (substring_dedup.CELLS, 1 << 10):  # a full sketch only lets more windows through
         got = substring_dedup.dedup(docs, cells=cells, carry=["lang", "key", "marks"])
         assert collected(got, "n_words", "n_removed", "kept") == sorted(want, key=str)
-        assert got.select("key", "marks", "lang").distinct().collect() == [(5, "x", "en")]
+        assert got.select("rest.key", "rest.marks", "rest.lang").distinct().collect() == [(5, "x", "en")]
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def odd_rows(spark):
+    """A doc_id that is the hash of a null text, texts that share a doc_id, repeated rows, null texts and ids."""
+    long, other = " ".join(words(120, 31)), " ".join(words(90, 32))
+    rows = [(42, long), (43, long), (None, None), (44, "short"), (44, other), (44, long + " end"), (None, other), (None, other), (45, None), (None, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+
+def test_dedup_of_ids_that_clash(spark):
+    rows, docs = odd_rows(spark)
+    seqs = [tuple((t or "").split()) for _, t in rows]
+    want = [(i, len(q), int(m.sum())) for (i, _), q, m in zip(rows, seqs, cut(seqs, 35), strict=True)]
+    assert collected(substring_dedup.dedup(docs), "n_words", "n_removed") == sorted(want, key=str)
+    seqs = [(t or "").encode() for _, t in rows]
+    want = [(i, len(q), int(m.sum())) for (i, _), q, m in zip(rows, seqs, cut(seqs, 60), strict=True)]
+    assert collected(suffix_dedup.dedup(docs, length=60, gram=16), "n_bytes", "n_removed") == sorted(want, key=str)
+
+
+def test_known_windows_in_one_task(spark):
+    """A passage that many documents of a task share, in several batches of it."""
+    passage = words(50, 33)
+    rows = [(i, " ".join(words(30, 100 + i) + passage + words(1200, 500 + i))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seqs = [tuple(t.split()) for _, t in rows]
+    want = [(i, 1280, int(m.sum())) for (i, _), m in zip(rows, cut(seqs, 35), strict=True)]
+    assert collected(substring_dedup.dedup(docs), "n_words", "n_removed") == sorted(want, key=str)
+
+
+def test_long_words_that_polynomials_confuse():
+    """Two words of 2,048 bytes whose polynomial hashes agree modulo 2 ** 64 for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    x, y = (bytes(97 + (b ^ f) for b in bits) for f in (0, 1))
+    h, _ = common.WordHashes()(pa.array([x, y], pa.binary()))
+    assert h[0] != h[1]
+
+
 def test_suffix_dedup(docs, empty):
     texts = [t for _, t in ROWS]
     want = []
     for (i, t), mark in zip(ROWS, cut(texts, 60), strict=True):
         spans = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
         want.append((i, len(t), int(mark.sum()), spans, hashlib.sha256(bytes(c for c, m in zip(t, mark, strict=True) if not m)).hexdigest()))
-    for group in (1000, 1):  # by suffix arrays, and spread by strings
-        got = suffix_dedup.dedup(docs, length=60, gram=16, group=group).withColumn("kept", F.sha2("kept", 256))
+    for shard in (suffix_dedup.SHARD, 150):  # groups in one shard each, and cut into many
+        got = suffix_dedup.dedup(docs, length=60, gram=16, shard=shard).withColumn("kept", F.sha2("kept", 256))
         assert collected(got, "n_bytes", "n_removed", "n_spans", "kept") == sorted(want, key=str)
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_at_production_length(spark):
+    """400 bytes, many documents that share passages and parts of them, repeats within a document, periodic texts; in one shard and in many."""
+    r = random.Random(5)
+    base = " ".join(words(900, 41)).encode()
+    texts = []
+    for k in range(250):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            i = r.randrange(0, 2000)
+            parts += [" ".join(words(r.randint(0, 25), 1000 + r.randrange(400))).encode(), base[i : i + r.choice([380, 399, 400, 401, 450, 700])]]
+        texts.append(b" ".join(parts))
+    texts += [b"ab" * 700, b"ab" * 650, b"a" * 1000, b"a" * 399, b"abc" * 140, base[:500] * 2, b""]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = []
+    for i, (t, mark) in enumerate(zip(texts, cut(texts, 400), strict=True)):
+        want.append((i, len(t), int(mark.sum()), int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum()), hashlib.sha256(bytes(c for c, m in zip(t, mark, strict=True) if not m)).hexdigest()))
+    for shard in (suffix_dedup.SHARD, 3000):
+        got = suffix_dedup.dedup(docs, shard=shard).withColumn("kept", F.sha2("kept", 256))
+        assert collected(got, "n_bytes", "n_removed", "n_spans", "kept") == sorted(want, key=str)
+
+
 def test_suffix_array():
+    """Which strings repeat in a shard of random contexts, against brute force."""
     r = np.random.default_rng(0)
-    for k in range(60):
-        t = r.integers(1, 2 + k % 3, int(r.integers(1, 60)))
-        t = np.append(np.tile(t, 1 + k % 3), 0)
-        sa = suffix_array.suffix_array(t, int(t.max()) + 1, 10**6)
-        plain = t.tolist()
-        assert sa.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
-        shared = suffix_array.common_prefixes(t, sa, 20)
-        for a, b in zip(sa, sa[1:], strict=False):
-            n = 0
-            while n < 20 and max(a, b) + n < len(plain) and plain[a + n] == plain[b + n]:
-                n += 1
-            assert shared[b] == n
+    for _ in range(200):
+        n, length = int(r.integers(1, 30)), 12
+        group, left = np.sort(r.integers(0, 3, n)), r.integers(0, 9, n)
+        right = r.integers(4, 13, n)
+        parts = [r.integers(97, 99, x + y).astype(np.uint8) for x, y in zip(left, right, strict=True)]
+        size = left + right
+        start = np.cumsum(size) - size
+        least, most = suffix_array.repeats(np.concatenate(parts), start, size, left, group, length)
+        strings = [{i: (g, i, p[x - i : x - i + length].tobytes()) for i in range(x + 1) if x - i + length <= len(p)} for g, x, p in zip(group, left, parts, strict=True)]
+        count = Counter(v for d in strings for v in d.values())
+        for k, d in enumerate(strings):
+            own = [i for i, v in d.items() if count[v] > 1]
+            assert (least[k], most[k]) == ((min(own), max(own)) if own else (-1, -1))
 
 
 def test_chat_format(spark):
@@ -211,6 +289,41 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Items planted word for word, with every tenth word changed or dropped, and with neighbours swapped; short items word for word. Recall is 0.9 or more for each kind, and texts of the same words in another order stay."""
+    r = random.Random(8)
+    vocabulary = [w for w in dict.fromkeys(words(4000, 1)) if len(w) > 2]
+    weight = [1 / (k + 5) for k in range(len(vocabulary))]
+    draw = lambda n: r.choices(vocabulary, weight, k=n)
+    items = [(k, draw(r.choice([18, 25, 40, 60, 90, 150]))) for k in range(120)] + [(1000 + k, draw(r.randint(5, 11))) for k in range(30)]
+
+    def changed(w, kind):
+        w = list(w)
+        if kind == "replaced":
+            return [r.choice(vocabulary) if i % 10 == 4 and i < 0.7 * len(w) else x for i, x in enumerate(w)]
+        if kind == "dropped":
+            return [x for i, x in enumerate(w) if i % 10 != 4 or i >= 0.7 * len(w)]
+        if kind == "swapped":
+            for i in range(0, int(0.7 * len(w)) - 1, 8):
+                w[i], w[i + 1] = w[i + 1], w[i]
+        return w
+
+    rows, want = [], {}
+    for k, w in items:
+        for kind in ("exact", "replaced", "dropped", "swapped") if k < 1000 else ("short",):
+            want[len(rows)] = (k, kind)
+            rows.append((len(rows), " ".join(draw(r.randint(20, 300)) + changed(w, kind) + draw(r.randint(20, 300)))))
+    clean = len(rows)
+    rows += [(clean + k, " ".join(draw(400))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, bench).collect()}
+    caught = Counter(kind for d, (k, kind) in want.items() if (d, k) in found)
+    total = Counter(kind for _, kind in want.values())
+    assert all(caught[kind] >= 0.9 * n for kind, n in total.items()), (caught, total)
+    assert caught["short"] == total["short"] and not [d for d, _ in found if d >= clean]
+
+
 def test_quality_classifier(spark, sf_dir, docs, empty):
     got = quality_classifier.op10_quality_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.quality == got.predicted).mean() > 0.9
