@@ -137,21 +137,89 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
-def test_jaccard_signatures_meet():
-    """Any two similar sets index a common signature: sizes from 5, with and without frequent subsets."""
+def similar(r, n):
+    """Two different sets of a similarity of 0.8 or more."""
+    while True:
+        u = np.unique(r.integers(0, 2**64, n, np.uint64))
+        v = np.unique(np.concatenate([r.permutation(u)[int(r.integers(0, n // 5 + 1)) :], r.integers(0, 2**64, int(r.integers(0, n // 5 + 1)), np.uint64)]))
+        common = len(np.intersect1d(u, v))
+        if max(len(u), len(v)) > common and 100 * common >= 80 * (len(u) + len(v) - common):
+            return u, v
+
+
+def test_jaccard_segments_within_thresholds():
+    """Of two similar sets each shares at least as many subsets as it needs, and whatever thresholds of 0 and 1 add up to H + 1, one segment lies within its own."""
     r = np.random.default_rng(5)
     bands = jaccard_join.Bands()
-    for hot in (np.zeros(jaccard_join.HOT_BITS // 64, np.uint64), np.full(jaccard_join.HOT_BITS // 64, 0x5555555555555555, np.uint64)):
-        for _ in range(1500):
-            n = int(r.integers(5, 120))
-            u = np.unique(r.integers(0, 2**64, n, np.uint64))
-            drop = int(r.integers(0, n // 5 + 1))
-            add = int(r.integers(0, n // 5 + 1))
-            v = np.unique(np.concatenate([r.permutation(u)[drop:], r.integers(0, 2**64, add, np.uint64)]))
-            common = len(np.intersect1d(u, v))
-            if len(u) != common and 100 * common >= 80 * (len(u) + len(v) - common) or len(v) != common and 100 * common >= 80 * (len(u) + len(v) - common):
-                a, b = (jaccard_join.all_signatures(x, bands, hot) for x in (u, v))
-                assert len(np.intersect1d(a, b)), (len(u), len(v), common)
+    second = 0
+    for _ in range(1500):
+        u, v = similar(r, int(r.integers(5, 150)))
+        common = [(x, y) for x in bands.partitions(len(u)) for y in bands.partitions(len(v)) if x[0] == y[0]]
+        assert common
+        met = False
+        for (band, segments, h), (_, _, g) in common:
+            a, b = (jaccard_join.Segments(x, band, segments) for x in (u, v))
+            shared = np.intersect1d(a.subsets(), b.subsets())
+            if len(np.setxor1d(u, v)) > min(h, g):
+                continue
+            met = True
+            assert len(shared) >= max(len(a.sizes) - h, len(b.sizes) - g)
+            # thresholds of 1 wherever they can be: the subset, or a deletion on one side, is the same
+            near = np.concatenate([shared, np.intersect1d(a.deletions()[1], b.subsets()), np.intersect1d(a.subsets(), b.deletions()[1])])
+            if np.minimum(a.sizes, 2).sum() > h:
+                assert len(near)
+                second += len(near) > len(shared)
+            elif np.minimum(b.sizes, 2).sum() <= g:
+                assert len(np.intersect1d(a.elements(h + 1), b.elements(g + 1)))
+        assert met
+    assert second  # segments that only a one-deletion neighbourhood finds
+
+
+def test_jaccard_allocation(spark):
+    """Ten sets share all subsets but one, which in two of them differs by one element: the two look through the one-deletion list, not through a list of ten."""
+    row = "sig long, kind byte, cls long, part byte, seg int, gain byte, most int, due int"
+    rows = [(seg, 0, c, 0, seg, 2, 8, 7) for seg in range(3) for c in range(10)]
+    rows += [(100, 0, 1, 0, 3, 2, 8, 7), (100, 1, 2, 0, 3, 2, 8, 7)]
+    got = {r.sig for r in jaccard_join.allocated(spark.createDataFrame(rows, row)).collect()}
+    assert got == {0, 1, 2, 100}  # due 7: of four segments that add 2 each, three whole and one half
+    rows = [(seg, 0, c, 0, seg, 2, 8, 3) for seg in range(3) for c in range(10)] + rows[-2:]
+    rows = [(*r[:-1], 3) for r in rows]
+    got = {r.sig for r in jaccard_join.allocated(spark.createDataFrame(rows, row)).where("sig is not null").collect()}
+    assert 100 in got and got != {0, 1, 2, 100}  # due 3: the cheap neighbourhood and one list of ten
+
+
+def brute_components(sets):
+    n = len(sets)
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if label[i] != label[j] and c * 100 >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_jaccard_join_of_near_copies(spark, monkeypatch):
+    """A group of near copies about the threshold, passages that many texts share, short texts; blocks of a few sets."""
+    r = random.Random(11)
+    base, passage = words(150, 61), words(45, 62)
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        texts.append(" ".join(w))
+    texts += [" ".join(words(r.randint(5, 40), 700 + k) + passage + words(r.randint(5, 40), 900 + k)) for k in range(80)]
+    for k in range(60):
+        w = words(r.randint(5, 30), 2000 + k)
+        texts += [" ".join(w), " ".join(w[1:]), " ".join([*w, "end"])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = brute_components([shingles(t.encode()) for t in texts])
+    for block in (jaccard_join.BLOCK, 20):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = {x.doc_id: x.component_id for x in jaccard_join.join(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def cut(seqs, n):

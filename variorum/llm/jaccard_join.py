@@ -2,21 +2,23 @@
 
 A text's set holds the 64-bit hashes of its distinct five-word shingles (a shorter text: of its whole sequence). Two
 sets of sizes a and b with similarity of at least 0.8 differ in at most H = (a + b) / 9 elements. Sizes fall into bands;
-the partition of a band cuts the universe of hashes into segments, and since each difference spoils one segment, all but
-H segments of the larger set's band are equal in both sets.
-
-Allocation: segments are ordered by cost, and a set indexes only its first H + 1 subsets that are not empty, under its
-own band and, while it can be the smaller one, the next. Subsets that are frequent in an eighth of all sets (those of
-passages that many texts share) cost most, then small ones, ties by hash; what is frequent is a broadcast bitmap of a
-fixed size, and decides only on the order, never on what is found. The first
-common subset in that order is among the H + 1 first ones of either set, so a pair is met if either set has as many.
-Sets with fewer add a second tier: all their subsets with their one-deletion neighbourhoods, which meet a segment with
-one difference too; where even this falls short of H + 1, a third tier of single elements.
-
-Equal sets count once. Sets that meet are verified exactly: first each with the smallest member of one of its buckets,
-then, in a few rounds, with another neighbour in each of its buckets, then all pairs of a bucket that are still in
-different components. A pair in one component needs no test, so a group of near copies costs a few tests a member and
-bucket. No bucket is capped.
+the partition of a band cuts the universe of hashes into H + 2 segments, and a set takes part in that of its own band
+and, while it can be the smaller one, of the next. Equal sets count once.
+
+1. Subsets: the hashes of all segment subsets are grouped over all sets. A set with m segments that are not empty shares
+   at least m - H of its subsets with a partner, so one that shares fewer with others has none and is done.
+2. Neighbourhoods: the sets that are left index their subsets and, of each, the one-deletion neighbourhood. Lists are
+   measured, and each set allocates thresholds to its segments: none (skipped), 0 (equal subsets) or 1 (subsets that
+   differ by one element, the same or a deletion on either side), cheapest lists first, until they add up to H + 1: then
+   one segment at least lies within its threshold. Segments without any list count two and cost nothing; a set for which
+   these suffice has no partner. Sets whose segments are too small for H + 1 add the hashes of their H + 1 first elements.
+3. Sets that share an allocated list are verified exactly. First each with one neighbour; then, where a list still holds
+   several components, lists are cut into blocks, and the pairs of a block that lie in different components and whose
+   sizes and parities (2,048 bits of each set, which can only underestimate a difference) allow a link are sought: a
+   spanning forest of them first, in the end all. Only pairs that may link leave a block.
+
+A subset that a task meets in two sets is known to be shared: it sends one row for the whole task to its group, and its
+other rows go to any task. No list is capped.
 
 Nulls and edge cases: a null or empty text has no shingles and is linked with nothing; rows sharing a doc_id must be
 repeats of one row; a doc_id may be any number; null doc_ids are named by their texts, beside a flag that tells these names
@@ -30,19 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, row_key, slices, small, table, written
+from .common import WordHashes, frugal, mix, row_key, slices, small, table, written
 from .components import components
+from .substring_dedup import Known
 
 N = 5
 #: Similarity at least NUM / DEN.
 NUM, DEN = 80, 100
 #: Rows of a table that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Rounds of tests with neighbours before the rest of all pairs.
-ROUNDS = 3
+#: Sets of a list that are compared with each other, or with as many others, in one go.
+BLOCK = 1500
+BITS = 2048
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -86,41 +90,44 @@ class Bands:
             self.high.append(self.low[-1] * DEN // NUM)
         return int(np.searchsorted(self.high, size))
 
-    def segments(self, band: int) -> int:
-        top = self.high[band]
-        return max(differences(top, top) + 2, round(0.5 * top))
-
-
-#: Bits of the bitmap of frequent subsets, the share of sets that it counts, and how many of those make a subset frequent.
-HOT_BITS, HOT_SHARE, HOT = 1 << 24, 8, 4
-
-
-def is_hot(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    at = sig & np.uint64(HOT_BITS - 1)
-    return (hot[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-
-
-def signatures(u: np.ndarray, band: int, segments: int, h: int, hot: np.ndarray | None) -> np.ndarray:
-    """What a set indexes under a band's partition if partners may differ in h elements; without a bitmap: all its subsets."""
-    seg = ((u >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    starts = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
-    sizes = np.diff(starts, append=len(u))
-    mixed = mix(u ^ _ODD[4])
-    sums = np.add.reduceat(mixed, starts)
-    place = mix((np.uint64(band + 1) << np.uint64(32)) + seg[starts])
-    sig = mix(sums ^ place)
-    if hot is None:
-        return sig
-    if len(sig) > h:
-        return sig[np.lexsort((sig, -sizes, is_hot(sig, hot)))[: h + 1]] if len(sig) > h + 1 else sig
-    # second tier: all subsets with their one-deletion neighbourhoods
-    many = np.repeat(sizes > 1, sizes)
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    near = np.concatenate([sums, (sums[which] - mixed)[many]]) ^ np.concatenate([place, place[which][many]])
-    out = [sig, mix(near ^ _ODD[0])]
-    if np.minimum(sizes, 2).sum() <= h:  # third tier: single elements
-        out.append(mix(np.sort(mixed)[: h + 1] ^ mix(np.array([band + 1], np.uint64)) ^ _ODD[1]))
-    return np.concatenate(out)
+    def partitions(self, size: int) -> list[tuple[int, int, int]]:
+        """Of the partitions that a set of this size takes part in: band, number of segments, and in how many elements partners may differ."""
+        most = size * DEN // NUM
+        if not differences(size, most):
+            return []  # only equal sets are similar
+        band = self.of(size)
+        self.of(most)
+        segments = lambda b: differences(self.high[b], self.high[b]) + 2
+        found = [(band, segments(band), differences(size, min(most, self.high[band])))]
+        if most > self.high[band]:
+            found.append((band + 1, segments(band + 1), differences(size, most)))
+        return found
+
+
+class Segments:
+    """A set under the partition of a band: numbers, sizes and hashes of its segment subsets that are not empty."""
+
+    def __init__(self, u: np.ndarray, band: int, segments: int):
+        seg = ((u >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+        starts = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
+        self.number, self.sizes = seg[starts].astype(np.int64), np.diff(starts, append=len(u))
+        self.mixed = mix(u ^ _ODD[4])
+        self.sums = np.add.reduceat(self.mixed, starts)
+        self.place = mix((np.uint64(band + 1) << np.uint64(32)) + seg[starts])
+        self.band = band
+
+    def subsets(self) -> np.ndarray:
+        return mix(self.sums ^ self.place)
+
+    def deletions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which segment, and the hash of its subset without one element, for each element of segments of two or more."""
+        which = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        many = self.sizes[which] > 1
+        which = which[many]
+        return which, mix((self.sums[which] - self.mixed[many]) ^ self.place[which])
+
+    def elements(self, n: int) -> np.ndarray:
+        return mix(np.sort(self.mixed)[:n] ^ mix(np.array([self.band + 1], np.uint64)) ^ _ODD[1])
 
 
 class Sets:
@@ -132,16 +139,9 @@ class Sets:
         return [shingles(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def all_signatures(u: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.ndarray:
-    size, most = len(u), len(u) * DEN // NUM
-    if not differences(size, most):
-        return u[:0]  # only equal sets are similar
-    band = bands.of(size)
-    bands.of(most)
-    found = [signatures(u, band, bands.segments(band), differences(size, min(most, bands.high[band])), hot)]
-    if most > bands.high[band]:
-        found.append(signatures(u, band + 1, bands.segments(band + 1), differences(size, most), hot))
-    return np.concatenate(found)
+def even(sig: np.ndarray, band: int) -> np.ndarray:
+    """Hashes that tell the parity of their band by their last bit."""
+    return sig & ~np.uint64(1) | np.uint64(band & 1)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -159,85 +159,274 @@ def classes(rows: DataFrame) -> DataFrame:
             cls = np.array([class_of(u) if len(u) else 0 for u in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(n), pa.array(cls, mask=n == 0)], ["doc_id", "key", "n_shingles", "cls"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, cls long")
+    return rows.mapInArrow(frugal(run), "doc_id long, key long, n_shingles long, cls long")
+
 
+SUBSETS = "sig long, cls long, need short, own long"
 
-def indexed(rows: DataFrame, hot: np.ndarray | None) -> DataFrame:
-    """sig and cls: what each set indexes, copies of a set in one task once; without a bitmap, all subsets of a share of the sets."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+def subsets(rows: DataFrame) -> DataFrame:
+    """sig, cls and need (how many subsets the set shares with a partner at least) of all segment subsets, copies of a set in one task once; own: sig where it is known to be shared, sig then being any number unless the row tells other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bands, seen, hot = Sets(), Bands(), set(), shared.value
+        sets, bands, seen, shared = Sets(), Bands(), set(), Known()
         for b in slices(batches, 1000, 2 << 20):
-            sigs, names = [], []
+            found: list[tuple] = []
             for u in sets(b.column(0)):
-                if len(u) and (name := class_of(u)) not in seen and (hot is not None or name % HOT_SHARE == 0):
+                if len(u) and (name := class_of(u)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(name)
-                    if len(s := all_signatures(u, bands, hot)):
-                        sigs.append(s)
-                        names.append(np.full(len(s), name, np.uint64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names).view(np.int64))], ["sig", "cls"])
-
-    return rows.select("text").mapInArrow(run, "sig long, cls long")
-
-
-def frequent(rows: DataFrame) -> np.ndarray:
-    """The bitmap of subsets that several of an eighth of all sets have."""
-    some = indexed(rows, None).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
-    at = F.col("sig").bitwiseAND(F.lit(HOT_BITS - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = some.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()  # HOT_BITS / 64 rows at most
-    hot = np.zeros(HOT_BITS // 64, np.int64)
-    hot[words.w.to_numpy(np.int64)] = words.bits.to_numpy(np.int64)
-    return hot.view(np.uint64)
-
-
-def buckets_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and cls: sig, hub (the smallest cls of the sig) and cls, without repeats and without sigs of one class. Holds one batch."""
-    last = hub = top = None  # of the row before: sig, its hub, cls
+                    for band, segments, h in bands.partitions(len(u)):
+                        sig = even(Segments(u, band, segments).subsets(), band)
+                        found.append((sig, name, len(sig) - h))
+            if not found:
+                continue
+            n = [len(x) for x, _, _ in found]
+            sig = np.concatenate([x for x, _, _ in found])
+            cls = np.repeat(np.array([x for _, x, _ in found], np.uint64), n)
+            need = np.repeat(np.clip([x for _, _, x in found], -1, 30000).astype(np.int16), n)
+            known = shared(sig, np.zeros(len(sig), np.uint32))
+            own = pa.array(sig.view(np.int64), mask=known == 0)
+            dealt = np.where(known == 1, mix(sig + cls), sig)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(need), own], ["sig", "cls", "need", "own"])
+
+    return rows.select("text").mapInArrow(frugal(run), SUBSETS)
+
+
+def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of subsets() sorted by sig and cls: sig, cls and need of those that another class has too, or that may have no subset in common with a partner. Holds one batch and one row."""
+    names = ["sig", "cls", "need"]
+    held: pa.RecordBatch | None = None  # the first row of the last sig, if it is not given out
+    last: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        sig, cls = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
-        fresh = new | np.concatenate([[top is None or cls[0] != top], cls[1:] != cls[:-1]])
-        run = np.cumsum(new)
-        hubs = np.concatenate([[0 if hub is None else hub], cls[new]])[run]
-        member = fresh & ~new  # each is a class that is not the hub of its sig
-        at = np.flatnonzero(member)
-        firsts = at[np.unique(run[at], return_index=True)[1]]  # the hub has a row too, once there is another class
-        out_sig = np.concatenate([sig[member], sig[firsts]])
-        out_hub = np.concatenate([hubs[member], hubs[firsts]])
-        out_cls = np.concatenate([cls[member], hubs[firsts]])
-        yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_hub), pa.array(out_cls)], ["sig", "hub", "cls"])
-        last, hub, top = sig[-1], hubs[-1], cls[-1]
+        sig, cls, need = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        own = b.column(3)
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        if last is not None and last[0] == sig[0]:
+            new[0] = False
+        run = np.cumsum(new) - new[0]
+        first = np.zeros(run[-1] + 1, np.int64)
+        at = np.flatnonzero(new)
+        first[run[at]] = at
+        leader = cls[first][run]  # the class of each sig's first row
+        if not new[0]:
+            leader[run == 0] = last[1]
+        several = np.zeros(run[-1] + 1, bool)
+        several[run[cls != leader]] = True
+        if not new[0]:
+            if held is not None and several[0]:
+                yield held
+                held = None
+            several[0] |= last[2]
+        keep = several[run] | (need <= 0) | own.is_valid().to_numpy(zero_copy_only=False)
+        true = pa.array(np.where(own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy(), sig))
+        rows = pa.RecordBatch.from_arrays([true, b.column(1), b.column(2)], names)
+        yield rows.filter(pa.array(keep))
+        end = int(run[-1])
+        if end or new[0]:
+            k = int(first[end])
+            held = None if keep[k] else rows.slice(k, 1)
+        last = (sig[-1], leader[-1], bool(several[end]))
 
 
 def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """cls, n, u (the set) and bits (512 parities of it) of the chosen classes (cls, stand_in, key)."""
+    """cls, n, u (the set) and bits (parities of it) of the chosen classes (cls, stand_in, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
         for b in slices(batches, 500, 2 << 20):
             found = sets(b.column(1))
-            bits = [np.packbits(np.bincount((u & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64) for u in found]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).view(np.int64))) for xs in (found, bits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(u) for u in found], pa.int64()), *lists], ["cls", "n", "u", "bits"])
+            bits = [np.packbits(np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes() for u in found]
+            at = np.concatenate([[0], np.cumsum([len(u) for u in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), lists, pa.array(bits, pa.binary())], ["cls", "n", "u", "bits"])
 
     own = chosen.select("cls", "stand_in", "key").join(rows.select("stand_in", "key", "text"), ["stand_in", "key"])
-    return own.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(run, "cls long, n long, u array<long>, bits array<long>")
+    return own.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(frugal(run), "cls long, n long, u array<long>, bits binary")
+
+
+ENTRIES = "sig long, kind byte, cls long, part byte, seg int, gain byte, most int, due int"
+
+
+def entries(sets: DataFrame) -> DataFrame:
+    """What each set (cls, u, parts: parities of bands) indexes: kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; gain: the most that its segment adds to the thresholds, most: that all add, due: H + 1."""
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands()
+        for b in slices(batches, 200):
+            out: list[list[np.ndarray]] = []
+            for cls, u, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                u = u.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                for band, segments, h in bands.partitions(len(u)):
+                    if (band & 1) not in parts:
+                        continue
+                    s = Segments(u, band, segments)
+                    which, deleted = s.deletions()
+                    gain = np.minimum(s.sizes, 2)
+                    due = h + 1
+                    first = s.elements(due) if gain.sum() < due else deleted[:0]
+                    kind = np.repeat(np.array([0, 1, 2], np.int8), [len(gain), len(which), len(first)])
+                    n = len(kind)
+                    out.append([
+                        np.concatenate([s.subsets(), deleted, first]).view(np.int64), kind, np.full(n, cls, np.int64), np.full(n, band & 1, np.int8),
+                        np.concatenate([s.number, s.number[which], np.full(len(first), -1)]).astype(np.int32),
+                        np.concatenate([gain, gain[which], np.zeros(len(first), np.int64)]).astype(np.int8), np.full(n, gain.sum(), np.int32), np.full(n, due, np.int32),
+                    ])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+    return sets.select("cls", "u", "parts").mapInArrow(frugal(run), ENTRIES)
+
+
+def lists_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by sig and kind: those of sigs with two entries or more, of which one at least is no deletion. Holds one batch and one row."""
+    held: pa.RecordBatch | None = None
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        going = last is not None and last[0] == sig[0]
+        new[0] = not going
+        run = np.cumsum(new) - new[0]
+        at = np.flatnonzero(new)
+        good, size = np.zeros(run[-1] + 1, bool), np.bincount(run)
+        good[run[at]] = kind[at] != 1
+        if going:
+            good[0], size[0] = last[1], size[0] + 1
+            if held is not None and good[0]:
+                yield held
+        keep = (good & (size > 1))[run]
+        yield b.filter(pa.array(keep))
+        held = b.slice(b.num_rows - 1, 1) if good[run[-1]] and not keep[-1] else None
+        last = (sig[-1], bool(good[run[-1]]))
+
+
+def allocated(lists: DataFrame) -> DataFrame:
+    """The sigs of the lists that some set has to look through (lists: entries that are not alone)."""
+    counts = lists.groupBy("sig").agg(F.count_if(F.col("kind") == 0).alias("equal"), F.count(F.lit(1)).alias("all"))
+    priced = lists.join(counts, "sig").groupBy("cls", "part").agg(F.max("most").alias("most"), F.max("due").alias("due"), F.collect_list(F.struct("seg", "kind", "sig", "gain", "equal", "all")).alias("e"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            chosen: list[np.ndarray] = []
+            for most, due, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                seg, kind, sig, gain, equal, every = (e.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                # by segment: the list of a threshold of 0, and what 1 adds to it
+                number, own = np.unique(seg[kind < 2], return_inverse=True)
+                k, q, a = kind[kind < 2], equal[kind < 2], every[kind < 2]
+                zero = np.bincount(own, (k == 0) * (q - 1), len(number))
+                one = np.bincount(own, np.where(k == 0, a - q, q), len(number))
+                adds = np.zeros(len(number), np.int64)
+                adds[own] = gain[kind < 2]
+                left = due - (most - adds.sum())
+                if left <= 0:
+                    continue
+                both = (adds == 2) & (one < zero)  # 1 is cheaper by what it adds than 0
+                first = np.where(both, (zero + one) / 2, zero)
+                second = np.where(adds == 2, np.where(both, first, one), np.inf)
+                cost, step = np.concatenate([first, second]), np.repeat([0, 1], len(number))
+                order = np.lexsort((np.tile(np.arange(len(number)), 2), step, cost))
+                order = order[: min(left, int(adds.sum()))]
+                threshold = np.full(len(number), -1)
+                np.maximum.at(threshold, order % max(1, len(number)), step[order])
+                threshold[both & (threshold == 0)] = 1
+                ok = np.ones(len(seg), bool)
+                ok[kind < 2] = threshold[own] >= k
+                chosen.append(sig[ok])
+            if chosen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen))], ["sig"])
+
+    return priced.select("most", "due", "e").mapInArrow(frugal(run), "sig long").distinct()
+
+
+def forest(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs (p, q) are enough to connect what all of them connect; label: the component of each node."""
+    label = np.unique(label, return_inverse=True)[1]
+    taken = np.zeros(len(p), bool)
+    while True:
+        x, y = label[p], label[q]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
+            return taken
+        lo, hi = np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        # each component joins the least one next to it
+        order = np.lexsort((lo, hi))
+        top = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
+        taken[open_[top]] = True
+        to = np.arange(label.max() + 1)
+        to[hi[top]] = lo[top]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def candidates(members: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (x, y) of the classes of a list (sig, cls, comp, n, bits) in different components that may link by sizes and parities: all, or a forest of them a block."""
+    counts = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "bits")
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        own, cls, comp, n = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(cls), -1)
+        cross = rows.column(1)[0].as_py() != rows.column(2)[0].as_py()
+        found = []
+        for i in range(0, len(cls), 64):
+            part = slice(i, i + 64)
+            total = n[part, None] + n
+            ok = (comp[part, None] != comp) & (np.minimum(n[part, None], n) * DEN >= np.maximum(n[part, None], n) * NUM) & (np.arange(len(cls)) > np.arange(i, min(i + 64, len(cls)))[:, None])
+            if cross:
+                ok &= own[part, None] != own
+            p, q = np.nonzero(ok)
+            limit = total[p, q] * (DEN - NUM)
+            p += i
+            for w in (slice(0, 4), slice(4, None)):
+                differ = np.bitwise_count(bits[p, w] ^ bits[q, w]).sum(1, dtype=np.int64) if w.start == 0 else differ + np.bitwise_count(bits[p, w] ^ bits[q, w]).sum(1, dtype=np.int64)
+                stay = differ * (DEN + NUM) <= limit
+                p, q, limit, differ = p[stay], q[stay], limit[stay], differ[stay]
+            if len(p):
+                found.append((p, q))
+        if found:
+            p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not whole:
+                take = forest(p, q, comp)
+                p, q = p[take], q[take]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[p], cls[q])), pa.array(np.maximum(cls[p], cls[q]))], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], axis=0)) + 1
+            if held and any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != place[i][0] for i in range(3)):
+                yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            edges = [0, *cuts.tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i:
+                    yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(frugal(run), "x long, y long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among pairs of classes (x, y). Sizes and parities, which can only underestimate the difference, go first."""
-    light = sets.select("cls", "n", "bits")
-    p = pairs.join(light.toDF("x", "nx", "bx"), "x").join(light.toDF("y", "ny", "by"), "y")
-    differ = F.aggregate(F.zip_with("bx", "by", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
-    p = p.where((F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM) & (differ * (DEN + NUM) <= (F.col("nx") + F.col("ny")) * (DEN - NUM)))
-    p = p.select("x", "y", "nx", "ny")
-    heavy = sets.select("cls", "u")
+    """The links (a, b) among pairs of classes (x, y)."""
+    light, heavy = sets.select("cls", "n"), sets.select("cls", "u")
+    p = pairs.join(light.toDF("x", "nx"), "x").join(light.toDF("y", "ny"), "y").where(F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM)
     both = p.join(heavy.toDF("x", "ux"), "x").join(heavy.toDF("y", "uy"), "y")
     common = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny", F.size(F.array_intersect("ux", "uy")).alias("c"))
     return common.where(F.col("c") * DEN >= (F.col("nx") + F.col("ny") - F.col("c")) * NUM).select("a", "b")
@@ -247,44 +436,34 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, key, n_shingles, cls), classes (cls, doc_id, stand_in, key: their smallest names, doc_ids first) and the heads of components of several classes (cls, doc_id, stand_in, key: the smallest names of the component)."""
     rows = keyed(documents)
     told = written(classes(rows), "classes")
-    index = indexed(rows, frequent(rows)).repartition("sig").sortWithinPartitions("sig", "cls")
-    buckets = written(index.mapInArrow(buckets_of_two, "sig long, hub long, cls long"), "buckets")
     names = smallest(told.where("cls IS NOT NULL").withColumn("stand_in", F.col("doc_id").isNull()), "cls")
-    met = written(names.join(buckets.select("cls").distinct(), "cls"), "met")
-    sets = written(sets_of(rows, small(met, BROADCAST_ROWS)), "sets")
-
-    def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The component of each class, and the buckets that hold several."""
-        c = components(links)
-        comp = sets.join(c, sets.cls == c.node, "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-        comp = written(comp, "comp")
-        own = buckets.join(comp, "cls")
+    met = written(subsets(rows).repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(frugal(not_alone), "sig long, cls long, need short"), "met")
+    part = F.col("sig").bitwiseAND(F.lit(1)).cast("byte").alias("part")
+    left = met.groupBy("cls", part).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need")
+    left = left.groupBy("cls").agg(F.collect_set("part").alias("parts"))
+    met = written(names.join(left, "cls"), "left")
+    sets = written(sets_of(rows, small(met, BROADCAST_ROWS)).join(small(met.select("cls", "parts"), BROADCAST_ROWS), "cls"), "sets")
+    lists = written(entries(sets).repartition("sig").sortWithinPartitions("sig", "kind").mapInArrow(frugal(lists_of_two), ENTRIES), "lists")
+    lists = written(lists.join(allocated(lists), "sig").select("sig", "cls").distinct(), "allocated")
+
+    def components_of(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The component of each class, and the lists that hold several."""
+        comp = sets.select("cls", "n", "bits").join(components(links).toDF("cls", "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        own = lists.join(comp.select("cls", "comp"), "cls")
         apart = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return comp, written(own.join(apart, "sig"), "apart")
-
-    def untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["x", "y"], "left_anti")
-        return written(pairs, "pairs")
-
-    tested = [untested(buckets.where("hub <> cls").groupBy(F.col("cls").alias("y")).agg(F.min("hub").alias("x")), [])]
-    links = written(verified(tested[0], sets), "links")
-    comp, apart = merged(links)
-    for k in range(ROUNDS):
+        return comp, written(own.join(apart, "sig").select("sig", "cls", "comp"), "apart")
+
+    hubs = lists.groupBy("sig").agg(F.min("cls").alias("hub"))
+    tested = written(lists.join(hubs, "sig").where("hub <> cls").groupBy(F.col("cls").alias("y")).agg(F.min("hub").alias("x")).select("x", "y"), "pairs")
+    links = written(verified(tested, sets), "links")
+    for whole in (False, True):
+        comp, apart = components_of(links)
         if apart.isEmpty():
             break
-        # each class with another neighbour in each of its buckets: no more pairs than rows
-        w = Window.partitionBy("sig").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
-        near = apart.select(F.lag("cls").over(w).alias("x"), F.col("cls").alias("y"), F.lag("comp").over(w).alias("cx"), "comp").where("cx <> comp")
-        tested.append(untested(near, tested))
-        links = written(links.union(verified(tested[-1], sets)), "links")
-        comp, apart = merged(links)
-    if not apart.isEmpty():
-        one = apart.join(sets.select("cls", "n"), "cls").select("sig", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-        two = one.toDF("sig", "y", "cy", "ny")
-        rest = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM))
-        links = written(links.union(verified(untested(rest, tested), sets)), "links")
+        members = apart.join(comp.select("cls", "n", "bits"), "cls").select("sig", "cls", "comp", "n", "bits")
+        pairs = written(candidates(members, whole).distinct().join(tested, ["x", "y"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        links = written(links.union(verified(pairs, sets)), "links")
     c = components(links).toDF("cls", "component")
     heads = small(written(smallest(names.join(c, "cls"), "component"), "heads"), BROADCAST_ROWS)
     return told, names, c.join(heads, "component").drop("component")
