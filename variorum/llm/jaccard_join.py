@@ -169,7 +169,7 @@ def subsets(rows: DataFrame) -> DataFrame:
     """sig, cls and need (how many subsets the set shares with a partner at least) of all segment subsets, copies of a set in one task once; own: sig where it is known to be shared, sig then being any number unless the row tells other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bands, seen, shared = Sets(), Bands(), set(), Known()
+        sets, bands, seen, shared = Sets(), Bands(), set(), Known(1 << 18)
         for b in slices(batches, 1000, 2 << 20):
             found: list[tuple] = []
             for u in sets(b.column(0)):
@@ -185,7 +185,7 @@ def subsets(rows: DataFrame) -> DataFrame:
             sig = np.concatenate([x for x, _, _ in found])
             cls = np.repeat(np.array([x for _, x, _ in found], np.uint64), n)
             need = np.repeat(np.clip([x for _, _, x in found], -1, 30000).astype(np.int16), n)
-            known = shared(sig, np.zeros(len(sig), np.uint32))
+            known = shared(sig)
             own = pa.array(sig.view(np.int64), mask=known == 0)
             dealt = np.where(known == 1, mix(sig + cls), sig)
             yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(need), own], ["sig", "cls", "need", "own"])
@@ -194,7 +194,7 @@ def subsets(rows: DataFrame) -> DataFrame:
 
 
 def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows of subsets() sorted by sig and cls: sig, cls and need of those that another class has too, or that may have no subset in common with a partner. Holds one batch and one row."""
+    """Of rows of subsets() sorted by sig: sig, cls and need of those that another class has too, or that may have no subset in common with a partner. Holds one batch and one row."""
     names = ["sig", "cls", "need"]
     held: pa.RecordBatch | None = None  # the first row of the last sig, if it is not given out
     last: tuple | None = None
@@ -252,7 +252,7 @@ ENTRIES = "sig long, kind byte, cls long, part byte, seg int, gain byte, most in
 
 
 def entries(sets: DataFrame) -> DataFrame:
-    """What each set (cls, u, parts: parities of bands) indexes: kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; gain: the most that its segment adds to the thresholds, most: that all add, due: H + 1."""
+    """What each set (cls, u, parts: parities of bands) indexes, by sig (its last bit is kind 1, so that a list begins with its subsets): kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; gain: the most that its segment adds to the thresholds, most: that all add, due: H + 1."""
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def entries(sets: DataFrame) -> DataFrame:
                     kind = np.repeat(np.array([0, 1, 2], np.int8), [len(gain), len(which), len(first)])
                     n = len(kind)
                     out.append([
-                        np.concatenate([s.subsets(), deleted, first]).view(np.int64), kind, np.full(n, cls, np.int64), np.full(n, band & 1, np.int8),
+                        (np.concatenate([s.subsets(), deleted, first]) & ~np.uint64(1) | (kind == 1).astype(np.uint64)).view(np.int64), kind, np.full(n, cls, np.int64), np.full(n, band & 1, np.int8),
                         np.concatenate([s.number, s.number[which], np.full(len(first), -1)]).astype(np.int32),
                         np.concatenate([gain, gain[which], np.zeros(len(first), np.int64)]).astype(np.int8), np.full(n, gain.sum(), np.int32), np.full(n, due, np.int32),
                     ])
@@ -283,13 +283,15 @@ def entries(sets: DataFrame) -> DataFrame:
 
 
 def lists_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by sig and kind: those of sigs with two entries or more, of which one at least is no deletion. Holds one batch and one row."""
+    """Of entries sorted by sig: those of lists with two entries or more, of which one at least is no deletion; sig without its last bit. Holds one batch and one row."""
     held: pa.RecordBatch | None = None
     last: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
         sig, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        sig = sig >> 1
+        b = b.set_column(0, "sig", pa.array(sig))
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         going = last is not None and last[0] == sig[0]
@@ -374,24 +376,28 @@ def candidates(members: DataFrame, whole: bool) -> DataFrame:
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "bits")
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        own, cls, comp, n = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of whole blocks."""
+        sig, i, j, own, cls, comp, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
         bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(cls), -1)
-        cross = rows.column(1)[0].as_py() != rows.column(2)[0].as_py()
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        begins = np.flatnonzero(new)
+        after = np.append(begins[1:], len(sig))[np.cumsum(new) - 1] - np.arange(len(sig)) - 1  # members of its block after each
+        total = np.concatenate([[0], np.cumsum(after)])
         found = []
-        for i in range(0, len(cls), 64):
-            part = slice(i, i + 64)
-            total = n[part, None] + n
-            ok = (comp[part, None] != comp) & (np.minimum(n[part, None], n) * DEN >= np.maximum(n[part, None], n) * NUM) & (np.arange(len(cls)) > np.arange(i, min(i + 64, len(cls)))[:, None])
-            if cross:
-                ok &= own[part, None] != own
-            p, q = np.nonzero(ok)
-            limit = total[p, q] * (DEN - NUM)
-            p += i
+        k = 0
+        while k < len(sig):
+            end = max(k + 1, int(np.searchsorted(total, total[k] + 500_000, side="right")) - 1)
+            p = np.repeat(np.arange(k, end), after[k:end])
+            q = p + 1 + np.arange(len(p)) - (total[p] - total[k])
+            k = end
+            ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) * DEN >= np.maximum(n[p], n[q]) * NUM) & ((i[p] == j[p]) | (own[p] != own[q]))
+            p, q = p[ok], q[ok]
+            differ = np.zeros(len(p), np.int64)
             for w in (slice(0, 4), slice(4, None)):
-                differ = np.bitwise_count(bits[p, w] ^ bits[q, w]).sum(1, dtype=np.int64) if w.start == 0 else differ + np.bitwise_count(bits[p, w] ^ bits[q, w]).sum(1, dtype=np.int64)
-                stay = differ * (DEN + NUM) <= limit
-                p, q, limit, differ = p[stay], q[stay], limit[stay], differ[stay]
+                differ = differ + np.bitwise_count(bits[p, w] ^ bits[q, w]).sum(1, dtype=np.int64)
+                stay = differ * (DEN + NUM) <= (n[p] + n[q]) * (DEN - NUM)
+                p, q, differ = p[stay], q[stay], differ[stay]
             if len(p):
                 found.append((p, q))
         if found:
@@ -399,26 +405,26 @@ def candidates(members: DataFrame, whole: bool) -> DataFrame:
             if not whole:
                 take = forest(p, q, comp)
                 p, q = p[take], q[take]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[p], cls[q])), pa.array(np.maximum(cls[p], cls[q]))], ["x", "y"])
+            x, y = np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])
+            once = np.unique(np.stack([x, y], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], ["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            place = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], axis=0)) + 1
-            if held and any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != place[i][0] for i in range(3)):
-                yield from pairs(pa.Table.from_batches(held).combine_chunks())
-                held = []
-            edges = [0, *cuts.tolist(), b.num_rows]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if i:
-                    yield from pairs(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(b.slice(i, j - i))
+            held.append(b)
+            if sum(x.num_rows for x in held) < 4 * BLOCK:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            sig, i, j = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            last = int(np.flatnonzero((sig == sig[-1]) & (i == i[-1]) & (j == j[-1]))[0])  # its block may go on
+            held = [rows.slice(last)]
+            if last:
+                yield from pairs(rows.slice(0, last))
         if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+            yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(frugal(run), "x long, y long")
 
@@ -437,14 +443,17 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = keyed(documents)
     told = written(classes(rows), "classes")
     names = smallest(told.where("cls IS NOT NULL").withColumn("stand_in", F.col("doc_id").isNull()), "cls")
-    met = written(subsets(rows).repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(frugal(not_alone), "sig long, cls long, need short"), "met")
+    met = written(subsets(rows).repartition("sig").sortWithinPartitions("sig").mapInArrow(frugal(not_alone), "sig long, cls long, need short"), "met")
     part = F.col("sig").bitwiseAND(F.lit(1)).cast("byte").alias("part")
     left = met.groupBy("cls", part).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need")
     left = left.groupBy("cls").agg(F.collect_set("part").alias("parts"))
     met = written(names.join(left, "cls"), "left")
     sets = written(sets_of(rows, small(met, BROADCAST_ROWS)).join(small(met.select("cls", "parts"), BROADCAST_ROWS), "cls"), "sets")
-    lists = written(entries(sets).repartition("sig").sortWithinPartitions("sig", "kind").mapInArrow(frugal(lists_of_two), ENTRIES), "lists")
-    lists = written(lists.join(allocated(lists), "sig").select("sig", "cls").distinct(), "allocated")
+    lists = written(entries(sets).repartition(F.shiftright("sig", 1)).sortWithinPartitions("sig").mapInArrow(frugal(lists_of_two), ENTRIES), "lists")
+    lists = lists.join(allocated(lists), "sig").select("sig", "cls")
+    members = lists.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("one"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("two"), F.count(F.lit(1)).alias("n"))
+    once = members.groupBy("one", "two", "n").agg(F.min("sig").alias("sig")).select("sig")  # lists of the same sets say the same
+    lists = written(lists.join(once, "sig"), "allocated")
 
     def components_of(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The component of each class, and the lists that hold several."""

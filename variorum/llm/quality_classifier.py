@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices
+from .common import byte_texts, frugal, slices
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -104,14 +104,14 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
             w, bias = train([texts[i] for i in order], np.array([ys[i] for i in order], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
-    got = rows.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = rows.repartition(1).mapInArrow(frugal(run), "weights binary, bias double").collect()
     return Model(np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias) if got else Model(np.zeros(BUCKETS), 0.0)
 
 
 class Scores(dict):
     """Of a word: the sum of its features' weights (real) and their number (imaginary)."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, weights: list[float]):
         super().__init__()
@@ -140,7 +140,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for b in slices(batches, 2000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(byte_texts(b.column(1)), words, m.bias))], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def filter_rows(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -154,7 +154,7 @@ def filter_rows(documents: DataFrame, model: Model, least: float = 0.5) -> DataF
         for b in slices(batches, 2000):
             yield b.filter(pa.array(scores(byte_texts(b.column(at)), words, m.bias) >= least))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

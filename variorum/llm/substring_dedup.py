@@ -185,28 +185,28 @@ def runs_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Known:
-    """Windows that a task has met twice: they repeat wherever they stand, and one row of a task is enough to tell other tasks. At most SIZE are remembered; what is forgotten sends more rows."""
+    """What a task has met twice repeats wherever it stands, and one row of a task is enough to tell other tasks. At most `size` are remembered; what is not sends more rows."""
 
-    SIZE = 1 << 20
+    def __init__(self, size: int = 1 << 20):
+        self.size, self.h1, self.h2 = size, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
-    def __init__(self):
-        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-
-    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """0: not known to repeat, 1: known, 2: known, and the row that tells other tasks."""
+    def __call__(self, h1: np.ndarray, h2: np.ndarray | None = None) -> np.ndarray:
+        """Of hashes of two parts, or one: 0: not known to repeat, 1: known, 2: known, and the row that tells other tasks."""
         out = np.zeros(len(h1), np.int8)
+        order = np.argsort(h1) if h2 is None else np.lexsort((h2, h1))
+        h1 = h1[order]
+        h2 = np.zeros(len(h1), np.uint32) if h2 is None else h2[order]
+        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        first = np.concatenate([[True], ~same])[: len(h1)]
+        heads = np.flatnonzero(first)
+        state = np.where(np.concatenate([same, [False]])[: len(h1)][heads], 2, 0)  # of each number: alone, or met twice now
         if len(self.h1):
-            at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-            out[(self.h1[at] == h1) & (self.h2[at] == h2)] = 1
-        order = np.flatnonzero(out == 0)
-        order = order[np.lexsort((h2[order], h1[order]))]
-        if not len(order):
-            return out
-        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        out[order[1:][same]] = 1
-        told = order[np.concatenate([same, [False]]) & ~np.concatenate([[False], same])]
-        out[told] = 2
-        if len(self.h1) + len(told) <= self.SIZE:
+            at = np.minimum(np.searchsorted(self.h1, h1[heads]), len(self.h1) - 1)
+            state[(self.h1[at] == h1[heads]) & (self.h2[at] == h2[heads])] = 1
+        run = np.cumsum(first) - 1
+        out[order] = np.where(first, state[run], np.minimum(state[run], 1))
+        told = heads[state == 2]
+        if len(self.h1) + len(told) <= self.size:
             h1, h2 = np.concatenate([self.h1, h1[told]]), np.concatenate([self.h2, h2[told]])
             order = np.argsort(h1, kind="stable")
             self.h1, self.h2 = h1[order], h2[order]
