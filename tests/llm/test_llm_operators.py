@@ -177,15 +177,13 @@ def test_jaccard_segments_within_thresholds():
 
 def test_jaccard_allocation(spark):
     """Ten sets share all subsets but one, which in two of them differs by one element: the two look through the one-deletion list, not through a list of ten."""
-    row = "sig long, kind byte, cls long, part byte, seg int, gain byte, most int, due int"
-    rows = [(seg, 0, c, 0, seg, 2, 8, 7) for seg in range(3) for c in range(10)]
-    rows += [(100, 0, 1, 0, 3, 2, 8, 7), (100, 1, 2, 0, 3, 2, 8, 7)]
-    got = {r.sig for r in jaccard_join.allocated(spark.createDataFrame(rows, row)).collect()}
-    assert got == {0, 1, 2, 100}  # due 7: of four segments that add 2 each, three whole and one half
-    rows = [(seg, 0, c, 0, seg, 2, 8, 3) for seg in range(3) for c in range(10)] + rows[-2:]
-    rows = [(*r[:-1], 3) for r in rows]
-    got = {r.sig for r in jaccard_join.allocated(spark.createDataFrame(rows, row)).where("sig is not null").collect()}
-    assert 100 in got and got != {0, 1, 2, 100}  # due 3: the cheap neighbourhood and one list of ten
+    row = "sig long, cls long, slot long, most int, due int"
+    for due in (7, 3):
+        rows = [(seg, c, jaccard_join.slot(seg, 0, 2, 0), 8, due) for seg in range(3) for c in range(10)]
+        rows += [(100, 1, jaccard_join.slot(3, 0, 2, 0), 8, due), (100, 2, jaccard_join.slot(3, 1, 2, 0), 8, due)]
+        got = {r.sig for r in jaccard_join.allocated(spark.createDataFrame(rows, row)).collect()}
+        # four segments that add 2 each: 7 needs them all; for 3 the neighbourhood of two and one list of ten do, for sets without it one list of ten
+        assert got == ({0, 1, 2, 100} if due == 7 else {0, 100}), got
 
 
 def brute_components(sets):

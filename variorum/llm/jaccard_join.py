@@ -15,7 +15,8 @@ and, while it can be the smaller one, of the next. Equal sets count once.
 3. Sets that share an allocated list are verified exactly. First each with one neighbour; then, where a list still holds
    several components, lists are cut into blocks, and the pairs of a block that lie in different components and whose
    sizes and parities (2,048 bits of each set, which can only underestimate a difference) allow a link are sought: a
-   spanning forest of them first, in the end all. Only pairs that may link leave a block.
+   spanning forest of them first (in one list of each set, then in all), in the end all. Only pairs that may link leave a
+   block.
 
 A subset that a task meets in two sets is known to be shared: it sends one row for the whole task to its group, and its
 other rows go to any task. No list is capped.
@@ -248,11 +249,16 @@ def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return own.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(frugal(run), "cls long, n long, u array<long>, bits binary")
 
 
-ENTRIES = "sig long, kind byte, cls long, part byte, seg int, gain byte, most int, due int"
+ENTRIES = "sig long, cls long, slot long, most int, due int"
+
+
+def slot(seg, kind, gain, part):
+    """A segment, and what an entry is of it, in one number."""
+    return seg * 64 + kind * 16 + gain * 4 + part
 
 
 def entries(sets: DataFrame) -> DataFrame:
-    """What each set (cls, u, parts: parities of bands) indexes, by sig (its last bit is kind 1, so that a list begins with its subsets): kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; gain: the most that its segment adds to the thresholds, most: that all add, due: H + 1."""
+    """What each set (cls, u, parts: parities of bands) indexes, by sig (its last bit is kind 1, so that a list begins with its subsets): kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; slot: its segment, kind, the most that the segment adds to the thresholds, and the part; most: what all segments add, due: H + 1."""
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +277,11 @@ def entries(sets: DataFrame) -> DataFrame:
                     first = s.elements(due) if gain.sum() < due else deleted[:0]
                     kind = np.repeat(np.array([0, 1, 2], np.int8), [len(gain), len(which), len(first)])
                     n = len(kind)
+                    number = np.concatenate([s.number, s.number[which], np.zeros(len(first), np.int64)])
+                    gains = np.concatenate([gain, gain[which], np.zeros(len(first), np.int64)])
                     out.append([
-                        (np.concatenate([s.subsets(), deleted, first]) & ~np.uint64(1) | (kind == 1).astype(np.uint64)).view(np.int64), kind, np.full(n, cls, np.int64), np.full(n, band & 1, np.int8),
-                        np.concatenate([s.number, s.number[which], np.full(len(first), -1)]).astype(np.int32),
-                        np.concatenate([gain, gain[which], np.zeros(len(first), np.int64)]).astype(np.int8), np.full(n, gain.sum(), np.int32), np.full(n, due, np.int32),
+                        (np.concatenate([s.subsets(), deleted, first]) & ~np.uint64(1) | (kind == 1).astype(np.uint64)).view(np.int64), np.full(n, cls, np.int64),
+                        slot(number, kind.astype(np.int64), gains, band & 1), np.full(n, gain.sum(), np.int32), np.full(n, due, np.int32),
                     ])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
@@ -289,8 +296,7 @@ def lists_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sig, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        sig = sig >> 1
+        sig, kind = b.column(0).to_numpy() >> 1, b.column(2).to_numpy() >> 4 & 3
         b = b.set_column(0, "sig", pa.array(sig))
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
@@ -312,14 +318,15 @@ def lists_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def allocated(lists: DataFrame) -> DataFrame:
     """The sigs of the lists that some set has to look through (lists: entries that are not alone)."""
-    counts = lists.groupBy("sig").agg(F.count_if(F.col("kind") == 0).alias("equal"), F.count(F.lit(1)).alias("all"))
-    priced = lists.join(counts, "sig").groupBy("cls", "part").agg(F.max("most").alias("most"), F.max("due").alias("due"), F.collect_list(F.struct("seg", "kind", "sig", "gain", "equal", "all")).alias("e"))
+    counts = lists.groupBy("sig").agg(F.count_if(F.col("slot").bitwiseAND(F.lit(48)) == 0).alias("equal"), F.count(F.lit(1)).alias("all"))
+    priced = lists.join(counts, "sig").groupBy("cls", F.col("slot").bitwiseAND(F.lit(1)).alias("part")).agg(F.max("most").alias("most"), F.max("due").alias("due"), F.collect_list(F.struct("slot", "sig", "equal", "all")).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
             chosen: list[np.ndarray] = []
             for most, due, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                seg, kind, sig, gain, equal, every = (e.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                slots, sig, equal, every = (e.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                seg, kind, gain = slots >> 6, slots >> 4 & 3, slots >> 2 & 3
                 # by segment: the list of a threshold of 0, and what 1 adds to it
                 number, own = np.unique(seg[kind < 2], return_inverse=True)
                 k, q, a = kind[kind < 2], equal[kind < 2], every[kind < 2]
@@ -465,10 +472,12 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hubs = lists.groupBy("sig").agg(F.min("cls").alias("hub"))
     tested = written(lists.join(hubs, "sig").where("hub <> cls").groupBy(F.col("cls").alias("y")).agg(F.min("hub").alias("x")).select("x", "y"), "pairs")
     links = written(verified(tested, sets), "links")
-    for whole in (False, True):
+    for few, whole in ((True, False), (False, False), (False, True)):
         comp, apart = components_of(links)
         if apart.isEmpty():
             break
+        if few:  # a list for each class, which most sets of a group have in common
+            apart = apart.join(apart.groupBy("cls").agg(F.min("sig").alias("sig")).select("sig").distinct(), "sig")
         members = apart.join(comp.select("cls", "n", "bits"), "cls").select("sig", "cls", "comp", "n", "bits")
         pairs = written(candidates(members, whole).distinct().join(tested, ["x", "y"], "left_anti"), "pairs")
         tested = tested.union(pairs)
