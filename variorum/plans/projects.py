@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from ..query import Registry, table
 
 registry = Registry()
@@ -43,16 +44,22 @@ R("i02_renumber", "SELECT l_orderkey, l_linenumber, CAST(0 AS BIGINT) + row_numb
 R("i03_first_per_key", "SELECT user_id, event_id FROM (SELECT user_id, event_id, CAST(0 AS BIGINT) + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {events}) WHERE k = 1")
 R("i08_version_history", "SELECT user_id, event_id, CAST(0 AS BIGINT) + row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS version FROM {events}")
 R("j01_page", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
-R("j04_composite_order", "SELECT l_orderkey, l_linenumber, CAST(0 AS BIGINT) + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM {lineitem} WHERE l_orderkey < 200")
+@registry.add("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem")
+def j04_composite_order(spark, sf_dir):
+    """Numbers all rows by a composite key."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return numbered(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "k").select("l_orderkey", "l_linenumber", "k")
+
+
 R("j05_study_queue", "SELECT user_id, n FROM (SELECT user_id, count(*) AS n, max(ts) AS last_seen FROM {events} GROUP BY user_id) ORDER BY n, last_seen, user_id LIMIT 25")
 R("j07_display_order", "SELECT n_name, CAST(0 AS BIGINT) + row_number() OVER (ORDER BY CASE WHEN n_regionkey = 2 THEN 0 WHEN n_regionkey = 3 THEN 1 ELSE 2 END, n_nationkey) AS k FROM {nation}")
 R("j08_page_of_record", "SELECT page_id, (CAST(0 AS BIGINT) + row_number() OVER (ORDER BY page_id) - 1) // 20 + 1 AS page FROM {pages}".replace("(CAST(0 AS BIGINT) + row_number() OVER (ORDER BY page_id) - 1) // 20 + 1", "CAST(floor((page_id) / 20.0) AS BIGINT) + 1"))
 R("k01_union_sources", "SELECT 'd' AS kind, doc_id AS id FROM {documents} UNION ALL SELECT 'b', item_id FROM {benchmark}")
 R("k02_dedup_by_span", "SELECT text, min(doc_id) AS doc_id, count(*) AS n FROM {documents} GROUP BY text".replace("SELECT text,", "SELECT md5(text) AS digest,"))
 R("k04_remove_witnesses", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
-R("k05_decision_upsert", "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.q, o.q) AS q, n.q IS NOT NULL AS fresh FROM (SELECT doc_id, quality AS q FROM {labels} WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id, toxic AS q FROM {labels} WHERE doc_id % 2 = 0) n ON o.doc_id = n.doc_id")
+R("k05_decision_upsert", "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.q, o.q) AS q, n.q IS NOT NULL AS fresh FROM (SELECT doc_id, CAST(n_chars AS BIGINT) AS q FROM {documents}) o FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS q FROM {labels}) n ON o.doc_id = n.doc_id")
 R("k07_intersect_except", "(SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) EXCEPT SELECT doc_id FROM {labels} WHERE toxic = 1")
-R("k08_cascade_delete", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P')")
+R("k08_cascade_delete", "SELECT l_orderkey, l_linenumber FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'P')")
 R("k09_delete_and_renumber", "SELECT conv_id, turn, CAST(0 AS BIGINT) + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS new_turn FROM {conversations} WHERE role <> 'system'")
 R("k10_latest_wins", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, CAST(0 AS BIGINT) + row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events}) WHERE k = 1")
 R("m03_history_append", "SELECT event_id, user_id FROM {events} WHERE event_type <> 'view' UNION ALL SELECT -1, 0")

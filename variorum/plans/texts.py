@@ -30,7 +30,7 @@ _digest("c03_normalize_sentence", T.normalize_sentence, rf"trim(regexp_replace(r
 _digest("c04_remove_empty_lines", T.remove_empty_lines, r"trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\n\t \x{3000}]+', ' ', 'g'))")
 _digest("c05_strip_punct", T.strip_marks, f"regexp_replace({_SQL_SPACELESS}, '{MARK}', '', 'g')")
 _digest("c06_strip_unicode_np", T.strip_numbers_and_punctuation, r"regexp_replace(text, '[\p{N}\p{P}\x{3000}\x{A0}]', '', 'g')")
-_digest("c29_latex_escape", lambda t: T.latex_escape(F.substring(t, 1, 2000)), r"""list_aggregate(list_transform(string_split(substr(text, 1, 2000), ''), lambda c:
+_digest("c29_latex_escape", T.latex_escape, r"""list_aggregate(list_transform(string_split(text, ''), lambda c:
   CASE c WHEN '\' THEN '\textbackslash{}' WHEN '&' THEN '\&' WHEN '%' THEN '\%' WHEN '$' THEN '\$' WHEN '#' THEN '\#' WHEN '_' THEN '\_' WHEN '{' THEN '\{' WHEN '}' THEN '\}' WHEN '~' THEN '\textasciitilde{}' WHEN '^' THEN '\textasciicircum{}' ELSE c END), 'string_agg', '')""")
 _digest("c35_highlight", lambda t: F.replace(t, F.lit("the"), F.lit("<mark>the</mark>")), "replace(text, 'the', '<mark>the</mark>')")
 _digest("c37_line_layout", lambda t: F.array_join(T.wrap(t, 80), "\n"), "coalesce(list_aggregate(list_transform(range(1, length(text) + 1, 80), lambda i: substr(text, i, 80)), 'string_agg', chr(10)), '')")
