@@ -121,3 +121,23 @@ def test_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("over").count() == want > 0
+
+
+def test_long_pairs_are_cut_at_anchors():
+    """Segments of a pair compared in parts cover both texts in order, keep what is equal, and find about as much as the whole comparison."""
+    import random
+
+    from variorum.operators import align
+
+    r = random.Random(2)
+    a = "".join(r.choice("abcdefghij ") for _ in range(6000))
+    b = a[:1000] + "new words" + a[1000:3000] + a[3040:4500] + "X" + a[4501:]
+    got = align.opcodes(a, b, False, cells=1_000_000)
+    i = j = 0
+    for tag, i1, i2, j1, j2 in got:
+        assert (i1, j1) == (i, j) and (tag != "equal" or a[i1:i2] == b[j1:j2])
+        i, j = i2, j2
+    assert (i, j) == (len(a), len(b)) and all(x[0] != y[0] for x, y in zip(got, got[1:]))
+    equal = sum(i2 - i1 for tag, i1, i2, _, _ in got if tag == "equal")
+    assert equal >= 5959 - 5 and len(align.opcodes(a, b, False)) <= len(got) <= 9
+    assert align.opcodes("ab" * 900, "cd" * 900, False, cells=1000) == [("replace", 0, 1800, 0, 1800)]

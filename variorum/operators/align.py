@@ -6,6 +6,7 @@ left to Spark. What follows the kernel (segments, statistics, variant tables) is
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -18,10 +19,65 @@ SEGMENT = StructType([StructField(n, t) for n, t in (("type", StringType()), ("t
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("text1", pa.string()), ("text2", pa.string()), ("i1", pa.int32()), ("i2", pa.int32()), ("j1", pa.int32()), ("j2", pa.int32())]))
 
 
+#: Pairs up to this product of lengths are compared in one go; longer ones are cut at anchors of so many characters.
+CELLS, ANCHOR = 16_000_000, 32
+
+
+def cuts(a: str, b: str, n: int = ANCHOR) -> list[tuple[int, int]]:
+    """Places (i, j) at which runs of n characters that stand once in either text begin, ascending in both: the longest such chain."""
+
+    def once(t: str) -> dict[str, int]:
+        seen: dict[str, int] = {}
+        for i in range(len(t) - n + 1):
+            run = t[i : i + n]
+            seen[run] = -1 if run in seen else i
+        return {run: i for run, i in seen.items() if i >= 0}
+
+    other = once(b)
+    pairs = sorted((i, other[run]) for run, i in once(a).items() if run in other)
+    tops: list[int] = []  # the least end of a chain of each length
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tops, j)
+        before.append(last[at - 1] if at else -1)
+        if at == len(tops):
+            tops.append(j)
+            last.append(k)
+        else:
+            tops[at], last[at] = j, k
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def opcodes(a: str, b: str, autojunk: bool, cells: int = CELLS) -> list[tuple[str, int, int, int, int]]:
+    """The kernel's segments. A pair beyond `cells` is compared between anchors, each part being of some thousand characters; parts without an anchor are compared whole."""
+    if len(a) * len(b) <= cells:
+        return SequenceMatcher(None, a, b, autojunk).get_opcodes()
+    step = max(ANCHOR, int(cells**0.5) // 2)
+    edges = [(0, 0)]
+    for i, j in cuts(a, b):
+        if min(i - edges[-1][0], j - edges[-1][1]) >= step:
+            edges.append((i, j))
+    edges.append((len(a), len(b)))
+    out: list[tuple[str, int, int, int, int]] = []
+    for (i, j), (k, m) in zip(edges, edges[1:], strict=False):
+        for tag, i1, i2, j1, j2 in SequenceMatcher(None, a[i:k], b[j:m], autojunk).get_opcodes():
+            if out and out[-1][0] == tag:
+                tag, i0, _, j0, _ = out.pop()
+                out.append((tag, i0, i + i2, j0, j + j2))
+            else:
+                out.append((tag, i + i1, i + i2, j + j1, j + j2))
+    return out
+
+
 def segments_of(a: str, b: str, fold: dict[int, str], autojunk: bool) -> list[dict]:
     """Equal, replace, insert and delete segments; texts are folded for the comparison only, and what is equal only when folded is a replace."""
     out = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a.translate(fold), b.translate(fold), autojunk).get_opcodes():
+    for tag, i1, i2, j1, j2 in opcodes(a.translate(fold), b.translate(fold), autojunk):
         kind = "replace" if tag == "equal" and a[i1:i2] != b[j1:j2] else tag
         out.append({"type": kind, "text1": a[i1:i2], "text2": b[j1:j2], "i1": i1, "i2": i2, "j1": j1, "j2": j2})
     return out
@@ -95,7 +151,7 @@ def transfer_marks(pairs: DataFrame, source: str, target: str, marks: str) -> Da
         solid = [i for i, c in enumerate(bare) if not c.isspace()]
         text = "".join(bare[i] for i in solid)
         to: dict[int, int] = {len(clean): len(text)}
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, "".join(clean), text, False).get_opcodes():
+        for tag, i1, i2, j1, j2 in opcodes("".join(clean), text, False):
             for i in range(i1, i2):
                 to[i] = j1 + (i - i1) if tag == "equal" else j1 + (i - i1) * (j2 - j1) // max(1, i2 - i1)
         put: dict[int, str] = {}

@@ -11,8 +11,6 @@ from ..query import Registry, table
 from .stemma import similarity
 
 registry = Registry()
-#: Pairs up to this product of lengths are aligned exactly; the kernel takes time in proportion.
-MOST_CELLS = 16_000_000
 
 
 def witness_pairs(documents: DataFrame) -> DataFrame:
@@ -22,7 +20,7 @@ def witness_pairs(documents: DataFrame) -> DataFrame:
     base = d.groupBy("g").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     p = d.join(base, "g").where(F.col("doc_id") != F.col("b.doc_id")).select("doc_id", F.col("b.doc_id").alias("base_id"), F.col("b.text").alias("base"), F.col("text").alias("witness"))
     x, y = F.length("base"), F.length("witness")
-    return p.where((p.base != p.witness) & (F.abs(x - y) * 10 <= F.greatest(x, y)) & (x.cast("long") * y <= MOST_CELLS)).repartition("doc_id")
+    return p.where((p.base != p.witness) & (F.abs(x - y) * 10 <= F.greatest(x, y))).repartition("doc_id")
 
 
 def aligned(spark, sf_dir) -> DataFrame:
