@@ -111,7 +111,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
 class Scores(dict):
     """Of a word: the sum of its features' weights (real) and their number (imaginary)."""
 
-    LIMIT = 250_000
+    LIMIT = 400_000
 
     def __init__(self, weights: list[float]):
         super().__init__()
