@@ -111,6 +111,30 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages, listed.limit(0)).where("verdict = 'block'").count() == 1
 
 
+def test_url_filter_without_broadcast(spark, monkeypatch):
+    """Pages without a URL, or without a hit, stay whole where the list is shuffled; the same pages repeat."""
+    urls = [None, None, "http://b.org/1", "http://www.b.org/1/", "http://b.org/2", "http://x.net/1", "http://7.org/1"] * 50
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    listed = spark.createDataFrame([("b.org/1",), ("-8",), ("",)], "canonical string")
+    told = lambda: sorted((r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(pages, listed).collect())
+    before = told()
+    assert [v for _, _, v in before[:7]] == ["allow", "allow", "block", "block", "allow", "block", "allow"]
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert told() == before and len(before) == len(urls)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_url_filter_lists_whole_hosts(spark):
+    urls = ["http://www.free-bets.example.com/en/51234", "https://m.spam-farm.example.org/es/7.html", "http://blog.cheap-pills.example.com/en/1", "http://nofree-bets.example.com/en/1", "http://free-bets.example.com.org/en/1", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.listed_urls(pages)).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 def shingles(text: bytes):
     w = tuple(text.lower().split())
     return {w[i : i + 5] for i in range(len(w) - 4)} if len(w) >= 5 else ({w} if w else set())
@@ -416,3 +440,24 @@ def test_license_families_that_differ_by_short_words(spark, docs):
     more = spark.createDataFrame([(i, "word " * 500 + "\n" + t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.families for r in license_scan.scan(more, license_scan.fit(docs.select("doc_id", "text"))).collect()}
     assert got == {0: "cc-by", 1: "cc-by-nc", 2: "cc-by-sa", 3: None}
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction."
+BSD = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met."
+GPL = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation."
+
+
+def test_wrapped_license_notices(spark, docs):
+    """Notices over several lines, alone, between paragraphs and inside one; two of a family that stand in one paragraph count by line."""
+    prose = "The river rose in spring and nobody crossed it.\nThey waited for the ferry."
+    cases = [
+        (MIT, "mit", 1), (BSD, "bsd", 1), (GPL, "gpl", 1),
+        (prose + "\n\n" + MIT + "\n \t\n" + prose, "mit", 1), (prose + "\n" + GPL + "\n" + prose, "gpl", 1),
+        (BSD + "\n\n" + GPL, "bsd,gpl", 2), ("Released under the MIT License.\n" + prose, "mit", 1),
+        (prose, None, 0), ("\n\n \n", None, 0), (None, None, 0),
+    ]
+    more = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    found = license_scan.scan(more, license_scan.fit(docs.select("doc_id", "text")))
+    got = {r.doc_id: (r.families, r.n_notices) for r in found.collect()}
+    assert got == {i: (family, n) for i, (_, family, n) in enumerate(cases)}
+    assert found.where("doc_id = 3").first().n_paragraphs == 3

@@ -2,7 +2,7 @@
 
 Listed canonical URLs fill a blocked Bloom filter held as a table: a URL's hash names one 64-bit block, and four bits
 of it; a block is the bitwise or of its URLs' bits. Pages are looked up in the blocks (broadcast while the table has at
-most BROADCAST_BLOCKS rows, else shuffled); only those whose four bits are all set are joined exactly, by the canonical
+most BROADCAST_BLOCKS rows, else shuffled, with pages that need no look-up spread over all tasks); only those whose four bits are all set are joined exactly, by the canonical
 URL, which removes the false positives. Host and path rules come before the list. DataFrame functions only.
 
 Canonical form: the host without a leading www. or m., and the path without a trailing slash or .html; scheme, port
@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BITS_PER_URL = 16
-BROADCAST_BLOCKS = 1 << 20
+#: At 16 bits a URL, a list of 262,144 URLs at most is broadcast.
+BROADCAST_BLOCKS = 1 << 16
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -68,7 +69,7 @@ def bloom_key(url: Column, blocks: int) -> tuple[Column, Column]:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """The rows of pages with host, path, rule and verdict; listed: column canonical, URLs to block."""
-    urls = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
+    urls = written(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct(), "listed-urls")
     n = urls.count()
     blocks = max(1, -(-n * BITS_PER_URL // 64))
     block, mask = bloom_key(F.col("canonical"), blocks)
@@ -79,30 +80,32 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "ur
     told = with_host_and_path(pages.drop("host", "path", "rule", "verdict"), url).withColumns({"rule": name, "_verdict": verdict})
     open_url = F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical())
     block, mask = bloom_key(F.col("_url"), blocks)
-    keyed = told.withColumn("_url", open_url).withColumn("_block", F.when(F.col("_url").isNotNull(), block)).withColumn("_mask", mask)
+    # keys that match nothing, by the row's own values, so that rows without a URL or a hit do not meet in one task
+    spread = F.pmod(F.xxhash64(*(F.col(c) for c, t in pages.dtypes if "map<" not in t and t != "variant")), F.lit(1 << 40))
+    keyed = told.withColumns({"_url": open_url, "_spread": -1 - spread}).withColumns({"_block": F.when(F.col("_url").isNotNull(), block).otherwise(F.col("_spread")), "_mask": mask})
     probed = keyed.join(bloom, "_block", "left")
     possible = F.when(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.col("_url"))
     hits = urls.select(F.col("canonical").alias("_hit"))
     if blocks <= BROADCAST_BLOCKS:
         hits = F.broadcast(hits)
-    joined = probed.withColumn("_possible", possible).join(hits, F.col("_possible") == F.col("_hit"), "left")
+    probed = probed.withColumn("_possible", possible).withColumn("_key", F.coalesce("_possible", F.col("_spread").cast("string")))
+    joined = probed.join(hits, (F.col("_key") == F.col("_hit")) & F.col("_possible").isNotNull(), "left")
     out = F.coalesce("_verdict", F.when(F.col("_hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return joined.withColumn("verdict", out).drop("_verdict", "_url", "_block", "_mask", "_bits", "_possible", "_hit")
+    return joined.withColumn("verdict", out).drop("_verdict", "_url", "_block", "_mask", "_bits", "_possible", "_hit", "_spread", "_key")
 
 
-#: The list that the query blocks: numbered pages of two hosts, in four languages.
-LISTED_HOSTS, LISTED_LANGS, LISTED_PAGES = ["spam-farm.example.org", "cheap-pills.example.com"], ["en", "fr", "es", "de"], 1000
+#: Hosts whose every known page the query lists, with all their subdomains.
+LISTED_HOST = r"(?:^|\.)(?:casino-win|cheap-pills|free-bets|spam-farm)\.example\.(?:com|net|org)\z"
 
 
-def listed_urls(spark) -> DataFrame:
-    hosts = F.explode(F.array(*map(F.lit, LISTED_HOSTS)))
-    langs = F.explode(F.array(*map(F.lit, LISTED_LANGS)))
-    return spark.range(LISTED_PAGES).select("id", hosts.alias("h")).select("id", "h", langs.alias("l")).select(F.concat("h", F.lit("/"), "l", F.lit("/"), F.col("id").cast("string")).alias("canonical"))
+def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The canonical URLs of all pages of the listed hosts, whatever their numbers: the list that a crawl of them gives."""
+    return with_host_and_path(pages.select(url), url).where(F.col("host").rlike(LISTED_HOST)).select(canonical().alias("canonical"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP3_SQL = r"""
@@ -116,7 +119,6 @@ j AS (SELECT *, CASE
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', ''),
-    '^(spam-farm\.example\.org|cheap-pills\.example\.com)/(en|fr|es|de)/(0|[1-9][0-9]{0,2})$') THEN 'block'
+  WHEN regexp_matches(host, '(^|\.)(casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)\z') THEN 'block'
   ELSE 'allow' END AS verdict FROM j
 """
