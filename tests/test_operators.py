@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from variorum.functions import text as T
 from variorum.functions.marks import MARKS
@@ -71,6 +72,50 @@ def test_transposition(spark):
     assert [(x.text1, x.text2) for x in got] == [("切一", "一切")]
 
 
+def segments_of(parts):
+    """Segments from (type, text1, text2), with running offsets."""
+    out, i, j = [], 0, 0
+    for kind, a, b in parts:
+        out.append((kind, a, b, i, i + len(a), j, j + len(b)))
+        i, j = i + len(a), j + len(b)
+    return out
+
+
+def test_wide_transpositions(spark):
+    """Runs of up to seven segments, compared with a plain scan; runs do not overlap, replaced text breaks them."""
+    cases = [
+        [("insert", "", "ab"), ("equal", "c", "c"), ("delete", "a", ""), ("equal", "x", "x"), ("delete", "b", "")],
+        [("insert", "", "a"), ("equal", "b", "b"), ("delete", "a", ""), ("equal", "b", "b"), ("insert", "", "a")],
+        [("insert", "", "a"), ("equal", "b", "b"), ("insert", "", "c"), ("equal", "d", "d"), ("delete", "a", ""), ("equal", "e", "e"), ("delete", "c", "")],
+        [("insert", "", "a"), ("replace", "b", "c"), ("delete", "a", "")],
+        [("insert", "", "a"), ("equal", "bcdefg", "bcdefg"), ("delete", "a", "")],
+        [("equal", "abc", "abc")], [],
+        [("delete", "a", ""), ("equal", "b", "b"), ("insert", "", "a"), ("equal", "zz", "zz"), ("insert", "", "d"), ("equal", "c", "c"), ("delete", "d", "")],
+    ]
+
+    def plain(parts):
+        s, out, i = segments_of(parts), [], 0
+        while i < len(s):
+            for n in range(2, 8) if s[i][0] in ("insert", "delete") else ():
+                w = s[i : i + n]
+                one, two = "".join(x[1] for x in w), "".join(x[2] for x in w)
+                kinds = {x[0] for x in w}
+                if len(w) == n and {"insert", "delete"} <= kinds <= {"insert", "delete", "equal"} and 2 <= len(one) <= 6 and one != two and sorted(one) == sorted(two):
+                    out.append((one, two, w[0][3], w[-1][4], w[0][5], w[-1][6]))
+                    i += n
+                    break
+            else:
+                i += 1
+        return out
+
+    df = spark.createDataFrame([(k, segments_of(c)) for k, c in enumerate(cases)], StructType().add("k", IntegerType()).add("s", ArrayType(align.SEGMENT)))
+    got = {k: [] for k in range(len(cases))}
+    for r in df.select("k", F.posexplode(align.merge_transpositions(F.col("s"))).alias("n", "x")).orderBy("k", "n").collect():
+        got[r.k].append((r.x.text1, r.x.text2, r.x.i1, r.x.i2, r.x.j1, r.x.j2))
+    assert got == {k: plain(c) for k, c in enumerate(cases)}
+    assert [len(got[k]) for k in range(len(cases))] == [1, 1, 1, 0, 0, 0, 0, 2]
+
+
 def test_transfer(spark):
     bare = "".join(c for c in BASE if c not in MARKS)
     df = spark.createDataFrame([(BASE, bare)], "a string, b string")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.text import is_transposition
+
 SEGMENT = StructType([StructField(n, t) for n, t in (("type", StringType()), ("text1", StringType()), ("text2", StringType()), ("i1", IntegerType()), ("i2", IntegerType()), ("j1", IntegerType()), ("j2", IntegerType()))])
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("text1", pa.string()), ("text2", pa.string()), ("i1", pa.int32()), ("i2", pa.int32()), ("j1", pa.int32()), ("j2", pa.int32())]))
 
@@ -103,22 +105,33 @@ def align(pairs: DataFrame, left: str, right: str, fold: tuple[str, str] = ("",
     return pairs.mapInArrow(run, schema)
 
 
+#: The segments that one transposition may span, and its characters.
+SPAN, SIZE = (2, 7), (2, 6)
+
+
 def merge_transpositions(s: Column) -> Column:
-    """F2, for windows of three: an insertion and a deletion of the same text around an equal part is one transposition of 2 to 6 characters."""
-    def at(i):
-        return F.get(s, i)
-
-    def is_pair(x, y, z):
-        kinds = ((x["type"] == "insert") & (z["type"] == "delete") & (x["text2"] == z["text1"])) | ((x["type"] == "delete") & (z["type"] == "insert") & (x["text1"] == z["text2"]))
-        size = F.length(F.concat(x["text1"], y["text1"], z["text1"]))
-        return kinds & (y["type"] == "equal") & size.between(2, 6)
-
-    return F.filter(
-        F.transform(s, lambda x, i: F.when(F.coalesce(is_pair(x, at(i + 1), at(i + 2)), F.lit(False)), F.struct(
-            F.lit("transpose").alias("type"), F.concat(x["text1"], at(i + 1)["text1"], at(i + 2)["text1"]).alias("text1"),
-            F.concat(x["text2"], at(i + 1)["text2"], at(i + 2)["text2"]).alias("text2"), x["i1"].alias("i1"), at(i + 2)["i2"].alias("i2"), x["j1"].alias("j1"), at(i + 2)["j2"].alias("j2")))),
-        lambda x: x.isNotNull(),
-    )
+    """runs of 2 to 7 segments, the first an insertion or a deletion, whose two sides are the same 2 to 6 characters in another order. The shortest run from a segment counts, and none begins inside the one before. Replaced text breaks a run."""
+
+    def window(i: Column, n: Column) -> Column:
+        part = F.slice(s, i + 1, n)
+        one, two = (F.array_join(F.transform(part, lambda x: x[side]), "") for side in ("text1", "text2"))
+        kinds = F.transform(part, lambda x: x["type"])
+        fits = F.array_contains(kinds, "insert") & F.array_contains(kinds, "delete") & ~F.array_contains(kinds, "replace")
+        first, last = F.get(s, i), F.get(s, i + n - 1)
+        found = F.struct(
+            F.lit("transpose").alias("type"), one.alias("text1"), two.alias("text2"),
+            first["i1"].alias("i1"), last["i2"].alias("i2"), first["j1"].alias("j1"), last["j2"].alias("j2"), i.alias("at"), (i + n).alias("next"),
+        )
+        return F.when(fits & F.length(one).between(*SIZE) & is_transposition(one, two), found)
+
+    def shortest(x: Column, i: Column) -> Column:
+        widths = F.filter(F.sequence(F.lit(SPAN[0]), F.lit(SPAN[1])), lambda n: i + n <= F.size(s))
+        return F.when(x["type"].isin("insert", "delete"), F.get(F.filter(F.transform(widths, lambda n: window(i, n)), lambda w: w.isNotNull()), F.lit(0)))
+
+    runs = F.filter(F.transform(s, shortest), lambda w: w.isNotNull())
+    kept = F.array().cast("array<struct<type:string,text1:string,text2:string,i1:int,i2:int,j1:int,j2:int,at:int,next:int>>")
+    apart = F.aggregate(runs, kept, lambda acc, w: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["next"] > w["at"]), acc).otherwise(F.concat(acc, F.array(w))))
+    return F.transform(apart, lambda w: F.struct(*(w[c].alias(c) for c in SEGMENT.names)))
 
 
 def statistics(aligned: DataFrame, key: str) -> DataFrame:
