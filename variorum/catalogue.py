@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import citations, collation, projects, stemma, texts, witnesses
+from .plans import citations, collation, projects, references, stemma, texts, variants, witnesses
 
-_MODULES = (texts, collation, projects, stemma, citations, witnesses)
+_MODULES = (texts, collation, variants, projects, stemma, citations, references, witnesses)
 QUERIES = {name: f for m in _MODULES for name, f in m.registry.queries.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.registry.sql.items()}
 

@@ -89,12 +89,12 @@ def chinese_numeral(n: Column) -> Column:
 
 
 def parse_chinese_numeral(s: Column) -> Column:
-    """The number of a Chinese numeral below 1000."""
+    """The number of a Chinese numeral below 10,000; 两 and 兩 are two, 零 and 〇 nothing."""
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("digit"))
 
     def step(acc: Column, c: Column) -> Column:
-        d = F.instr(F.lit("一二三四五六七八九"), c)
-        unit = F.when(c == "百", 100).when(c == "十", 10)
+        d = F.when(c.isin("两", "兩"), 2).otherwise(F.instr(F.lit("一二三四五六七八九"), c))
+        unit = F.when(c == "千", 1000).when(c == "百", 100).when(c == "十", 10)
         total = F.when(unit.isNotNull(), acc["total"] + F.greatest(acc["digit"], F.lit(1)) * unit).otherwise(acc["total"])
         return F.struct(total.alias("total"), F.when(d > 0, d).otherwise(0).alias("digit"))
 
