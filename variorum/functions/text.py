@@ -103,6 +103,7 @@ def parse_chinese_numeral(s: Column) -> Column:
 
 def latex_escape(t: Column) -> Column:
     """One pass over the characters, so no escape is escaped again."""
+    # fixed values: the ten characters that LaTeX reserves
     table = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(pairs, c), c)), "")

@@ -46,6 +46,7 @@ def e06_similarity_matrix(spark, sf_dir):
 def lineage_edges(sim: DataFrame) -> DataFrame:
     """Edges from older to younger editions with scores of similarity, distance in time and system; 30 at least."""
     gap = F.col("j") - F.col("i")
+    # fixed values: the bands of similarity and of distance in time, and what each adds
     score = F.when(F.col("sim") >= 900000, 30).when(F.col("sim") >= 500000, 20).when(F.col("sim") >= 0, 10).otherwise(0)
     score = score + F.when(gap <= 1, 40).when(gap <= 3, 25).when(gap <= 5, 15).otherwise(5) + F.when(F.col("i") % 2 == F.col("j") % 2, 20).otherwise(0)
     return sim.select(F.col("i").alias("src"), F.col("j").alias("dst"), score.alias("score")).where("score >= 30")
