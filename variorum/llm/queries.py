@@ -11,6 +11,7 @@ from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .token_alignment import op11_token_alignment
 from .url_filter import OP3_SQL, op3_url_filter
 
 # fmt: off
@@ -19,6 +20,7 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_jaccard_join, op5_license_scan,
         op6_substring_dedup, op7_chat_format, op8_suffix_dedup, op9_decontamination, op10_quality_classifier,
+        op11_token_alignment,
     )
 }
 # fmt: on
