@@ -43,6 +43,22 @@ def test_quality_rules(docs, empty):
     assert quality_rules.measures(empty).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """base_failed and kept by the rules one by one, beside columns of any name."""
+    good = "the cat and the dog were in a house by the old river that was long and it had many a door"
+    texts = [None, "too few words", good, good + " " + "!!! " * 40, "the end of it all is here now " * 12, good.upper(), " ".join(words(60, 9)), "\n".join(f"- {good} {i}" for i in "abcdefgh"), "# " * 12 + good, (good + "\n") * 4]
+    docs = spark.createDataFrame([(i, t, i, "x", None) for i, t in enumerate(texts)], "doc_id long, text string, n_words int, _words string, row string")
+    m = quality_rules.measures(docs)
+    assert m.columns == ["doc_id", "text", "_words", "row", *quality_rules.MEASURES]
+    got = {r.doc_id: r.asDict() for r in m.select("*", quality_rules.base_failed().alias("failed"), (~quality_rules.base_failed() & quality_rules.verdict()).alias("kept")).collect()}
+    for i, t in enumerate(texts):
+        n, _, symbols, dup, again = rules((t or "").encode())
+        failed = n < 10 or 100 * again > 20 * n
+        assert (got[i]["n_words"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["failed"], got[i]["_words"]) == (n, symbols, dup, failed, "x")
+        assert got[i]["kept"] == (not failed and all((a is None or got[i][k] >= a) and (b is None or got[i][k] <= b) for k, a, b in quality_rules.RULES))
+    assert [i for i in got if got[i]["kept"]] == [2]
+
+
 def test_byte_bpe(docs, empty):
     import public_tokenizers as P
     import tiktoken
@@ -111,6 +127,15 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages, listed.limit(0)).where("verdict = 'block'").count() == 1
 
 
+def test_url_filter_beside_any_names(spark):
+    names = ["_bits", "_block", "block", "row", "hit", "key", "asked", "host", "verdict", "mask", "spread", "a.b"]
+    pages = spark.createDataFrame([("http://b.org/1", *range(len(names))), (None, *range(len(names)))], ["url", *names])
+    got = url_filter.filter_urls(pages, spark.createDataFrame([("b.org/1",)], "canonical string"))
+    kept = [c for c in names if c not in ("host", "verdict")]
+    assert got.columns == ["url", *kept, "host", "path", "rule", "verdict"]
+    assert sorted((r[0] or "", r[1:]) for r in got.collect()) == sorted((u, (*(names.index(c) for c in kept), *rest)) for u, rest in [("http://b.org/1", ("b.org", "/1", None, "block")), ("", ("", "", None, "allow"))])
+
+
 def test_url_filter_without_broadcast(spark, monkeypatch):
     """Pages without a URL, or without a hit, stay whole where the list is shuffled; the same pages repeat."""
     urls = [None, None, "http://b.org/1", "http://www.b.org/1/", "http://b.org/2", "http://x.net/1", "http://7.org/1"] * 50
@@ -338,14 +363,30 @@ def test_suffix_dedup_at_production_length(spark):
         assert collected(got, "n_bytes", "n_removed", "n_spans", "kept") == sorted(want, key=str)
 
 
+def test_suffix_dedup_of_zero_bytes(spark):
+    """Texts that differ in trailing U+0000 alone, at the production length."""
+    r = random.Random(8)
+    base = "".join(r.choice("\0\0\0a") for _ in range(700))
+    texts = []
+    for _ in range(60):
+        i = r.randrange(0, 300)
+        texts.append("".join(r.choice("\0a") for _ in range(r.randint(0, 20))) + base[i : i + r.choice([399, 400, 401, 420])] + "\0" * r.randint(0, 30))
+    texts += ["\0" * 900, "\0" * 401, "\0" * 399, "a" + "\0" * 450]
+    raw = [t.encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = [(i, int(mark.sum()), hashlib.sha256(bytes(c for c, m in zip(t, mark, strict=True) if not m)).hexdigest()) for i, (t, mark) in enumerate(zip(raw, cut(raw, 400), strict=True))]
+    for shard in (suffix_dedup.SHARD, 3000):
+        assert collected(suffix_dedup.dedup(docs, shard=shard).withColumn("kept", F.sha2("kept", 256)), "n_removed", "kept") == sorted(want, key=str)
+
+
 def test_suffix_array():
     """Which strings repeat in a shard of random contexts, against brute force."""
     r = np.random.default_rng(0)
-    for _ in range(200):
-        n, length = int(r.integers(1, 30)), 12
+    for turn in range(400):
+        n, length, low = int(r.integers(1, 30)), 12, 97 * (turn % 2)
         group, left = np.sort(r.integers(0, 3, n)), r.integers(0, 9, n)
         right = r.integers(4, 13, n)
-        parts = [r.integers(97, 99, x + y).astype(np.uint8) for x, y in zip(left, right, strict=True)]
+        parts = [r.integers(low, low + 2, x + y).astype(np.uint8) for x, y in zip(left, right, strict=True)]
         size = left + right
         start = np.cumsum(size) - size
         least, most = suffix_array.repeats(np.concatenate(parts), start, size, left, group, length)

@@ -40,8 +40,9 @@ def right_parts(flat: np.ndarray, anchor: np.ndarray, size: np.ndarray, group: n
     inside = column < size[:, None]
     part = np.zeros((len(anchor), width), np.uint8)
     part[inside] = flat[(anchor[:, None] + column)[inside]]
-    named = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), part], 1)
-    order = np.argsort(named.view(f"S{width + 4}").ravel(), kind="stable")
+    # numpy's byte strings end at trailing zeros, so of suffixes that differ in these alone the size decides: the shorter is first
+    named = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), part, size.astype(">u4").view(np.uint8).reshape(-1, 4)], 1)
+    order = np.argsort(named.view(f"S{width + 8}").ravel(), kind="stable")
     one, two = order[:-1], order[1:]
     differ = part[one] != part[two]
     shared = np.where(differ.any(1), differ.argmax(1), width)
