@@ -10,7 +10,9 @@ marks, query and fragment are dropped.
 
 Nulls and edge cases: a null URL or one without :// has an empty host and path, matches no rule and is allowed; rules
 are tried longest first (host, then path; ties cannot occur between different rules of one length on one URL except by
-host, where the earlier rule of the table wins); listed rows may repeat or be null; repeated pages are judged each.
+host, where the earlier rule of the table wins); listed rows may repeat or be null; repeated pages are judged each; URLs
+of any length are read whole; an empty table gives no rows; extra columns pass through whatever their names, but columns
+host, path, rule and verdict are replaced.
 """
 
 from __future__ import annotations
@@ -28,12 +30,9 @@ BITS_PER_URL = 16
 BROADCAST_BLOCKS = 1 << 16
 
 
-def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
-    rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    return pages.withColumn("_rest", rest).withColumns({
-        "host": F.translate(F.regexp_extract("_rest", r"(?s)^([^/?#]*)", 1), UPPER, LOWER),
-        "path": F.regexp_extract("_rest", r"(?s)^[^/?#]*([^?#]*)", 1),
-    }).drop("_rest")
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
+    return F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
 def rule_fits(host: str, path: str) -> Column:
@@ -69,29 +68,29 @@ def bloom_key(url: Column, blocks: int) -> tuple[Column, Column]:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """The rows of pages with host, path, rule and verdict; listed: column canonical, URLs to block."""
-    urls = written(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct(), "listed-urls")
+    urls = written(listed.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("hit")).distinct(), "listed-urls")
     n = urls.count()
     blocks = max(1, -(-n * BITS_PER_URL // 64))
-    block, mask = bloom_key(F.col("canonical"), blocks)
-    bloom = urls.select(block.alias("_block"), mask.alias("_m")).groupBy("_block").agg(F.bit_or("_m").alias("_bits"))
+    block, mask = bloom_key(F.col("hit"), blocks)
+    bloom = urls.select(block.alias("block"), mask.alias("m")).groupBy("block").agg(F.bit_or("m").alias("bits"))
     if blocks <= BROADCAST_BLOCKS:
         bloom, urls = F.broadcast(bloom), F.broadcast(urls)
-    name, verdict = by_rules(rules)
-    told = with_host_and_path(pages.drop("host", "path", "rule", "verdict"), url).withColumns({"rule": name, "_verdict": verdict})
-    open_url = F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical())
-    block, mask = bloom_key(F.col("_url"), blocks)
+    # the user's row travels in one struct, so its names meet no other
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     # keys that match nothing, by the row's own values, so that rows without a URL or a hit do not meet in one task
-    spread = F.pmod(F.xxhash64(*(F.col(c) for c, t in pages.dtypes if "map<" not in t and t != "variant")), F.lit(1 << 40))
-    keyed = told.withColumns({"_url": open_url, "_spread": -1 - spread}).withColumns({"_block": F.when(F.col("_url").isNotNull(), block).otherwise(F.col("_spread")), "_mask": mask})
-    probed = keyed.join(bloom, "_block", "left")
-    possible = F.when(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.col("_url"))
-    hits = urls.select(F.col("canonical").alias("_hit"))
-    if blocks <= BROADCAST_BLOCKS:
-        hits = F.broadcast(hits)
-    probed = probed.withColumn("_possible", possible).withColumn("_key", F.coalesce("_possible", F.col("_spread").cast("string")))
-    joined = probed.join(hits, (F.col("_key") == F.col("_hit")) & F.col("_possible").isNotNull(), "left")
-    out = F.coalesce("_verdict", F.when(F.col("_hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return joined.withColumn("verdict", out).drop("_verdict", "_url", "_block", "_mask", "_bits", "_possible", "_hit", "_spread", "_key")
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in pages.dtypes if "map<" not in t and t != "variant")), F.lit(1 << 40))
+    host, path = host_and_path(F.col(f"`{url}`"))
+    row = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host.alias("host"), path.alias("path"), (-1 - spread).alias("spread"))
+    name, verdict = by_rules(rules)
+    told = row.withColumns({"rule": name, "ruled": verdict}).withColumn("asked", F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical()))
+    block, mask = bloom_key(F.col("asked"), blocks)
+    keyed = told.withColumns({"block": F.when(F.col("asked").isNotNull(), block).otherwise(F.col("spread")), "mask": mask})
+    probed = keyed.join(bloom, "block", "left")
+    possible = F.when(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.col("asked"))
+    probed = probed.withColumn("possible", possible).withColumn("key", F.coalesce("possible", F.col("spread").cast("string")))
+    joined = probed.join(urls, (F.col("key") == F.col("hit")) & F.col("possible").isNotNull(), "left")
+    out = F.coalesce("ruled", F.when(F.col("hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return joined.select("row.*", "host", "path", "rule", out.alias("verdict"))
 
 
 #: Hosts whose every known page the query lists, with all their subdomains.
@@ -100,7 +99,8 @@ LISTED_HOST = r"(?:^|\.)(?:casino-win|cheap-pills|free-bets|spam-farm)\.example\
 
 def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """The canonical URLs of all pages of the listed hosts, whatever their numbers: the list that a crawl of them gives."""
-    return with_host_and_path(pages.select(url), url).where(F.col("host").rlike(LISTED_HOST)).select(canonical().alias("canonical"))
+    host, path = host_and_path(F.col(f"`{url}`"))
+    return pages.select(host.alias("host"), path.alias("path")).where(F.col("host").rlike(LISTED_HOST)).select(canonical().alias("canonical"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
