@@ -6,7 +6,8 @@ shuffled. Repeats: words are hashed to 64 bits, every five neighbours to one 64-
 each other once the keys are sorted; only texts that have any go on to find out which words those windows cover.
 
 Nulls and edge cases: a null or empty text has no words, all its measures are 0, and it fails; ratios of a text without
-words or lines are 0; texts of any length count whole; repeated rows are judged each; extra columns are passed over.
+words or lines are 0; texts of any length count whole; repeated rows are judged each; an empty
+table gives no rows; extra columns pass through whatever their names, but those named as a measure are replaced.
 """
 
 from __future__ import annotations
@@ -40,10 +41,14 @@ RULES: list[tuple[str, float | None, float | None]] = [
 ]
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *(name for name, *_ in RULES if name != "n_words")]
+
+
 def measures(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and the shares that RULES uses."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    cut = documents.withColumns({"_t": t, "_words": F.array_remove(F.split(t, GAP, -1), "")})
+    # the user's row travels in one struct, so its names meet no other
+    row = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c not in MEASURES)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    cut = row.withColumn("_words", F.array_remove(F.split("_t", GAP, -1), ""))
     n = F.size("_words")
     # a key for each window: the words' hashes, hashed in order
     h = cut.withColumns({"_n": n, "_h": F.transform("_words", lambda w: F.xxhash64(w)), "_chars": F.length(F.array_join("_words", ""))})
@@ -78,7 +83,7 @@ def measures(documents: DataFrame, text: str = "text") -> DataFrame:
         "_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•] "))),
     })
     n_words, n_lines = F.col("n_words"), F.col("n_lines")
-    return m.withColumns({
+    shares = m.withColumns({
         "mean_word_chars": share(F.col("word_chars"), n_words),
         "symbols_per_word": share(F.col("n_symbols"), n_words),
         "bang_share": share(F.col("_bangs"), n_words),
@@ -89,6 +94,7 @@ def measures(documents: DataFrame, text: str = "text") -> DataFrame:
         "ellipsis_line_share": share(F.col("_ellipses"), n_lines),
         "bullet_line_share": share(F.col("_bullets"), n_lines),
     })
+    return shares.select("row.*", *MEASURES)
 
 
 def verdict(rules=RULES) -> Column:
