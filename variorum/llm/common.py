@@ -6,6 +6,8 @@ import ctypes
 import functools
 import gc
 import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share: of the session, else of its context. One is made only where neither names one and there is one machine."""
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and context._jsc.sc().getCheckpointDir().isDefined():
+        path = context._jsc.sc().getCheckpointDir().get()
     if not path:
-        path = "/tmp/variorum-checkpoints"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(path)
     return path
 
 
