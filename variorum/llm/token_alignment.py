@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import frugal, slices, table, written
 
 #: Bytes of text that are encoded at a time, unless one text has more.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Links of one group up to which they are expanded, and id pairs up to which a task gathers counts.
 EXPANDED, GATHERED = 1 << 12, 1 << 21
 #: Pairs at most that tasks look up in place; all others are joined.
