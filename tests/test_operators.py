@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import zipfile
+from difflib import SequenceMatcher
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -168,21 +173,36 @@ def test_stream(spark, sf_dir, tmp_path):
     assert spark.table("over").count() == want > 0
 
 
-def test_long_pairs_are_cut_at_anchors():
-    """Segments of a pair compared in parts cover both texts in order, keep what is equal, and find about as much as the whole comparison."""
-    import random
-
-    from variorum.operators import align
-
-    r = random.Random(2)
-    a = "".join(r.choice("abcdefghij ") for _ in range(6000))
-    b = a[:1000] + "new words" + a[1000:3000] + a[3040:4500] + "X" + a[4501:]
-    got = align.opcodes(a, b, False, cells=1_000_000)
-    i = j = 0
-    for tag, i1, i2, j1, j2 in got:
-        assert (i1, j1) == (i, j) and (tag != "equal" or a[i1:i2] == b[j1:j2])
-        i, j = i2, j2
-    assert (i, j) == (len(a), len(b)) and all(x[0] != y[0] for x, y in zip(got, got[1:]))
-    equal = sum(i2 - i1 for tag, i1, i2, _, _ in got if tag == "equal")
-    assert equal >= 5959 - 5 and len(align.opcodes(a, b, False)) <= len(got) <= 9
-    assert align.opcodes("ab" * 900, "cd" * 900, False, cells=1000) == [("replace", 0, 1800, 0, 1800)]
+@pytest.mark.parametrize("autojunk", [False, True])
+def test_kernel_is_the_standard_matcher(autojunk):
+    """The same segments as the standard library's matcher, for texts of few and of many letters, whole batches at once."""
+    r = random.Random(4)
+    left, right = [], []
+    for _ in range(500):
+        letters = r.choice(["ab", "abc", "abcdefghij ", "字句讀x\U00020000"])
+        x = "".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 30, 120, 400])))
+        y = list(x)
+        for _ in range(r.randint(0, 8)):
+            k = r.randint(0, max(0, len(y) - 1))
+            y[k : k + r.randint(0, 4)] = [r.choice(letters) for _ in range(r.randint(0, 4))]
+        left.append(x)
+        right.append("".join(y) if r.random() < 0.8 else "".join(r.choice(letters) for _ in range(len(x))))
+    want = [[tuple(c) for c in SequenceMatcher(None, x, y, autojunk).get_opcodes()] for x, y in zip(left, right, strict=True)]
+    assert align.opcodes(left, right, autojunk) == want
+
+
+def test_kernel_checks_hashes(monkeypatch):
+    """Runs that only their hashes make equal are told apart."""
+    monkeypatch.setattr(align, "_mix", lambda x: x & np.uint64(0x3 << 60))
+    left, right = ["abcabd", "xaxb", "hello world"], ["abdabc", "bxax", "yellow old"]
+    assert align.opcodes(left, right)[0][0][0] in ("equal", "replace", "insert", "delete")
+    for k, codes in enumerate(align.opcodes(left, right)):
+        assert all(left[k][a:b] == right[k][c:d] for kind, a, b, c, d in codes if kind == "equal")
+        assert codes[0][1] == codes[0][3] == 0 and codes[-1][2] == len(left[k]) and codes[-1][4] == len(right[k])
+
+
+def test_long_pairs():
+    r = random.Random(1)
+    base = "".join(r.choice("the quick brown fox ") for _ in range(60_000))
+    other = base[:10_000] + "X" + base[10_001:40_000] + base[40_010:]
+    assert align.opcodes([base], [other]) == [[("equal", 0, 10_000, 0, 10_000), ("replace", 10_000, 10_001, 10_000, 10_001), ("equal", 10_001, 40_000, 10_001, 40_000), ("delete", 40_000, 40_010, 40_000, 40_000), ("equal", 40_010, 60_000, 40_000, 59_990)]]

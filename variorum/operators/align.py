@@ -1,15 +1,18 @@
-"""Alignment of text pairs: one Arrow function around the standard library's sequence matcher.
+"""Alignment of text pairs by longest matching blocks.
 
-Each task aligns the pairs of its partition; pairs are dealt out one by one, longest first in a partition's batches is
-left to Spark. What follows the kernel (segments, statistics, variant tables) is relational.
+The longest run of characters that both texts share is taken, of several the one that begins first in the left text, then
+first in the right; the same is done left and right of it, until nothing is shared. A task does this for a whole Arrow
+batch at once: all gaps of all its pairs are searched together, by hashes of runs whose length is halved towards the
+longest, round after round, so the work of a round is a few sorts of what is still unaligned, and texts of any length are
+aligned by the same rule. Matches are verified character by character. What follows the kernel is relational.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,67 +24,155 @@ SEGMENT = StructType([StructField(n, t) for n, t in (("type", StringType()), ("t
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("text1", pa.string()), ("text2", pa.string()), ("i1", pa.int32()), ("i2", pa.int32()), ("j1", pa.int32()), ("j2", pa.int32())]))
 
 
-#: Pairs up to this product of lengths are compared in one go; longer ones are cut at anchors of so many characters.
-CELLS, ANCHOR = 16_000_000, 32
-
-
-def cuts(a: str, b: str, n: int = ANCHOR) -> list[tuple[int, int]]:
-    """Places (i, j) at which runs of n characters that stand once in either text begin, ascending in both: the longest such chain."""
-
-    def once(t: str) -> dict[str, int]:
-        seen: dict[str, int] = {}
-        for i in range(len(t) - n + 1):
-            run = t[i : i + n]
-            seen[run] = -1 if run in seen else i
-        return {run: i for run, i in seen.items() if i >= 0}
-
-    other = once(b)
-    pairs = sorted((i, other[run]) for run, i in once(a).items() if run in other)
-    tops: list[int] = []  # the least end of a chain of each length
-    last: list[int] = []
-    before: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        at = bisect_left(tops, j)
-        before.append(last[at - 1] if at else -1)
-        if at == len(tops):
-            tops.append(j)
-            last.append(k)
-        else:
-            tops[at], last[at] = j, k
-    chain, k = [], last[-1] if last else -1
-    while k >= 0:
-        chain.append(pairs[k])
-        k = before[k]
-    return chain[::-1]
-
-
-def opcodes(a: str, b: str, autojunk: bool, cells: int = CELLS) -> list[tuple[str, int, int, int, int]]:
-    """The kernel's segments. A pair beyond `cells` is compared between anchors, each part being of some thousand characters; parts without an anchor are compared whole."""
-    if len(a) * len(b) <= cells:
-        return SequenceMatcher(None, a, b, autojunk).get_opcodes()
-    step = max(ANCHOR, int(cells**0.5) // 2)
-    edges = [(0, 0)]
-    for i, j in cuts(a, b):
-        if min(i - edges[-1][0], j - edges[-1][1]) >= step:
-            edges.append((i, j))
-    edges.append((len(a), len(b)))
-    out: list[tuple[str, int, int, int, int]] = []
-    for (i, j), (k, m) in zip(edges, edges[1:], strict=False):
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, a[i:k], b[j:m], autojunk).get_opcodes():
-            if out and out[-1][0] == tag:
-                tag, i0, _, j0, _ = out.pop()
-                out.append((tag, i0, i + i2, j0, j + j2))
-            else:
-                out.append((tag, i + i1, i + i2, j + j1, j + j2))
+#: Characters of the pairs that are aligned together, unless one pair has more.
+TOGETHER = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin to begin + size - 1 of every run, one after the other, and which run each is of."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(begin - (np.cumsum(size) - size), size), of
+
+
+class _Side:
+    """Code points of many texts laid end to end, and hashes of their runs. alone: places that match nothing."""
+
+    def __init__(self, texts: list[str], alone: np.ndarray | None = None):
+        self.edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        value = _mix(self.code.astype(np.uint64) + np.uint64(1))
+        if alone is not None:
+            value[alone] = _mix(np.flatnonzero(alone).astype(np.uint64) + np.uint64(1 << 40))
+        n = len(value)
+        up, self.down = (np.concatenate([np.ones(1, np.uint64), np.full(n, x)]) for x in (_STEP, _BACK))
+        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(self.down)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)])
+
+    def keys(self, begin: np.ndarray, gap: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+        """The gap's number above a hash of the run that begins at each place."""
+        run = _mix((self.total[begin + size] - self.total[begin]) * self.down[begin])
+        return gap.astype(np.uint64) << np.uint64(64 - bits) | run >> np.uint64(bits)
+
+
+def popular(texts: list[str]) -> np.ndarray:
+    """Places of characters that make up more than a hundredth of a text of 200 characters or more: fixed values of the matcher's heuristic."""
+    marks = []
+    for t in texts:
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        _, of, n = np.unique(code, return_inverse=True, return_counts=True)
+        marks.append(n[of] > len(t) // 100 + 1 if len(t) >= 200 else np.zeros(len(t), bool))
+    return np.concatenate([np.zeros(0, bool), *marks])
+
+
+def matching_blocks(left: list[str], right: list[str], autojunk: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, begin in the left text, begin in the right text and length of every matching block, in order. autojunk: popular characters of the right text begin no match, they only lengthen one."""
+    a, b = _Side(left), _Side(right, popular(right) if autojunk else None)
+    gaps = np.stack([np.arange(len(left)), a.edge[:-1], a.edge[1:], b.edge[:-1], b.edge[1:]])
+    found: list[np.ndarray] = []
+    while True:
+        gaps = gaps[:, (gaps[2] > gaps[1]) & (gaps[4] > gaps[3])]
+        pair, a0, a1, b0, b1 = gaps
+        if not len(pair):
+            break
+        bits = max(1, len(pair).bit_length())
+        low, high = np.zeros(len(pair), np.int64), np.minimum(a1 - a0, b1 - b0)
+        while len(open_ := np.flatnonzero(low < high)):
+            size = (low[open_] + high[open_] + 1) // 2
+            keys = []
+            for side, x, y in ((a, a0, a1), (b, b0, b1)):
+                at, of = _spread(x[open_], y[open_] - x[open_] - size + 1)
+                keys.append(np.sort(side.keys(at, open_[of], size[of], bits)))
+            at = np.minimum(np.searchsorted(keys[1], keys[0]), len(keys[1]) - 1)
+            both = np.zeros(len(pair), bool)
+            both[(keys[0][keys[1][at] == keys[0]] >> np.uint64(64 - bits)).astype(np.int64)] = True
+            low[open_] = np.where(both[open_], size, low[open_])
+            high[open_] = np.where(both[open_], high[open_], size - 1)
+        i, j, size = a0.copy(), b0.copy(), low
+        some = np.flatnonzero(size > 0)
+        if len(some):
+            at_a, of = _spread(a0[some], a1[some] - a0[some] - size[some] + 1)
+            key_a = a.keys(at_a, some[of], size[some][of], bits)
+            at_b, of_b = _spread(b0[some], b1[some] - b0[some] - size[some] + 1)
+            key_b, first_b = np.unique(b.keys(at_b, some[of_b], size[some][of_b], bits), return_index=True)
+            place = np.minimum(np.searchsorted(key_b, key_a), len(key_b) - 1)
+            hit = np.flatnonzero(key_b[place] == key_a)
+            which, first = np.unique(of[hit], return_index=True)
+            i[some[which]], j[some[which]] = at_a[hit[first]], at_b[first_b[place[hit[first]]]]
+            # a run that only its hash makes equal is searched again, character by character
+            at, of = _spread(np.zeros(len(some), np.int64), size[some])
+            wrong = np.unique(of[a.code[i[some][of] + at] != b.code[j[some][of] + at]])
+            for k in some[wrong].tolist():
+                x, y = (side.code[lo:hi].tolist() for side, lo, hi in ((a, a0[k], a1[k]), (b, b0[k], b1[k])))
+                m = SequenceMatcher(None, x, y, False).find_longest_match()
+                i[k], j[k], size[k] = a0[k] + m.a, b0[k] + m.b, m.size
+        if autojunk:
+            while len(k := np.flatnonzero((i > a0) & (j > b0))) and len(k := k[a.code[i[k] - 1] == b.code[j[k] - 1]]):
+                i[k], j[k], size[k] = i[k] - 1, j[k] - 1, size[k] + 1
+            while len(k := np.flatnonzero((i + size < a1) & (j + size < b1))) and len(k := k[a.code[i[k] + size[k]] == b.code[j[k] + size[k]]]):
+                size[k] += 1
+        k = np.flatnonzero(size > 0)
+        found.append(np.stack([pair[k], i[k], j[k], size[k]]))
+        before, after = np.stack([pair[k], a0[k], i[k], b0[k], j[k]]), np.stack([pair[k], i[k] + size[k], a1[k], j[k] + size[k], b1[k]])
+        gaps = np.concatenate([before, after], axis=1)
+    pair, i, j, size = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    order = np.lexsort((i, pair))
+    pair, i, j, size = pair[order], i[order], j[order], size[order]
+    # blocks that touch on both sides are one
+    if len(pair):
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (i[1:] != (i + size)[:-1]) | (j[1:] != (j + size)[:-1])])
+        first = np.flatnonzero(new)
+        pair, i, j, size = pair[first], i[first], j[first], np.add.reduceat(size, first)
+    return pair, i - a.edge[pair], j - b.edge[pair], size
+
+
+def opcodes(left: list[str], right: list[str], autojunk: bool = False) -> list[list[tuple[str, int, int, int, int]]]:
+    """The segments (kind, i1, i2, j1, j2) of every pair."""
+    pair, i, j, size = matching_blocks(left, right, autojunk)
+    out: list[list[tuple[str, int, int, int, int]]] = [[] for _ in left]
+    at = [(0, 0)] * len(left)
+
+    def between(k: int, x: int, y: int) -> None:
+        x0, y0 = at[k]
+        if x > x0 or y > y0:
+            out[k].append(("replace" if x > x0 and y > y0 else "delete" if x > x0 else "insert", x0, x, y0, y))
+
+    for k, x, y, n in zip(pair.tolist(), i.tolist(), j.tolist(), size.tolist(), strict=True):
+        between(k, x, y)
+        out[k].append(("equal", x, x + n, y, y + n))
+        at[k] = (x + n, y + n)
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        between(k, len(x), len(y))
     return out
 
 
-def segments_of(a: str, b: str, fold: dict[int, str], autojunk: bool) -> list[dict]:
+def together(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts have about TOGETHER bytes."""
+    for b in batches:
+        size = sum(np.array([len(x or "") for x in b.column(c).to_pylist()], np.int64) for c in columns)
+        part = np.cumsum(size) // TOGETHER if b.num_rows else np.zeros(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
+def segments_of(left: list[str], right: list[str], fold: dict[int, str], autojunk: bool) -> list[list[dict]]:
     """Equal, replace, insert and delete segments; texts are folded for the comparison only, and what is equal only when folded is a replace."""
     out = []
-    for tag, i1, i2, j1, j2 in opcodes(a.translate(fold), b.translate(fold), autojunk):
-        kind = "replace" if tag == "equal" and a[i1:i2] != b[j1:j2] else tag
-        out.append({"type": kind, "text1": a[i1:i2], "text2": b[j1:j2], "i1": i1, "i2": i2, "j1": j1, "j2": j2})
+    for a, b, codes in zip(left, right, opcodes([x.translate(fold) for x in left], [x.translate(fold) for x in right], autojunk), strict=True):
+        own = []
+        for tag, i1, i2, j1, j2 in codes:
+            kind = "replace" if tag == "equal" and a[i1:i2] != b[j1:j2] else tag
+            own.append({"type": kind, "text1": a[i1:i2], "text2": b[j1:j2], "i1": i1, "i2": i2, "j1": j1, "j2": j2})
+        out.append(own)
     return out
 
 
@@ -91,12 +182,10 @@ def align(pairs: DataFrame, left: str, right: str, fold: tuple[str, str] = ("",
     table = str.maketrans(*fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, ratio = [], []
-            for x, y in zip(*(b.column(i).to_pylist() for i in at), strict=True):
-                x, y = x or "", y or ""
-                s = segments_of(x, y, table, autojunk)
-                found.append(s)
+        for b in together(batches, at):
+            left, right = ([x or "" for x in b.column(i).to_pylist()] for i in at)
+            found, ratio = segments_of(left, right, table, autojunk), []
+            for x, y, s in zip(left, right, found, strict=True):
                 same = sum(v["i2"] - v["i1"] for v in s if v["type"] == "equal")
                 ratio.append(2 * same / (len(x) + len(y)) if x or y else 1.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _ARROW), pa.array(ratio, pa.float64())], [*b.schema.names, "segments", "similarity"])
@@ -152,19 +241,21 @@ def transfer_marks(pairs: DataFrame, source: str, target: str, marks: str) -> Da
     at = [pairs.columns.index(c) for c in (source, target)]
     known = set(marks)
 
-    def move(a: str, b: str) -> str:
-        clean: list[str] = []
+    def stripped(t: str) -> str:
+        return "".join(c for c in t if c not in known and not c.isspace())
+
+    def move(a: str, b: str, codes: list[tuple[str, int, int, int, int]]) -> str:
+        count = 0
         runs: dict[int, str] = {}
         for c in a:
             if c in known:
-                runs[len(clean)] = runs.get(len(clean), "") + c
+                runs[count] = runs.get(count, "") + c
             elif not c.isspace():
-                clean.append(c)
+                count += 1
         bare = [c for c in b if c not in known]
         solid = [i for i, c in enumerate(bare) if not c.isspace()]
-        text = "".join(bare[i] for i in solid)
-        to: dict[int, int] = {len(clean): len(text)}
-        for tag, i1, i2, j1, j2 in opcodes("".join(clean), text, False):
+        to: dict[int, int] = {count: len(solid)}
+        for tag, i1, i2, j1, j2 in codes:
             for i in range(i1, i2):
                 to[i] = j1 + (i - i1) if tag == "equal" else j1 + (i - i1) * (j2 - j1) // max(1, i2 - i1)
         put: dict[int, str] = {}
@@ -178,11 +269,13 @@ def transfer_marks(pairs: DataFrame, source: str, target: str, marks: str) -> Da
                 out.append(put.get(k, ""))
                 k += 1
             out.append(c)
-        return "".join(out) + put.get(len(text), "")
+        return "".join(out) + put.get(len(solid), "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [move(x or "", y or "") for x, y in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
+        for b in together(batches, at):
+            left, right = ([x or "" for x in b.column(i).to_pylist()] for i in at)
+            codes = opcodes([stripped(x) for x in left], [stripped(x) for x in right])
+            got = [move(*x) for x in zip(left, right, codes, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, "transferred"])
 
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("transferred", StringType())]))

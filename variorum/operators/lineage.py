@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: the year of an edition of which nothing is known.
-NO_YEAR = 2000
+#: The year and the system of an edition of which nothing is known; what evidence adds: bounds that similarity
+#: and shared errors must exceed and their points, points of one system and of an ancestor as source; the least score of an
+#: edge, that of a known lineage, and what keeps an edge beside a path of two.
+NO_YEAR, UNKNOWN = 2000, "未知"
+SIMILAR = [(0.95, 30), (0.90, 20), (0.85, 10)]
+ERRORS = [(10, 40), (5, 25), (2, 15), (0, 5)]
+SAME_SYSTEM, ANCESTOR, LEAST, KNOWN, SURE = 20, 10, 30, 90, 80
 
 
 def longest_key(names: DataFrame, keys: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -32,19 +37,82 @@ def enriched(derived: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
 
 
 def adjusted(edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """H8: edges (src, dst, score) without the removed (src, dst), and the added ones, which replace others of the same ends."""
-    gone = removed.select("src", "dst").union(added.select("src", "dst"))
-    return edges.join(gone, ["src", "dst"], "left_anti").select("src", "dst", "score").union(added.select("src", "dst", "score"))
+    """H8: edges without the removed ones (source, target), and the added ones, which replace others of the same ends."""
+    ends = ["source", "target"]
+    gone = removed.select(*ends).union(added.select(*ends))
+    return edges.join(gone, ends, "left_anti").select(*edges.columns).union(added.select(*edges.columns))
+
+
+def edition_nodes(names: DataFrame, located: DataFrame, ancestors: DataFrame, keywords: DataFrame, systems: DataFrame) -> DataFrame:
+    """Ord, name, year (of its place, else of the first ancestor or keyword in the name, else NO_YEAR), system (of the first keyword, else unknown) and is_ancestor. names: ord, name; the tables of words: ord, keyword and a value. Names are those of one project, a few dozen."""
+
+    def first(words: DataFrame, value: str, out: str) -> DataFrame:
+        return names.join(words.select(F.col("ord").alias("o"), "keyword", value), F.contains("name", F.col("keyword"))).groupBy("name").agg(F.min_by(value, "o").alias(out))
+
+    told = names.join(located.select("name", F.col("year").alias("placed")), "name", "left")
+    for words, value, out in ((ancestors, "year", "of_ancestor"), (keywords, "year", "of_word"), (systems, "system", "of_system")):
+        told = told.join(first(words, value, out), "name", "left")
+    year = F.coalesce("placed", "of_ancestor", "of_word", F.lit(NO_YEAR)).cast("long")
+    return told.select("ord", "name", year.alias("year"), F.coalesce("of_system", F.lit(UNKNOWN)).alias("system"), F.col("of_ancestor").isNotNull().alias("is_ancestor"))
+
+
+def scored(value: Column, bands: list[tuple[float, int]]) -> Column:
+    """The points of the first bound that the value exceeds."""
+    out = F.lit(0)
+    for bound, points in reversed(bands):
+        out = F.when(value > bound, points).otherwise(out)
+    return out
+
+
+def lineage_edges(nodes: DataFrame, similarity: DataFrame, errors: DataFrame, chains: DataFrame) -> DataFrame:
+    """H4: source (the older one; of one year the first), target, confidence, evidence, similarity in percent, shared_errors, is_known, and the places of both in the project. similarity (a, b, sim) and errors (a, b, errors) have a row a pair, in either direction."""
+    pair = lambda a, b: F.array_sort(F.array(a, b))
+    i = nodes.select(*(F.col(c).alias(f"i_{c}") for c in nodes.columns))
+    j = nodes.select(*(F.col(c).alias(f"j_{c}") for c in nodes.columns))
+    two = i.join(j, F.col("i_ord") < F.col("j_ord")).withColumn("pair", pair("i_name", "j_name"))
+    two = two.join(similarity.select(pair("a", "b").alias("pair"), "sim"), "pair", "left").join(errors.select(pair("a", "b").alias("pair"), "errors"), "pair", "left")
+    older = F.col("i_year") <= F.col("j_year")
+    side = lambda c, first: F.when(older == first, F.col(f"i_{c}")).otherwise(F.col(f"j_{c}"))
+    known = chains.select(F.col("src"), F.col("dst"))
+    told = two.select(
+        side("name", F.lit(True)).alias("source"), side("name", F.lit(False)).alias("target"), "i_ord", "j_ord", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("errors", F.lit(0)).alias("n"),
+        ((F.col("i_system") == F.col("j_system")) & (F.col("i_system") != UNKNOWN)).alias("alike"), side("is_ancestor", F.lit(True)).alias("from_ancestor"),
+    )
+    chained = told.join(known, F.contains("source", F.col("src")) & F.contains("target", F.col("dst"))).select("source", "target", F.lit(True).alias("chained")).distinct()
+    told = told.join(chained, ["source", "target"], "left").withColumn("is_known", F.coalesce("chained", F.lit(False)))
+    score = scored(F.col("sim"), SIMILAR) + scored(F.col("n"), ERRORS) + F.when(F.col("alike"), SAME_SYSTEM).otherwise(0) + F.when(F.col("from_ancestor"), ANCESTOR).otherwise(0)
+    percent = F.format_string("%.1f", F.col("sim") * 100)
+    evidence = F.array_compact(F.array(
+        F.when(F.col("sim") > 0.95, F.concat(F.lit("高度相似("), percent, F.lit("%)"))).when(F.col("sim") > 0.9, F.concat(F.lit("相似("), percent, F.lit("%)"))),
+        F.when(F.col("n") > 2, F.concat(F.lit("共同讹误"), F.col("n").cast("string"), F.lit("处"))),
+        F.when(F.col("alike"), F.lit("同系")), F.when(F.col("from_ancestor"), F.lit("祖本")), F.when(F.col("is_known"), F.lit("已知传承")),
+    ))
+    sure = F.when(F.col("is_known"), F.greatest(score, F.lit(KNOWN))).otherwise(score)
+    return told.where(score >= LEAST).select(
+        "source", "target", sure.alias("confidence"), evidence.alias("evidence"), F.round(F.col("sim") * 100, 1).alias("similarity"), F.col("n").alias("shared_errors"), "is_known", "i_ord", "j_ord"
+    )
+
+
+def reduce_transitive(edges: DataFrame) -> DataFrame:
+    """H5: without edges that a path of two edges makes needless, unless known or of SURE confidence; two edges at most stay as they are."""
+    two = edges.select("source", F.col("target").alias("mid")).join(edges.select(F.col("source").alias("mid"), "target"), "mid").where("mid <> target").select("source", "target").distinct()
+    few = edges.agg((F.count(F.lit(1)) <= 2).alias("few"))
+    told = edges.join(two.withColumn("again", F.lit(True)), ["source", "target"], "left").join(F.broadcast(few), F.lit(True))  # one row
+    return told.where(F.col("again").isNull() | F.col("few") | F.col("is_known") | (F.col("confidence") >= SURE)).select(*edges.columns)
 
 
 def conclusions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """H7: system, chain (its editions by year) and best score of each system of two nodes or more with an edge within. nodes: name, year, system."""
+    """H7: lines: of each system of two editions or more with an edge within, the chain by year and the evidence of its best edge; and the three best edges between systems."""
     system = nodes.select("name", "system")
-    ends = edges.join(system.toDF("src", "s"), "src").join(system.toDF("dst", "d"), "dst").where("s = d")
-    best = ends.groupBy(F.col("s").alias("system")).agg(F.max("score").alias("best"))
-    link = F.concat(F.col("name").cast("string"), F.lit("("), F.col("year").cast("string"), F.lit(")"))
-    chain = nodes.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("year", "name", link.alias("link")))).alias("x")).where(F.size("x") >= 2)
-    return chain.join(best, "system").select("system", F.array_join(F.col("x.link"), " → ").alias("chain"), "best")
+    ends = edges.join(system.toDF("source", "s"), "source").join(system.toDF("target", "d"), "target")
+    rank = F.struct(-F.col("confidence"), "i_ord", "j_ord")
+    best = ends.where("s = d").groupBy(F.col("s").alias("system")).agg(F.min_by(F.array_join("evidence", "、"), rank).alias("evidence"))
+    link = F.concat("name", F.lit("("), F.col("year").cast("string"), F.lit(")"))
+    chain = nodes.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("year", "ord", link.alias("link")))).alias("x")).where(F.size("x") >= 2).join(best, "system")
+    first = chain.select(F.concat(F.lit("【"), "system", F.lit("传承链】"), F.array_join(F.col("x.link"), " → ")).alias("line"))
+    second = chain.where("evidence <> ''").select(F.concat(F.lit("  证据："), "evidence").alias("line"))
+    across = ends.where("s <> d").orderBy(rank).limit(3).select(F.concat(F.lit("【跨系关联】"), "source", F.lit(" ("), "s", F.lit(") → "), "target", F.lit(" ("), "d", F.lit(")")).alias("line"))
+    return first.union(second).union(across)
 
 
 def new_pairs(cells: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

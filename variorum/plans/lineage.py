@@ -51,26 +51,6 @@ def e18_near_pairs(spark, sf_dir):
     return both.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "sim", (F.col("r") == F.col("q")).alias("same_region"))
 
 
-@registry.add(stemma._EDGES + """ SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(score AS BIGINT) AS score FROM edges WHERE NOT (src = 0 AND dst IN (1, 2)) UNION ALL SELECT 0, 2, 99 UNION ALL SELECT 9, 0, 1""")
-def h08_edge_edits(spark, sf_dir):
-    """One edge deleted, one replaced and one added."""
-    e = stemma.lineage_edges(stemma.similarity(table(spark, sf_dir, "embeddings")))
-    added = spark.createDataFrame([(0, 2, 99), (9, 0, 1)], "src int, dst int, score int")
-    out = L.adjusted(e, added, spark.createDataFrame([(0, 1)], "src int, dst int"))
-    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
-
-
-@registry.add(stemma._EDGES + """, w AS (SELECT label AS name, label % 3 AS system, 1000 + label * 37 % 400 AS year FROM n),
-chains AS (SELECT system, string_agg(name || '(' || year || ')', ' → ' ORDER BY year, name) AS chain FROM w GROUP BY system HAVING count(*) >= 2)
-SELECT CAST(chains.system AS BIGINT) AS system, chain, CAST(max(score) AS BIGINT) AS best FROM chains JOIN edges ON src % 3 = chains.system AND dst % 3 = chains.system GROUP BY chains.system, chain""")
-def h07_conclusions(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    label = F.col("label")
-    nodes = e.select("label").distinct().select(label.alias("name"), (label * 37 % 400 + 1000).alias("year"), (label % 3).alias("system"))
-    out = L.conclusions(nodes, stemma.lineage_edges(stemma.similarity(e)))
-    return out.select(F.col("system").cast("long").alias("system"), "chain", F.col("best").cast("long").alias("best"))
-
-
 @registry.add(stemma._SIM + " SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, dot FROM s WHERE j >= 7")
 def k03_added_witnesses(spark, sf_dir):
     """Editions 7 and later are new: only their pairs are computed."""

@@ -1,4 +1,4 @@
-"""Stemmatics: similarity, shared readings, clustering, lineage and geography of editions.
+"""Stemmatics: similarity, clusters and geography of editions.
 
 Stand-ins: the ten labels of embeddings are editions, their centroids texts; nations with coordinates from their keys
 are places. Similarities are exact integers (millionths), so both engines agree to the last digit.
@@ -30,9 +30,6 @@ c AS (SELECT label, d, CAST(sum(CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT))
 n AS (SELECT label, CAST(sum(x * x) AS BIGINT) AS n FROM c GROUP BY label),
 s AS (SELECT a.label AS i, b.label AS j, CAST(sum(a.x * b.x) AS BIGINT) AS dot FROM c a JOIN c b ON a.d = b.d AND a.label < b.label GROUP BY ALL),
 sim AS (SELECT i, j, CAST(floor(1e6 * dot / (sqrt(p.n) * sqrt(q.n))) AS BIGINT) AS sim FROM s JOIN n p ON p.label = i JOIN n q ON q.label = j)"""
-_EDGES = _SIM + """, scored AS (SELECT i AS src, j AS dst, (CASE WHEN sim >= 900000 THEN 30 WHEN sim >= 500000 THEN 20 WHEN sim >= 0 THEN 10 ELSE 0 END)
-  + (CASE WHEN j - i <= 1 THEN 40 WHEN j - i <= 3 THEN 25 WHEN j - i <= 5 THEN 15 ELSE 5 END) + (CASE WHEN i % 2 = j % 2 THEN 20 ELSE 0 END) AS score FROM sim),
-edges AS (SELECT * FROM scored WHERE score >= 30)"""
 
 
 @registry.add(_SIM + " SELECT i, j, sim FROM sim UNION ALL SELECT j, i, sim FROM sim UNION ALL SELECT label, label, 1000000 FROM n")
@@ -43,46 +40,12 @@ def e06_similarity_matrix(spark, sf_dir):
     return s.union(s.select("j", "i", "sim")).union(one)
 
 
-def lineage_edges(sim: DataFrame) -> DataFrame:
-    """Edges from older to younger editions with scores of similarity, distance in time and system; 30 at least."""
-    gap = F.col("j") - F.col("i")
-    # fixed values: the bands of similarity and of distance in time, and what each adds
-    score = F.when(F.col("sim") >= 900000, 30).when(F.col("sim") >= 500000, 20).when(F.col("sim") >= 0, 10).otherwise(0)
-    score = score + F.when(gap <= 1, 40).when(gap <= 3, 25).when(gap <= 5, 15).otherwise(5) + F.when(F.col("i") % 2 == F.col("j") % 2, 20).otherwise(0)
-    return sim.select(F.col("i").alias("src"), F.col("j").alias("dst"), score.alias("score")).where("score >= 30")
-
-
-def reduce_transitive(edges: DataFrame, sure: int = 80) -> DataFrame:
-    """Without edges that a path of two edges makes needless, unless their score is sure."""
-    a, b = edges.toDF("src", "mid", "s1"), edges.toDF("mid", "dst", "s2")
-    two = a.join(b, "mid").select("src", "dst").distinct()
-    return edges.where(F.col("score") >= sure).union(edges.where(F.col("score") < sure).join(two, ["src", "dst"], "left_anti").select("src", "dst", "score"))
-
-
-@registry.add(_EDGES + " SELECT src, dst, score FROM edges")
-def h04_lineage_edges(spark, sf_dir):
-    return lineage_edges(similarity(table(spark, sf_dir, "embeddings")))
-
-
-@registry.add(_EDGES + " SELECT src, dst, score FROM edges e WHERE score >= 80 OR NOT EXISTS (SELECT 1 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = e.src AND b.dst = e.dst)")
-def h05_transitive_reduction(spark, sf_dir):
-    return reduce_transitive(lineage_edges(similarity(table(spark, sf_dir, "embeddings"))))
-
-
 @registry.add(_SIM + " SELECT i, j, sim FROM sim ORDER BY sim DESC, i, j LIMIT 1")
 def h03_closest_pair(spark, sf_dir):
     s = similarity(table(spark, sf_dir, "embeddings"))
     return s.orderBy(F.desc("sim"), "i", "j").limit(1)
 
 
-@registry.add(_EDGES + " SELECT label AS node, 1000 + 50 * label AS year, count(e.dst) AS n_children FROM n LEFT JOIN edges e ON e.src = label GROUP BY label")
-def h06_nodes(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    edges = lineage_edges(similarity(e))
-    n = e.select(F.col("label").alias("node")).distinct().join(edges, F.col("node") == F.col("src"), "left")
-    return n.groupBy("node").agg(F.count("dst").alias("n_children")).withColumn("year", 1000 + 50 * F.col("node"))
-
-
 @registry.add(_SIM + ", m AS (SELECT i, sim FROM sim UNION ALL SELECT j, sim FROM sim) SELECT i % 3 AS place, count(DISTINCT i) AS n_editions, CAST(sum(sim) AS BIGINT) AS total FROM m GROUP BY 1")
 def g18_place_clusters(spark, sf_dir):
     s = similarity(table(spark, sf_dir, "embeddings"))

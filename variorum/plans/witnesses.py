@@ -1,26 +1,37 @@
-"""Collation of natural near copies: documents that begin alike are witnesses of one text. These queries need the alignment kernel, so there is no SQL beside them."""
+"""Collation of natural near copies: documents that share a least window of words are witnesses of one text. These queries need the alignment kernel, so there is no SQL beside them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.marks import MARKS
 from ..operators import align
+from ..operators import witnesses as W
 from ..query import Registry, table
+from . import editions
 from .stemma import similarity
 
 registry = Registry()
 
 
+#: Words of a window, and how many least hashes of windows name a text's groups.
+WINDOW, LEAST = 8, 3
+
+
 def witness_pairs(documents: DataFrame) -> DataFrame:
-    """doc_id (of the witness), base_id, base, witness: the base of a group is its smallest doc_id; lengths differ by a tenth at most. Groups are keyed by the first 60 letters, so a base meets each of its witnesses once."""
-    start = F.substring(F.regexp_replace(F.lower("text"), r"[^\p{L}]", ""), 1, 60)
-    d = documents.select("doc_id", "text", start.alias("g")).where(F.length("g") == 60)
-    base = d.groupBy("g").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    p = d.join(base, "g").where(F.col("doc_id") != F.col("b.doc_id")).select("doc_id", F.col("b.doc_id").alias("base_id"), F.col("b.text").alias("base"), F.col("text").alias("witness"))
-    x, y = F.length("base"), F.length("witness")
-    return p.where((p.base != p.witness) & (F.abs(x - y) * 10 <= F.greatest(x, y))).repartition("doc_id")
+    """doc_id (of the witness), base_id, base, witness. A text is in the groups that its least windows of words name, by three hashes of all its windows; of all texts in its groups the smallest doc_id is its base, so it is collated once. Equal texts are no witnesses."""
+    words = F.split(F.lower("text"), r"\s+")
+    cut = documents.select("doc_id", "text", words.alias("w")).where(F.size("w") >= WINDOW)
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(F.slice("w", i + 1, WINDOW)))
+    least = F.array(*(F.array_min(F.transform("h", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(LEAST)))
+    named = cut.select("doc_id", hashes.alias("h")).select("doc_id", F.posexplode(least).alias("k", "h"))
+    group = named.groupBy("k", "h").agg(F.min("doc_id").alias("base_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    of = named.join(group, ["k", "h"]).groupBy("doc_id").agg(F.min("base_id").alias("base_id")).where("doc_id <> base_id")
+    texts = documents.select("doc_id", F.col("text").alias("witness"))
+    p = of.join(texts, "doc_id").join(texts.toDF("base_id", "base"), "base_id").where("base <> witness")
+    return p.select("doc_id", "base_id", "base", "witness").repartition("doc_id")
 
 
 def aligned(spark, sf_dir) -> DataFrame:
@@ -34,12 +45,24 @@ def f01_alignment_segments(spark, sf_dir):
 
 @registry.add()
 def f02_transpositions(spark, sf_dir):
+    """Runs of segments whose sides are the same characters in another order."""
     return aligned(spark, sf_dir).select("doc_id", F.inline(align.merge_transpositions(F.col("segments"))))
 
 
 @registry.add()
 def f10_differences(spark, sf_dir):
-    return align.differences(aligned(spark, sf_dir), "doc_id", "base")
+    """Differences of two editions, by the matcher's heuristic for popular characters, as a comparison of two files has it."""
+    p = witness_pairs(table(spark, sf_dir, "documents")).withColumns({c: T.normalize_layout(F.col(c)) for c in ("base", "witness")})
+    return align.differences(align.align(p, "base", "witness", autojunk=True), "doc_id", "base")
+
+
+@registry.add()
+def f21_collated_witnesses(spark, sf_dir):
+    """The readings of near copies against their base, by alignment under a dictionary of variants: what the variant table of a base is made of."""
+    p = witness_pairs(table(spark, sf_dir, "documents")).withColumns({c: T.normalize_collation(F.col(c)) for c in ("base", "witness")})
+    fold = ("".join(editions.VARIANTS), "".join(editions.VARIANTS.values()))
+    found = align.align(p, "base", "witness", fold).withColumnRenamed("doc_id", "witness_id").drop("witness")
+    return W.readings(found, "base_id", "witness_id", "segments", editions.dictionary(spark)).select("base_id", "witness_id", *W.PLACE, "base", "reading", "category")
 
 
 @registry.add()
