@@ -6,12 +6,14 @@ other punctuation. Positions are compared inside arrays, so only readings that d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.marks import NOT_MARK, SPACE
+from ..functions.marks import MARK, SPACE
+from ..operators import marks
 from ..query import Registry, table
+from .texts import SQL_MAP
 
 registry = Registry()
 #: Letters that a witness exchanges: from, to.
@@ -20,11 +22,12 @@ WITNESS_B = ("éaoe", "eoae")
 
 
 def readings(documents: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), base, a, b of every position where a witness departs from the base."""
-    t = F.col("text")
-    zipped = F.arrays_zip(F.split(t, "").alias("base"), F.split(F.translate(t, *WITNESS_A), "").alias("a"), F.split(F.translate(t, *WITNESS_B), "").alias("b"))
-    placed = F.transform(zipped, lambda x, i: F.struct(i.cast("long").alias("pos"), x["base"].alias("base"), x["a"].alias("a"), x["b"].alias("b")))
-    return documents.select("doc_id", F.inline(F.filter(placed, lambda x: (x["base"] != x["a"]) | (x["base"] != x["b"]))))
+    """doc_id, pos (from 0), base, a, b of every position where a witness departs from the base. A text is cut behind each such character; lengths add up to positions."""
+    changed = "".join(dict.fromkeys(x for w in (WITNESS_A, WITNESS_B) for x, y in zip(*w, strict=True) if x != y))
+    cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{changed}]*[{changed}]"), F.lit(0))).alias("k", "piece"))
+    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    hit = cut.select("doc_id", "k", F.length("piece").alias("n"), F.right("piece", F.lit(1)).alias("base")).withColumn("pos", F.sum("n").over(w) - 1)
+    return hit.select("doc_id", F.col("pos").cast("long").alias("pos"), "base", F.translate("base", *WITNESS_A).alias("a"), F.translate("base", *WITNESS_B).alias("b")).where("a <> base OR b <> base")
 
 
 def long_readings(documents: DataFrame) -> DataFrame:
@@ -82,8 +85,6 @@ def g24_reading_rollup(spark, sf_dir):
 @registry.add(_SQL_LONG + " SELECT category, reading, n, CAST(rank AS BIGINT) AS rank FROM (SELECT category, reading, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, reading) AS rank FROM l GROUP BY category, reading) WHERE rank <= 5")
 def j02_top_readings(spark, sf_dir):
     """The five most frequent readings of a category."""
-    from pyspark.sql import Window
-
     n = long_readings(table(spark, sf_dir, "documents")).groupBy("category", "reading").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("category").orderBy(F.desc("n"), "reading")
     return n.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
@@ -95,17 +96,15 @@ def mark_witness(t):
 
 
 def mark_differences(documents: DataFrame) -> DataFrame:
-    """doc_id, pos, marks of both texts and the type of the difference. Both have the same characters, so gap i stands beside gap i and no join is needed."""
-    zipped = F.arrays_zip(T.gaps(F.col("text")).alias("x"), T.gaps(mark_witness(F.col("text"))).alias("y"))
-    placed = F.transform(zipped, lambda g, i: F.struct((i - 1).cast("long").alias("pos"), g["x"].alias("x"), g["y"].alias("y")))
-    d = documents.select("doc_id", F.inline(F.filter(placed, lambda g: g["x"] != g["y"])))
-    return d.withColumn("kind", T.mark_difference(F.col("x"), F.col("y")))
+    """doc_id, pos, marks of both texts and the type of the difference."""
+    d = marks.mark_differences(documents, "doc_id", F.col("text"), mark_witness(F.col("text")))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), "x", "y", "kind")
 
 
 _SQL_SPACELESS = f"regexp_replace(text, '{SPACE}', '', 'g')"
-_SQL_MARKS = f"""SELECT doc_id, pos - 2 AS pos, x, y, CASE WHEN x = '' THEN 'added' WHEN y = '' THEN 'deleted' WHEN starts_with(y, x) THEN 'added' WHEN starts_with(x, y) THEN 'deleted' ELSE 'replaced' END AS kind
-FROM (SELECT doc_id, generate_subscripts(g, 1) AS pos, unnest(g) AS x, unnest(string_split_regex(regexp_replace(translate({_SQL_SPACELESS}, ',', '，'), '[:!]', '', 'g'), '{NOT_MARK}')) AS y
-  FROM (SELECT doc_id, text, string_split_regex({_SQL_SPACELESS}, '{NOT_MARK}') AS g FROM documents)) WHERE x <> y"""
+_sql_side = lambda t: SQL_MAP.format(f"SELECT doc_id, i, ch, regexp_matches(ch, '{MARK}') AS mark, regexp_matches(ch, '{SPACE}') AS space FROM (SELECT doc_id, unnest(string_split({t}, '')) AS ch, generate_subscripts(string_split({t}, ''), 1) AS i FROM documents WHERE {t} <> '')")
+_SQL_MARKS = f"""SELECT doc_id, pos, x, y, CASE WHEN x = '' THEN 'added' WHEN y = '' THEN 'deleted' WHEN starts_with(y, x) THEN 'added' WHEN starts_with(x, y) THEN 'deleted' ELSE 'replaced' END AS kind FROM (
+  SELECT doc_id, pos, coalesce(p.marks, '') AS x, coalesce(q.marks, '') AS y FROM ({_sql_side("text")}) p FULL JOIN ({_sql_side("regexp_replace(translate(text, ',', '，'), '[:!]', '', 'g')")}) q USING (doc_id, pos)) WHERE x <> y"""
 
 
 @registry.add(_SQL_MARKS)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.marks import BRACKETS, INNER, LAYOUT, MARK, MARKS, NOT_MARK, QUOTES, SENTENCE_END, SPACE, in_class
+from ..functions.marks import BRACKETS, INNER, J_MARK, J_MARK_OR_SPACE, LAYOUT, MARK, MARKS, NOT_MARK, QUOTES, SENTENCE_END, SPACE, in_class
+from ..operators.marks import mark_map, mark_runs
 from ..query import Registry, table
 
 registry = Registry()
@@ -43,21 +44,25 @@ def c08_gap_profile(spark, sf_dir):
     return g.select("doc_id", (F.size("g") - 1).cast("long").alias("n_chars"), F.size(F.filter("g", lambda x: x != "")).cast("long").alias("n_filled"), F.array_max(F.transform("g", F.length)).cast("long").alias("longest"))
 
 
-@registry.add(f"""SELECT doc_id, CAST(pos - 2 AS BIGINT) AS pos, marks FROM (SELECT doc_id, unnest(g) AS marks, generate_subscripts(g, 1) AS pos
-  FROM (SELECT doc_id, {_SQL_GAPS} AS g FROM documents)) WHERE marks <> ''""")
+_SQL_CHARS = f"""SELECT doc_id, i, ch, regexp_matches(ch, '{MARK}') AS mark, regexp_matches(ch, '{SPACE}') AS space FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')"""
+#: C9 for a table of characters: a mark belongs to what stands before it unless that is white space.
+SQL_MAP = """SELECT doc_id, pos, string_agg(ch, '' ORDER BY i) AS marks FROM (SELECT doc_id, i, ch, mark,
+  CAST(coalesce(sum(CASE WHEN mark OR space THEN 0 ELSE 1 END) OVER w, 0) - 1 AS BIGINT) AS pos, last_value(CASE WHEN mark THEN NULL ELSE space END IGNORE NULLS) OVER w AS spaced
+  FROM ({}) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE mark AND (pos = -1 OR NOT spaced) GROUP BY doc_id, pos"""
+
+
+@registry.add(SQL_MAP.format(_SQL_CHARS))
 def c09_punct_map(spark, sf_dir):
-    """The marks after each character, counted without marks and white space; -1: before the first."""
-    g = table(spark, sf_dir, "documents").select("doc_id", T.gaps(F.col("text")).alias("g"))
-    filled = F.filter(F.transform("g", lambda x, i: F.struct((i - 1).cast("long").alias("pos"), x.alias("marks"))), lambda x: x["marks"] != "")
-    return g.select("doc_id", F.inline(filled))
+    """The marks directly after each character, counted without marks and white space; -1: before the first."""
+    return mark_map(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("pos").cast("long").alias("pos"), "marks")
 
 
 @registry.add(f"""SELECT doc_id, CAST(sum(length(marks)) AS BIGINT) AS n_marks, count(*) AS n_runs, CAST(min(pos - 1) AS BIGINT) AS first_offset, CAST(max(pos - 1) AS BIGINT) AS last_offset
   FROM (SELECT doc_id, unnest(g) AS marks, generate_subscripts(g, 1) AS pos FROM (SELECT doc_id, {_SQL_GAPS} AS g FROM documents)) WHERE marks <> '' GROUP BY doc_id""")
 def l03_mark_offsets(spark, sf_dir):
     """Runs of marks by the clean offset that they stand before."""
-    m = c09_punct_map(spark, sf_dir)
-    return m.groupBy("doc_id").agg(F.sum(F.length("marks")).alias("n_marks"), F.count(F.lit(1)).alias("n_runs"), (F.min("pos") + 1).alias("first_offset"), (F.max("pos") + 1).alias("last_offset"))
+    m = mark_runs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return m.groupBy("doc_id").agg(F.sum(F.length("marks")).alias("n_marks"), F.countDistinct("before").alias("n_runs"), F.min("before").alias("first_offset"), F.max("before").alias("last_offset"))
 
 
 @registry.add(r"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\p{L}]+')) AS w FROM documents)
@@ -107,7 +112,7 @@ def c19_unknown_marks(spark, sf_dir):
   SELECT doc_id, CAST(len(regexp_extract_all(text, '{MARK}')) AS BIGINT) AS n_marks, CAST(length(regexp_replace({_SQL_SPACELESS}, '{MARK}', '', 'g')) AS BIGINT) AS n_clean FROM documents)""")
 def g04_style_report(spark, sf_dir):
     """Marks, clean characters and marks per 10,000 clean characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(MARK)).cast("long").alias("n_marks"), F.length(T.strip_marks(F.col("text"))).cast("long").alias("n_clean"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(J_MARK)).cast("long").alias("n_marks"), (F.length("text") - F.regexp_count("text", F.lit(J_MARK_OR_SPACE))).cast("long").alias("n_clean"))
     return d.withColumn("density_bp", F.when(F.col("n_clean") > 0, F.expr("10000 * n_marks div n_clean")).otherwise(0).cast("long"))
 
 
