@@ -122,6 +122,7 @@ def frugal(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()  # what is there already, modules for the most part, need not be looked through below
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
