@@ -163,11 +163,13 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(frugal(run), "doc_id long, key long, n_shingles long, cls long")
 
 
-SUBSETS = "sig long, cls long, need short, own long"
+SUBSETS = "sig long, cls long, need int"
+#: Marks above need in a row of subsets: its sig is known to be shared; its sig is disguised, as the row tells nobody anything.
+SHARED, DEALT = 1 << 16, 1 << 17
 
 
 def subsets(rows: DataFrame) -> DataFrame:
-    """sig, cls and need (how many subsets the set shares with a partner at least) of all segment subsets, copies of a set in one task once; own: sig where it is known to be shared, sig then being any number unless the row tells other tasks."""
+    """sig, cls and need (how many subsets the set shares with a partner at least) of all segment subsets, copies of a set in one task once. need is one more than that, and marked where sig is known to be shared; sig is then any number unless the row tells other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, bands, seen, shared = Sets(), Bands(), set(), Known(1 << 18)
@@ -185,11 +187,11 @@ def subsets(rows: DataFrame) -> DataFrame:
             n = [len(x) for x, _, _ in found]
             sig = np.concatenate([x for x, _, _ in found])
             cls = np.repeat(np.array([x for _, x, _ in found], np.uint64), n)
-            need = np.repeat(np.clip([x for _, _, x in found], -1, 30000).astype(np.int16), n)
+            need = np.repeat(np.clip([x for _, _, x in found], -1, 30000).astype(np.int32) + 1, n)
             known = shared(sig)
-            own = pa.array(sig.view(np.int64), mask=known == 0)
-            dealt = np.where(known == 1, mix(sig + cls), sig)
-            yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(need), own], ["sig", "cls", "need", "own"])
+            need += (known != 0) * np.int32(SHARED) + (known == 1) * np.int32(DEALT)
+            dealt = np.where(known == 1, sig ^ mix(cls), sig)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(need)], ["sig", "cls", "need"])
 
     return rows.select("text").mapInArrow(frugal(run), SUBSETS)
 
@@ -203,7 +205,8 @@ def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         sig, cls, need = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        own = b.column(3)
+        shared, disguised = need & SHARED != 0, need & DEALT != 0
+        need = ((need & (SHARED - 1)) - 1).astype(np.int16)
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         if last is not None and last[0] == sig[0]:
@@ -222,9 +225,10 @@ def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield held
                 held = None
             several[0] |= last[2]
-        keep = several[run] | (need <= 0) | own.is_valid().to_numpy(zero_copy_only=False)
-        true = pa.array(np.where(own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy(), sig))
-        rows = pa.RecordBatch.from_arrays([true, b.column(1), b.column(2)], names)
+        keep = several[run] | (need <= 0) | shared
+        true = sig.copy()
+        true[disguised] ^= mix(cls[disguised].view(np.uint64)).view(np.int64)
+        rows = pa.RecordBatch.from_arrays([pa.array(true), b.column(1), pa.array(need)], names)
         yield rows.filter(pa.array(keep))
         end = int(run[-1])
         if end or new[0]:
@@ -249,16 +253,18 @@ def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return own.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(frugal(run), "cls long, n long, u array<long>, bits binary")
 
 
-ENTRIES = "sig long, cls long, slot long, most int, due int"
+ENTRIES = "sig long, cls long, slot long"
+#: Where a slot holds how far H + 1 exceeds what all segments add, and what is added to that so that it is no negative number.
+OVER, LEVEL = 36, 1 << 26
 
 
-def slot(seg, kind, gain, part):
-    """A segment, and what an entry is of it, in one number."""
-    return seg * 64 + kind * 16 + gain * 4 + part
+def slot(seg, kind, gain, part, over):
+    """A segment, what an entry is of it, and by how much H + 1 exceeds what all segments add, in one number."""
+    return (over + LEVEL << OVER) + seg * 64 + kind * 16 + gain * 4 + part
 
 
 def entries(sets: DataFrame) -> DataFrame:
-    """What each set (cls, u, parts: parities of bands) indexes, by sig (its last bit is kind 1, so that a list begins with its subsets): kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; slot: its segment, kind, the most that the segment adds to the thresholds, and the part; most: what all segments add, due: H + 1."""
+    """What each set (cls, u, parts: parities of bands) indexes, by sig (its last bit is kind 1, so that a list begins with its subsets): kind 0 for a subset, 1 for one without an element, 2 for an element of a set whose segments are too small; slot: its segment, kind, the most that the segment adds to the thresholds, the part, and what H + 1 is beyond all that segments add."""
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +287,7 @@ def entries(sets: DataFrame) -> DataFrame:
                     gains = np.concatenate([gain, gain[which], np.zeros(len(first), np.int64)])
                     out.append([
                         (np.concatenate([s.subsets(), deleted, first]) & ~np.uint64(1) | (kind == 1).astype(np.uint64)).view(np.int64), np.full(n, cls, np.int64),
-                        slot(number, kind.astype(np.int64), gains, band & 1), np.full(n, gain.sum(), np.int32), np.full(n, due, np.int32),
+                        slot(number, kind.astype(np.int64), gains, band & 1, due - int(gain.sum())),
                     ])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
@@ -319,14 +325,14 @@ def lists_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def allocated(lists: DataFrame) -> DataFrame:
     """The sigs of the lists that some set has to look through (lists: entries that are not alone)."""
     counts = lists.groupBy("sig").agg(F.count_if(F.col("slot").bitwiseAND(F.lit(48)) == 0).alias("equal"), F.count(F.lit(1)).alias("all"))
-    priced = lists.join(counts, "sig").groupBy("cls", F.col("slot").bitwiseAND(F.lit(1)).alias("part")).agg(F.max("most").alias("most"), F.max("due").alias("due"), F.collect_list(F.struct("slot", "sig", "equal", "all")).alias("e"))
+    priced = lists.join(counts, "sig").groupBy("cls", F.col("slot").bitwiseAND(F.lit(1)).alias("part")).agg(F.max(F.shiftright("slot", OVER)).alias("over"), F.collect_list(F.struct("slot", "sig", "equal", "all")).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
             chosen: list[np.ndarray] = []
-            for most, due, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for over, e in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 slots, sig, equal, every = (e.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                seg, kind, gain = slots >> 6, slots >> 4 & 3, slots >> 2 & 3
+                seg, kind, gain = (slots & (1 << OVER) - 1) >> 6, slots >> 4 & 3, slots >> 2 & 3
                 # by segment: the list of a threshold of 0, and what 1 adds to it
                 number, own = np.unique(seg[kind < 2], return_inverse=True)
                 k, q, a = kind[kind < 2], equal[kind < 2], every[kind < 2]
@@ -334,7 +340,7 @@ def allocated(lists: DataFrame) -> DataFrame:
                 one = np.bincount(own, np.where(k == 0, a - q, q), len(number))
                 adds = np.zeros(len(number), np.int64)
                 adds[own] = gain[kind < 2]
-                left = due - (most - adds.sum())
+                left = over - LEVEL + int(adds.sum())
                 if left <= 0:
                     continue
                 both = (adds == 2) & (one < zero)  # 1 is cheaper by what it adds than 0
@@ -352,7 +358,7 @@ def allocated(lists: DataFrame) -> DataFrame:
             if chosen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen))], ["sig"])
 
-    return priced.select("most", "due", "e").mapInArrow(frugal(run), "sig long").distinct()
+    return priced.select("over", "e").mapInArrow(frugal(run), "sig long").distinct()
 
 
 def forest(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
