@@ -136,6 +136,14 @@ def test_cluster(spark):
     assert "NTAX=3" in sinks.nexus([], {1: "A", 2: "B", 3: "C"})
 
 
+def test_cluster_under_a_base(spark):
+    """The base is like all and merges with none; of equal distances the first pair merges, and a new cluster comes last."""
+    sims = {(0, 1): 0.99, (0, 2): 0.99, (0, 3): 0.99, (0, 4): 0.99, (1, 2): 0.5, (1, 3): 0.75, (1, 4): 0.25, (2, 3): 0.25, (2, 4): 0.75, (3, 4): 0.5}
+    df = spark.createDataFrame([(g, i, j, s) for g in (1, 2) for (i, j), s in sims.items()], "grp long, i long, j long, sim double")
+    got = align.cluster(df, base=0).orderBy("grp", "step").collect()
+    assert [(x.grp, x.a, x.b, round(x.height, 6)) for x in got] == [(g, *m) for g in (1, 2) for m in ((1, 3, 0.25), (2, 4, 0.25), (1, 2, 0.625))]
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (60, 60)], "a long, b long")
     got = {x.node: x.component for x in graph.components(df).collect()}

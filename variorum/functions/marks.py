@@ -24,8 +24,6 @@ LAYOUT = f"[{in_class(SPACES + ZERO_WIDTH)}]"
 #: Letters and digits that are neither marks nor white space. Java tests a class's members beyond U+00FF one after the other,
 #: so its classes below ask for these first; other engines take the plain ones above.
 PLAIN = r"0-9A-Za-z\x{C0}-\x{24F}\x{3400}-\x{9FFF}"
-J_MARK = f"[[^{PLAIN}]&&[{in_class(MARKS)}]]"
-J_NOT_MARK = f"[{PLAIN}[^{in_class(MARKS)}]]"
+J_MARK = f"[[^ \\n{PLAIN}]&&[{in_class(MARKS)}]]"
+J_NOT_MARK = f"[^[^ \\n{PLAIN}]&&[{in_class(MARKS)}]]"
 J_SPACE = f"[[^{PLAIN}]&&[{in_class(SPACES)}]]"
-J_LAYOUT = f"[[^{PLAIN}]&&[{in_class(SPACES + ZERO_WIDTH)}]]"
-J_MARK_OR_SPACE = f"[[^{PLAIN}]&&[{in_class(MARKS + SPACES)}]]"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .marks import BRACKETS, INNER, J_LAYOUT, J_MARK_OR_SPACE, J_NOT_MARK, J_SPACE, QUOTES, SENTENCE_END, in_class
+from .marks import BRACKETS, INNER, J_NOT_MARK, J_SPACE, MARKS, QUOTES, SENTENCE_END, SPACES, ZERO_WIDTH, in_class
 
 
 def normalize_collation(t: Column) -> Column:
     """Without line breaks, any white space and zero-width characters; punctuation stays."""
-    return F.regexp_replace(t, f"{J_LAYOUT}+", "")
+    return F.translate(t, SPACES + ZERO_WIDTH, "")
 
 
 def normalize_layout(t: Column) -> Column:
@@ -30,7 +30,7 @@ def remove_empty_lines(t: Column) -> Column:
 
 def strip_marks(t: Column) -> Column:
     """Without marks and white space."""
-    return F.regexp_replace(t, f"{J_MARK_OR_SPACE}+", "")
+    return F.translate(t, MARKS + SPACES, "")
 
 
 def strip_numbers_and_punctuation(t: Column) -> Column:
@@ -40,7 +40,7 @@ def strip_numbers_and_punctuation(t: Column) -> Column:
 
 def gaps(t: Column) -> Column:
     """The marks before each character and after the last one; one more than characters. White space does not count."""
-    return F.split(F.regexp_replace(t, f"{J_SPACE}+", ""), J_NOT_MARK, -1)
+    return F.split(F.translate(t, SPACES, ""), J_NOT_MARK, -1)
 
 
 def is_transposition(a: Column, b: Column) -> Column:

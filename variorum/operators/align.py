@@ -281,27 +281,29 @@ def transfer_marks(pairs: DataFrame, source: str, target: str, marks: str) -> Da
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("transferred", StringType())]))
 
 
-def cluster(similarities: DataFrame, most: int = 64) -> DataFrame:
-    """H1: average-linkage merges (step, a, b, height) of the nodes of (grp, i, j, sim) in each group of at most `most` nodes; a group is one matrix of bounded size. Bigger groups are refused."""
+def cluster(similarities: DataFrame, base: int | None = None) -> DataFrame:
+    """H1: average-linkage merges (step, a, b, height) of the nodes of (grp, i, j, sim), each group a project of a few dozen witnesses. A base is the root and merges with none, so that it and one cluster are left; without one all merge. A new cluster has the smaller name of its two and comes last, and of equal distances the first pair counts."""
 
     def run(pdf):
         import pandas as pd
 
         nodes = sorted(set(pdf.i) | set(pdf.j))
-        if len(nodes) > most:
-            raise ValueError(f"a group of {len(nodes)} nodes; at most {most} are clustered")
-        d = {(min(i, j), max(i, j)): 1 - s for i, j, s in zip(pdf.i, pdf.j, pdf.sim, strict=True)}
-        members = {n: [n] for n in nodes}
+        at = {n: k for k, n in enumerate(nodes)}
+        far = np.zeros((len(nodes), len(nodes)))
+        for i, j, s in zip(pdf.i, pdf.j, pdf.sim, strict=True):
+            far[at[i], at[j]] = far[at[j], at[i]] = 1 - s
+        active = [(n, [at[n]]) for n in nodes if n != base]
         rows = []
-        while len(members) > 1:
-            def gap(p):
-                pairs = [d[min(x, y), max(x, y)] for x in members[p[0]] for y in members[p[1]]]
-                return sum(pairs) / len(pairs)
-
-            names = sorted(members)
-            best = min(((a, b) for k, a in enumerate(names) for b in names[k + 1 :]), key=lambda p: (round(gap(p), 12), p))
-            rows.append((pdf.grp.iloc[0], len(rows) + 1, best[0], best[1], gap(best)))
-            members[best[0]] += members.pop(best[1])
+        while len(active) > 1:
+            gap = np.full((len(active), len(active)), np.inf)
+            for x, (_, p) in enumerate(active):
+                for y in range(x + 1, len(active)):
+                    gap[x, y] = far[np.ix_(p, active[y][1])].mean()
+            x, y = divmod(int(np.round(gap, 12).argmin()), len(active))
+            one, two = active[x], active[y]
+            a, b = sorted((one[0], two[0]))
+            rows.append((pdf.grp.iloc[0], len(rows) + 1, a, b, float(gap[x, y])))
+            active = [v for k, v in enumerate(active) if k not in (x, y)] + [(a, one[1] + two[1])]
         return pd.DataFrame(rows, columns=["grp", "step", "a", "b", "height"])
 
     return similarities.groupBy("grp").applyInPandas(run, "grp long, step int, a long, b long, height double")

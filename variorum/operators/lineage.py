@@ -14,17 +14,20 @@ ERRORS = [(10, 40), (5, 25), (2, 15), (0, 5)]
 SAME_SYSTEM, ANCESTOR, LEAST, KNOWN, SURE = 20, 10, 30, 90, 80
 
 
-def longest_key(names: DataFrame, keys: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Name and the longest key (ties: the least) that it contains; names without one are left out. Keys are a small table of words; more than `rows` are refused."""
-    if keys.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} keys")
-    found = names.join(F.broadcast(keys), F.contains("name", F.col("key")))
+def few(words: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A table of words, broadcast if it is as small as such tables are (counted); Spark chooses otherwise."""
+    return F.broadcast(words) if words.limit(rows + 1).count() <= rows else words
+
+
+def longest_key(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """Name and the longest key (ties: the least) that it contains; names without one are left out."""
+    found = names.join(few(keys), F.contains("name", F.col("key")))
     return found.groupBy("name").agg(F.min_by("key", F.struct(-F.length("key"), F.col("key"))).alias("key"))
 
 
 def years(editions: DataFrame, located: DataFrame, keywords: DataFrame) -> DataFrame:
     """Name and year: that of its place, else of the first keyword (ord) that it contains, else NO_YEAR."""
-    first = editions.select("name").distinct().join(F.broadcast(keywords), F.contains("name", F.col("keyword"))).groupBy("name").agg(F.min_by("year", "ord").alias("by_word"))
+    first = editions.select("name").distinct().join(few(keywords), F.contains("name", F.col("keyword"))).groupBy("name").agg(F.min_by("year", "ord").alias("by_word"))
     both = editions.join(located.select("name", F.col("year").alias("by_place")), "name", "left").join(first, "name", "left")
     return both.select("name", F.coalesce("by_place", "by_word", F.lit(NO_YEAR)).cast("long").alias("year"))
 
@@ -124,6 +127,13 @@ def new_pairs(cells: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
 
 
+def places(text: Column, passage: Column) -> Column:
+    """Where a passage stands in a text (from 0), places that overlap an earlier one left out: the texts between them add up. Grows with the square of their number, which is small."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), F.replace(passage, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, x: n + F.length(x)) + (i - 1) * F.length(passage)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), before)).otherwise(F.array().cast("array<int>"))
+
+
 def matches_at(matches: DataFrame, positions: DataFrame, width: int) -> DataFrame:
     """Matches (doc_id, item_id, pos, size) whose span, with `width` more behind it, holds the position p of their document."""
     return matches.join(positions, "doc_id").where(F.col("p").between(F.col("pos"), F.col("pos") + F.col("size") + width))

@@ -11,11 +11,12 @@ from ..functions.text import mark_difference
 
 def mark_runs(rows: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """key (and more columns), k, before (characters that are no marks and no white space before the run), marks, and attached: whether it follows such a character directly, or stands before the first one. Rows of one key stay together: what a caller groups by key costs no further shuffle."""
-    piece = F.regexp_extract_all(text, F.lit(f"{J_NOT_MARK}*{J_MARK}+"), F.lit(0))
+    # the end of the text closes the last piece, else a tail without marks would be searched from each of its characters
+    piece = F.regexp_extract_all(text, F.lit(rf"{J_NOT_MARK}*+(?:{J_MARK}++|\z)"), F.lit(0))
     cut = rows.select(key, *more, F.posexplode(piece).alias("k", "piece"))
     marks = F.regexp_extract("piece", f"{J_MARK}+$", 0)
     run = F.substring("piece", F.lit(1), F.length("piece") - F.length(marks))
-    own = cut.select(key, *more, "k", marks.alias("marks"), (F.length(run) - F.regexp_count(run, F.lit(J_SPACE))).alias("n"), F.contains(F.lit(SPACES), F.right(run, F.lit(1))).alias("spaced"))
+    own = cut.where(F.right("piece", F.lit(1)).rlike(J_MARK)).select(key, *more, "k", marks.alias("marks"), (F.length(run) - F.regexp_count(run, F.lit(J_SPACE))).alias("n"), F.contains(F.lit(SPACES), F.right(run, F.lit(1))).alias("spaced"))
     w = Window.partitionBy(key, *more).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     told = own.repartition(key).withColumn("before", F.sum("n").over(w))
     return told.select(key, *more, "k", "before", "marks", (~F.col("spaced") | (F.col("before") == 0)).alias("attached"))

@@ -24,7 +24,7 @@ WITNESS_B = ("éaoe", "eoae")
 def readings(documents: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), base, a, b of every position where a witness departs from the base. A text is cut behind each such character; lengths add up to positions."""
     changed = "".join(dict.fromkeys(x for w in (WITNESS_A, WITNESS_B) for x, y in zip(*w, strict=True) if x != y))
-    cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{changed}]*[{changed}]"), F.lit(0))).alias("k", "piece"))
+    cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^{changed}]*+(?:[{changed}]|\z)"), F.lit(0))).alias("k", "piece"))
     w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     hit = cut.select("doc_id", "k", F.length("piece").alias("n"), F.right("piece", F.lit(1)).alias("base")).withColumn("pos", F.sum("n").over(w) - 1)
     return hit.select("doc_id", F.col("pos").cast("long").alias("pos"), "base", F.translate("base", *WITNESS_A).alias("a"), F.translate("base", *WITNESS_B).alias("b")).where("a <> base OR b <> base")

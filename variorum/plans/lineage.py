@@ -61,14 +61,16 @@ def k03_added_witnesses(spark, sf_dir):
     return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "dot")
 
 
-@registry.add(f"""SELECT d.doc_id, b.item_id, CAST(d.doc_id % 1000 AS BIGINT) AS p FROM documents d JOIN benchmark b ON contains(d.text, b.text)
-WHERE d.doc_id % 1000 BETWEEN instr(d.text, b.text) - 1 AND instr(d.text, b.text) - 1 + length(b.text) + 50""")
+@registry.add("""WITH h AS (SELECT d.doc_id, b.item_id, string_split(d.text, b.text) AS s, length(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+o AS (SELECT doc_id, item_id, n, unnest(list_transform(range(1, len(s)), lambda i: CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * n)) AS pos FROM h)
+SELECT doc_id, item_id, CAST(pos AS BIGINT) AS pos, CAST(doc_id % 1000 AS BIGINT) AS p FROM o WHERE doc_id % 1000 BETWEEN pos AND pos + n + 50""")
 def e21_matches_at(spark, sf_dir):
-    """The passages that stand at, or at most 50 characters before, a position of each document."""
+    """The passages that stand at, or at most 50 characters before, a position of each document: each of their places."""
     docs, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hit = passage_hits(docs, b).select("doc_id", "item_id").join(b.toDF("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    spans = hit.select("doc_id", "item_id", (F.instr(F.col("text"), F.col("passage")) - 1).alias("pos"), F.length("passage").alias("size"))
-    return L.matches_at(spans, docs.select("doc_id", (F.col("doc_id") % 1000).alias("p")), 50).select("doc_id", "item_id", "p")
+    spans = hit.select("doc_id", "item_id", F.explode(L.places(F.col("text"), F.col("passage"))).alias("pos"), F.length("passage").alias("size"))
+    found = L.matches_at(spans, docs.select("doc_id", (F.col("doc_id") % 1000).alias("p")), 50)
+    return found.select("doc_id", "item_id", F.col("pos").cast("long").alias("pos"), "p")
 
 
 @registry.add(f"SELECT item_id, doc_id, hits, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM ({_HITS})) WHERE rank <= 5")

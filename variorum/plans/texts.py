@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.marks import BRACKETS, INNER, J_MARK, J_MARK_OR_SPACE, LAYOUT, MARK, MARKS, NOT_MARK, QUOTES, SENTENCE_END, SPACE, in_class
+from ..functions.marks import BRACKETS, INNER, LAYOUT, MARK, MARKS, NOT_MARK, QUOTES, SENTENCE_END, SPACE, in_class
 from ..operators.marks import mark_map, mark_runs
 from ..query import Registry, table
 
@@ -112,7 +112,7 @@ def c19_unknown_marks(spark, sf_dir):
   SELECT doc_id, CAST(len(regexp_extract_all(text, '{MARK}')) AS BIGINT) AS n_marks, CAST(length(regexp_replace({_SQL_SPACELESS}, '{MARK}', '', 'g')) AS BIGINT) AS n_clean FROM documents)""")
 def g04_style_report(spark, sf_dir):
     """Marks, clean characters and marks per 10,000 clean characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(J_MARK)).cast("long").alias("n_marks"), (F.length("text") - F.regexp_count("text", F.lit(J_MARK_OR_SPACE))).cast("long").alias("n_clean"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") - F.length(F.translate("text", MARKS, ""))).cast("long").alias("n_marks"), F.length(T.strip_marks(F.col("text"))).cast("long").alias("n_clean"))
     return d.withColumn("density_bp", F.when(F.col("n_clean") > 0, F.expr("10000 * n_marks div n_clean")).otherwise(0).cast("long"))
 
 

@@ -11,7 +11,6 @@ from ..operators import align
 from ..operators import witnesses as W
 from ..query import Registry, table
 from . import editions
-from .stemma import similarity
 
 registry = Registry()
 
@@ -84,5 +83,9 @@ def f17_mark_transfer(spark, sf_dir):
 
 @registry.add()
 def h01_clustering(spark, sf_dir):
-    s = similarity(table(spark, sf_dir, "embeddings"))
-    return align.cluster(s.select(F.lit(0).cast("long").alias("grp"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("sim") / 1e6).alias("sim")))
+    """The tree of the editions of every document, by their likeness on the common axis; the base is the root."""
+    found = editions.rows(spark, sf_dir)
+    s = editions.similarities(spark, sf_dir, found, W.meetings(found, "doc_id", "witness"))
+    order = F.create_map(*(F.lit(x) for k, n in enumerate([editions.BASE, *editions.NAMES]) for x in (n, k)))
+    i, j = order[F.col("a")].cast("long"), order[F.col("b")].cast("long")
+    return align.cluster(s.select(F.col("doc_id").alias("grp"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "sim"), base=0).withColumnRenamed("grp", "doc_id")
