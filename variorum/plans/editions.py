@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.marks import LAYOUT
 from ..operators import lineage as L
 from ..operators import witnesses as W
+from ..operators.graph import cut
 from ..query import Registry, table
 
 registry = Registry()
@@ -35,15 +36,19 @@ VARIANTS = {"é": "e", "ü": "u", "v": "u", "j": "i"}
 
 def built(documents: DataFrame) -> DataFrame:
     """doc_id, witness, base, segments of all witnesses of all documents."""
+    every = "".join(dict.fromkeys(c for r in RULES.values() for c in r))
     base = documents.select("doc_id", T.normalize_collation(F.coalesce("text", F.lit(""))).alias("base"))
+    # the characters that any witness changes, found once for all of them
+    hit = F.filter(F.transform(F.split("base", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: F.contains(F.lit(every), x["c"]) & (x["c"] != ""))
+    hits = base.withColumn("hits", hit)
 
     def segments(rule: dict[str, str]):
         to = F.create_map(*(F.lit(x) for pair in rule.items() for x in pair))
-        one = lambda c, i: F.struct(F.lit("replace").alias("type"), c.alias("text1"), to[c].alias("text2"), i.alias("i1"))
-        return F.filter(F.transform(F.split("base", ""), one), lambda s: s["text1"].isin(*rule))
+        own = F.filter("hits", lambda x: F.contains(F.lit("".join(rule)), x["c"]))
+        return F.transform(own, lambda x: F.struct(F.lit("replace").alias("type"), x["c"].alias("text1"), to[x["c"]].alias("text2"), x["i"].alias("i1")))
 
     each = F.array(*(F.struct(F.lit(w).alias("witness"), segments(r).alias("segments")) for w, r in RULES.items()))
-    return base.select("doc_id", "base", F.inline(each))
+    return hits.select("doc_id", "base", F.inline(each))
 
 
 def dictionary(spark) -> DataFrame:
@@ -111,7 +116,7 @@ def similarities(spark, sf_dir: str, found: DataFrame, met: DataFrame) -> DataFr
 @registry.add(_AXIS + " SELECT doc_id, a, b, CAST(m AS BIGINT) AS m, CAST(t AS BIGINT) AS t, round(CASE WHEN t = 0 THEN 1.0 ELSE 2.0 * m / t END, 4) AS sim FROM p")
 def f12_axis_similarity(spark, sf_dir):
     """Similarity of all editions of every document, on the common axis."""
-    found = rows(spark, sf_dir)
+    found = cut(rows(spark, sf_dir))
     s = similarities(spark, sf_dir, found, W.meetings(found, "doc_id", "witness"))
     return s.select("doc_id", "a", "b", F.col("m").cast("long").alias("m"), F.col("t").cast("long").alias("t"), F.round("sim", 4).alias("sim"))
 
@@ -132,8 +137,8 @@ SYSTEMS = [("开宝", "中系"), ("高丽", "中系"), ("赵城", "中系"), ("
 
 def lineage(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the editions, from evidence of all documents: similarity of their texts laid end to end, and shared errors."""
-    found = rows(spark, sf_dir)
-    met = W.meetings(found, "doc_id", "witness")
+    found = cut(rows(spark, sf_dir))
+    met = cut(W.meetings(found, "doc_id", "witness"))
     sim = similarities(spark, sf_dir, found, met).groupBy("a", "b").agg((2 * F.sum("m") / F.sum("t")).alias("sim"))
     errors = W.shared_readings(met).select("a", "b", "errors")
     make = lambda values, schema: spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "ord int, " + schema)
