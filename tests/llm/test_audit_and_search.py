@@ -16,7 +16,7 @@ from variorum.llm import top_inner_products as S
 from variorum.llm.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_top_inner_products"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf_dir, oracle, name):
     got = QUERIES[name](spark, sf_dir).toPandas()
     want = oracle.sql(ORACLE_SQL[name]).df()
