@@ -34,11 +34,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; those without a doc_id are told apart by their texts."""
-    keyed = docs.withColumn("_key", common.row_key())
-    found = decontamination.find_leaks(keyed, common.table(spark, sf_dir, "benchmark"), "_key")
-    bad = common.small(common.written(found.select("_key.*").distinct(), "leaks"), 1_000_000)
-    mine = [keyed["_key"]["stand_in"] == bad["stand_in"], keyed["_key"]["key"] == bad["key"]]
+    """Documents that hold no benchmark item; those without a doc_id are told apart by their texts. Texts of any length are read whole, and extra columns may have any names."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, common.row_key())
+    found = decontamination.find_leaks(keyed, common.table(spark, sf_dir, "benchmark"), name)
+    bad = common.small(common.written(found.select(f"{name}.*").distinct(), "leaks"), 1_000_000)
+    mine = [keyed[name]["stand_in"] == bad["stand_in"], keyed[name]["key"] == bad["key"]]
     return keyed.join(bad, mine, "left_anti").select(docs.columns)
 
 
