@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.marks import J_MARK, J_NOT_MARK, J_SPACE, SPACES
+from ..functions.marks import J_MARK, J_NOT_MARK, MARKS, SPACES
 from ..functions.text import mark_difference
 
 
@@ -14,9 +14,9 @@ def mark_runs(rows: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     # the end of the text closes the last piece, else a tail without marks would be searched from each of its characters
     piece = F.regexp_extract_all(text, F.lit(rf"{J_NOT_MARK}*+(?:{J_MARK}++|\z)"), F.lit(0))
     cut = rows.select(key, *more, F.posexplode(piece).alias("k", "piece"))
-    marks = F.regexp_extract("piece", f"{J_MARK}+$", 0)
-    run = F.substring("piece", F.lit(1), F.length("piece") - F.length(marks))
-    own = cut.where(F.right("piece", F.lit(1)).rlike(J_MARK)).select(key, *more, "k", marks.alias("marks"), (F.length(run) - F.regexp_count(run, F.lit(J_SPACE))).alias("n"), F.contains(F.lit(SPACES), F.right(run, F.lit(1))).alias("spaced"))
+    run = F.rtrim(F.col("piece"), F.lit(MARKS))
+    marks = F.substring("piece", F.length(run) + 1, F.length("piece"))
+    own = cut.select(key, *more, "k", marks.alias("marks"), F.length(F.translate("piece", MARKS + SPACES, "")).alias("n"), F.contains(F.lit(SPACES), F.right(run, F.lit(1))).alias("spaced")).where("marks <> ''")
     w = Window.partitionBy(key, *more).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     told = own.repartition(key).withColumn("before", F.sum("n").over(w))
     return told.select(key, *more, "k", "before", "marks", (~F.col("spaced") | (F.col("before") == 0)).alias("attached"))
