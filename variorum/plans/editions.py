@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.marks import LAYOUT
 from ..operators import lineage as L
+from ..operators import notes
 from ..operators import witnesses as W
 from ..operators.graph import cut
 from ..query import Registry, table
@@ -198,3 +199,46 @@ def h08_edge_edits(spark, sf_dir):
     """One edge deleted, and one added by hand, which replaces another of the same ends."""
     e = L.reduce_transitive(lineage(spark, sf_dir)[1]).select("source", "target", "confidence")
     return L.adjusted(e, spark.createDataFrame([("房山石经", "大正藏", 99)], "source string, target string, confidence int"), spark.createDataFrame([("思溪藏", "嘉兴藏")], "source string, target string"))
+
+
+#: Names of witnesses as a catalogue gives them, for the notes: one of each kind of short name.
+TITLES = ["【中系●開寶藏版】", "【中系●高麗再雕增上寺版】", "赵城金藏", "思溪藏", "【南系●磧砂藏川佛協版】", "嘉兴藏", "房山石经本"]
+_TITLE = dict(zip(NAMES, TITLES, strict=True))
+#: Short names that these must come to.
+_SHORT = dict(zip(NAMES, ["開寶藏", "丽增", "金", "思溪藏", "碛砂", "嘉", "房"], strict=True))
+_CLASS = {"variant": "variant", "addition": "yanwen", "omission": "tuowen"}
+
+
+def edited(spark, sf_dir: str) -> DataFrame:
+    """An editor's decisions on every departure of a witness; which edition is taken and what speaks for it go by place."""
+    r = rows(spark, sf_dir)
+    title = F.create_map(*(F.lit(x) for pair in _TITLE.items() for x in pair))[F.col("witness")]
+    by = F.pmod("pos", F.lit(7))
+    each = lambda n, *words: F.when(by == n, F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>"))
+    of = F.create_map(*(F.lit(x) for pair in _CLASS.items() for x in pair))
+    base = by == 6
+    return r.select(
+        "doc_id", "witness", *W.PLACE, F.lit(1).alias("idx"), F.col("base").alias("old"), F.when(base, F.col("base")).otherwise(F.col("reading")).alias("new"), of[F.col("category")].alias("given"),
+        F.when(base, BASE).otherwise(title).alias("selected"), each(0, "majority", "authoritative_嘉兴藏").alias("witnesses"), each(1, "context_consistent", "style_conform").alias("within"),
+        each(2, "commentary_match", "other_sutra_match").alias("other"), each(3, "form_similar_error", "semantic_smooth").alias("reason"), F.when(F.pmod("pos", F.lit(14)) == 2, F.array(F.lit("疏"))).alias("commentaries"),
+        F.when(by == 4, "remark").alias("remark"), F.when(by == 5, F.lit(True)).alias("uncertain"), F.lit(BASE).alias("base"),
+    )
+
+
+_NOTED = _READINGS + f""", n AS (SELECT doc_id, witness, pos, inserted, ord, category, base AS o, pos % 7 AS k, CASE WHEN pos % 7 = 6 THEN base ELSE reading END AS r,
+    CASE witness {" ".join(f"WHEN '{w}' THEN '{s}'" for w, s in _SHORT.items())} END AS s FROM x),
+a AS (SELECT *, CASE WHEN k = 6 OR category = 'variant' THEN '不改' WHEN category = 'addition' THEN '删' WHEN category = 'omission' THEN '删' ELSE '改' END AS act,
+    CASE WHEN k = 6 THEN '正' WHEN k = 0 AND witness <> '嘉兴藏' THEN s || '、嘉' ELSE s END AS v FROM n),
+w AS (SELECT *, CASE k WHEN 0 THEN '按：多数版本作「' || r || '」，「嘉兴藏」为权威版本。' WHEN 1 THEN '按：同经前后文一致，符合本经体例。'
+    WHEN 2 THEN '按：' || CASE WHEN pos % 14 = 2 THEN '「疏」引作「' ELSE '注疏引作「' END || r || '」，他经引用同。' WHEN 3 THEN '按：形近「' || o || '」「' || r || '」而讹，义理更通顺。' WHEN 4 THEN '按：remark。'
+    ELSE CASE category WHEN 'variant' THEN '按：「' || o || '」「' || r || '」为异体字，义同。' WHEN 'addition' THEN '按：「' || r || '」为衍文。'
+      WHEN 'omission' THEN CASE WHEN r = '∅' THEN '按：此处有脱文。' ELSE '按：文意不完，当补「' || r || '」字。' END ELSE '' END END AS why FROM a),
+t AS (SELECT doc_id, witness, pos, inserted, ord, act, '【1】第' || (pos + 1) || '字' || CASE WHEN act = '改' THEN '“' || o || '”，' || v || '作“' || r || '”。'
+    WHEN act = '删' AND o = '∅' THEN '删“' || r || '”。' WHEN act = '删' THEN '“' || o || '”，' || v || '无。'
+    WHEN category = 'variant' THEN '“' || o || '”，' || v || '作“' || r || '”，异体不改。' ELSE '“' || o || '”，不改。' END || why || CASE WHEN k = 5 THEN '（存疑）' ELSE '' END AS note FROM w)"""
+
+
+@registry.add(_NOTED + " SELECT doc_id, witness, pos, inserted, ord, act AS action, note FROM t")
+def c32_note_templates(spark, sf_dir):
+    """A note in words for each decision of an editor."""
+    return notes.worded(edited(spark, sf_dir)).select("doc_id", "witness", *W.PLACE, "action", "note")
