@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import numbered
 from ..query import Registry, table
+from ..streaming import reviews
 
 registry = Registry()
 R = registry.relational
@@ -91,3 +92,16 @@ def mastery(reviews: DataFrame) -> DataFrame:
   lambda acc, x: greatest(0, least(5, acc + x))) AS BIGINT) AS mastery FROM events GROUP BY user_id""")
 def m02_mastery_fold(spark, sf_dir):
     return mastery(table(spark, sf_dir, "events"))
+
+
+_ANSWERS = "event_type IN ('click', 'purchase', 'view')"
+
+
+@registry.add(f"""WITH s AS (SELECT user_id, ts, event_id, {_ANSWERS} AS right_, CASE WHEN NOT ({_ANSWERS}) OR event_id % 5 + 1 <= 2 THEN -1 WHEN event_id % 5 + 1 >= 4 THEN 1 ELSE 0 END AS step FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT user_id AS card, CAST(list_reduce(list_prepend(0, list(step ORDER BY ts, event_id)), lambda acc, x: greatest(0, least(5, acc + x))) AS BIGINT) AS mastery,
+  count(*) AS times_reviewed, count(*) FILTER (WHERE right_) AS times_correct FROM s GROUP BY user_id""")
+def m02_review_progress(spark, sf_dir):
+    """Progress by the right answers and how hard they were; put together in parts, so no user's reviews meet in one task."""
+    e = table(spark, sf_dir, "events")
+    r = e.select(F.col("user_id").alias("card"), "ts", F.col("event_id").alias("id"), F.expr(_ANSWERS).alias("correct"), (F.col("event_id") % 5 + 1).alias("difficulty"))
+    return reviews.progress(r).select("card", "mastery", "times_reviewed", "times_correct")
