@@ -11,18 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHARSETS = ("utf-8", "gbk", "gb2312", "big5")
+from .charsets import detect
+
 MOST_BYTES, MOST_CHARS = 10 << 20, 100_000
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def _decode(data: bytes) -> str | None:
-    for charset in CHARSETS:
-        try:
-            return data.decode(charset).strip()
-        except UnicodeDecodeError:
-            continue
-    return None
+    found = detect(data)
+    return found and found[1].strip()
 
 
 def _docx(data: bytes) -> str | None:
