@@ -38,3 +38,13 @@ def test_plain_cases():
     assert C.detect("爾時世尊，告諸比丘。".encode("gbk")) == ("gb18030", "爾時世尊，告諸比丘。")
     assert C.detect(b"\xff\xff\xff") is None
     assert files._decode("學而時習之，不亦說乎？ ".encode("big5")) == "學而時習之，不亦說乎？" and files._decode(b"\xff\xff\xff") is None
+
+
+def test_limits_of_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("學而時習之。".encode("big5"))
+    (tmp_path / "b.txt").write_text("x" * 50, encoding="utf-8")
+    told = lambda **limits: {r.name: (r.text, r.error) for r in files.witnesses(spark, str(tmp_path), **limits).collect()}
+    both = {"a": ("學而時習之。", None), "b": ("x" * 50, None)}
+    assert told() == told(most_bytes=None, most_chars=None) == both
+    assert told(most_bytes=20) == {**both, "b": (None, "too large")}
+    assert told(most_chars=20) == {**both, "b": (None, "too long")}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .charsets import detect
 
+#: Limits of a file unless others are given.
 MOST_BYTES, MOST_CHARS = 10 << 20, 100_000
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -54,12 +55,12 @@ def _tei(data: bytes) -> str | None:
 _READERS = {"txt": _decode, "md": _decode, "docx": _docx, "xml": _tei}
 
 
-def witnesses(spark: SparkSession, path: str) -> DataFrame:
-    """name (file stem), kind, text and error of txt, md, docx and TEI files below path. Files beyond the limits, of unknown kinds or that cannot be read have a null text and an error."""
+def witnesses(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """name (file stem), kind, text and error of txt, md, docx and TEI files below path. Files beyond the limits (None: no limit), of unknown kinds or that cannot be read have a null text and an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select(name.alias("name"), kind.alias("kind"), F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content"))
+    rows = files.select(name.alias("name"), kind.alias("kind"), (F.col("content") if most_bytes is None else F.when(F.col("length") <= most_bytes, F.col("content"))).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +75,7 @@ def witnesses(spark: SparkSession, path: str) -> DataFrame:
                     text = _READERS[kind](data)
                     if text is None:
                         error = "unreadable"
-                    elif len(text) > MOST_CHARS:
+                    elif most_chars is not None and len(text) > most_chars:
                         text, error = None, "too long"
                 texts.append(text)
                 errors.append(error)
