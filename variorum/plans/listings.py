@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.marks import MARK
 from ..operators import lineage as L
+from ..operators import quizzes
 from ..operators import witnesses as W
 from ..query import Registry, table
 from . import editions
@@ -88,3 +89,18 @@ def n04_custom_systems(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
     found = names.join(L.few(words), F.contains("name", F.col("keyword"))).groupBy("name").agg(F.min_by("system", "ord").alias("system"))
     return names.join(found, "name", "left").select("name", F.coalesce("system", F.lit(L.UNKNOWN)).alias("system"))
+
+
+@registry.add("""WITH c AS (SELECT 'deck ' || (item_id % 4) AS deck, item_id AS card, md5(text) AS question, text AS back FROM benchmark),
+q AS (SELECT *, row_number() OVER (PARTITION BY deck ORDER BY md5('quizq:' || card), card) AS number FROM c), w AS (SELECT deck, card, back, row_number() OVER (PARTITION BY deck ORDER BY md5('quizw:' || card), card) - 1 AS place FROM c),
+p AS (SELECT deck, card, back, place, count(*) OVER (PARTITION BY deck) AS size FROM w WHERE place < 40),
+o AS (SELECT q.deck, q.number, q.card, q.question, q.back AS answer, p.card AS other, p.back, k, row_number() OVER (PARTITION BY q.deck, q.card ORDER BY k) AS nth
+  FROM q JOIN (SELECT DISTINCT deck, size FROM p WHERE size > 1) USING (deck) CROSS JOIN range(4) r(k) JOIN p ON p.deck = q.deck AND p.place = ((q.number - 1) * 4 + k) % p.size WHERE q.number <= 10 AND k < p.size AND p.card <> q.card),
+e AS (SELECT deck, number, card, question, answer, other, back FROM o WHERE nth <= 3 UNION ALL SELECT DISTINCT deck, number, card, question, answer, card, answer FROM o),
+l AS (SELECT deck, number, card, question, answer, list(back ORDER BY md5('quizo:' || card || ':' || other), other) AS options FROM e GROUP BY ALL)
+SELECT deck, CAST(number AS INTEGER) AS number, card, question, md5(array_to_string(options, '|')) AS digest, CAST(list_position(options, answer) - 1 AS INTEGER) AS correct_index FROM l""")
+def j06_quiz(spark, sf_dir):
+    """Ten questions of each of four decks of passages, with three wrong answers each."""
+    b = table(spark, sf_dir, "benchmark")
+    cards = b.select(F.concat(F.lit("deck "), (F.col("item_id") % 4).cast("string")).alias("deck"), F.col("item_id").alias("card"), F.md5("text").alias("front"), F.col("text").alias("back"))
+    return quizzes.quiz(cards, 10, "quiz").select("deck", "number", "card", "question", F.md5(F.array_join("options", "|")).alias("digest"), "correct_index")
