@@ -36,28 +36,31 @@ VARIANTS = {"é": "e", "ü": "u", "v": "u", "j": "i"}
 
 
 def built(documents: DataFrame) -> DataFrame:
-    """doc_id, witness, base, segments of all witnesses of all documents."""
-    every = "".join(dict.fromkeys(c for r in RULES.values() for c in r))
-    base = documents.select("doc_id", T.normalize_collation(F.coalesce("text", F.lit(""))).alias("base"))
-    # the characters that any witness changes, found once for all of them
-    hit = F.filter(F.transform(F.split("base", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: F.contains(F.lit(every), x["c"]) & (x["c"] != ""))
-    hits = base.withColumn("hits", hit)
-
-    def segments(rule: dict[str, str]):
-        to = F.create_map(*(F.lit(x) for pair in rule.items() for x in pair))
-        own = F.filter("hits", lambda x: F.contains(F.lit("".join(rule)), x["c"]))
-        return F.transform(own, lambda x: F.struct(F.lit("replace").alias("type"), x["c"].alias("text1"), to[x["c"]].alias("text2"), x["i"].alias("i1")))
-
-    each = F.array(*(F.struct(F.lit(w).alias("witness"), segments(r).alias("segments")) for w, r in RULES.items()))
-    return hits.select("doc_id", "base", F.inline(each))
+    """All witnesses of all documents, a row a segment: doc_id, base, _chars (the base's characters), witness, type, text1, text2, i1."""
+    to: dict[str, list] = {}
+    for witness, rule in RULES.items():
+        for c, new in rule.items():
+            to.setdefault(c, []).append(F.struct(F.lit(witness).alias("witness"), F.lit(new).alias("text2")))
+    of = F.create_map(*(x for c, each in to.items() for x in (F.lit(c), F.array(*each))))
+    base = documents.select("doc_id", T.normalize_collation(F.coalesce("text", F.lit(""))).alias("base")).withColumn("_chars", F.split("base", ""))
+    # a row a character that any witness changes, then one for each witness that does
+    hit = base.select("doc_id", "base", "_chars", F.posexplode("_chars").alias("i1", "text1")).where(F.contains(F.lit("".join(to)), F.col("text1")) & (F.col("text1") != ""))
+    each = hit.select("doc_id", "base", "_chars", "i1", "text1", F.inline(F.element_at(of, F.col("text1"))))
+    return each.withColumn("type", F.lit("replace"))
 
 
 def dictionary(spark) -> DataFrame:
     return spark.createDataFrame(sorted({*VARIANTS.items(), *((v, v) for v in VARIANTS.values())}), "char string, std string")
 
 
-def rows(spark, sf_dir: str, context: bool = False) -> DataFrame:
-    return W.readings(built(table(spark, sf_dir, "documents")), "doc_id", "witness", "segments", dictionary(spark), "base" if context else None)
+def rows(spark, sf_dir: str, context: bool = False, gathered: bool = False) -> DataFrame:
+    """The readings of all witnesses. gathered: a document's rows stay in one partition, so whatever is grouped by document and more needs no shuffle of readings, only this one of texts."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return W.departures(built(documents.repartition("doc_id") if gathered else documents), "doc_id", "witness", dictionary(spark), "base" if context else None)
+
+
+def met(spark, sf_dir: str) -> DataFrame:
+    return W.meetings(rows(spark, sf_dir, gathered=True), "doc_id", "witness")
 
 
 _SQL_RULES = "(VALUES " + ", ".join(f"('{w}', '{c}', '{t}')" for w, r in RULES.items() for c, t in r.items()) + ") r(witness, ch, new)"
@@ -85,7 +88,7 @@ def f22_variant_extraction(spark, sf_dir):
 )
 def f21_witness_table(spark, sf_dir):
     """The variant table of seven witnesses, with omissions and additions."""
-    return W.variant_table(rows(spark, sf_dir, context=True), "doc_id", "witness", NAMES)
+    return W.variant_table(rows(spark, sf_dir, context=True, gathered=True), "doc_id", "witness", NAMES)
 
 
 _MET = _READINGS + """, m AS (SELECT p.doc_id, p.witness AS a, q.witness AS b, p.reading = q.reading AS same, p.category AS category, q.category AS other, p.inserted AS added
@@ -97,7 +100,7 @@ _SHARED = _MET + """, s AS (SELECT a, b, count(*) FILTER (WHERE same AND categor
 @registry.add(_SHARED + " SELECT a, b, errors, variants, gaps, errors + variants + gaps AS combined FROM s WHERE errors + variants + gaps > 0")
 def e07_shared_matrix(spark, sf_dir):
     """Errors, variants, omissions and additions that two witnesses share, over all documents."""
-    return W.shared_readings(W.meetings(rows(spark, sf_dir), "doc_id", "witness"))
+    return W.shared_readings(met(spark, sf_dir))
 
 
 _NAMES = "(VALUES " + ", ".join(f"('{w}')" for w in NAMES) + ") n(w)"
@@ -109,16 +112,17 @@ p AS (SELECT doc_id, '{BASE}' AS a, w AS b, n - departed AS m, 2 * n + added - o
   FROM f i JOIN f j ON i.doc_id = j.doc_id AND i.w < j.w LEFT JOIN g ON g.doc_id = i.doc_id AND g.a = i.w AND g.b = j.w)"""
 
 
-def similarities(spark, sf_dir: str, found: DataFrame, met: DataFrame) -> DataFrame:
+def similarities(spark, sf_dir: str) -> DataFrame:
+    """Likeness of all editions of each document. Readings and meetings go on as their numbers by document, witness and class."""
+    own = cut(W.tallied(rows(spark, sf_dir, gathered=True), "doc_id", "witness", "category"))
     lengths = table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize_collation(F.coalesce("text", F.lit("")))).alias("n"))
-    return W.axis_similarity(lengths, found, met, "doc_id", "witness", NAMES, BASE)
+    return W.axis_similarity(lengths, own, W.tallied(met(spark, sf_dir), "doc_id", *W.MET), "doc_id", "witness", NAMES, BASE)
 
 
 @registry.add(_AXIS + " SELECT doc_id, a, b, CAST(m AS BIGINT) AS m, CAST(t AS BIGINT) AS t, round(CASE WHEN t = 0 THEN 1.0 ELSE 2.0 * m / t END, 4) AS sim FROM p")
 def f12_axis_similarity(spark, sf_dir):
     """Similarity of all editions of every document, on the common axis."""
-    found = cut(rows(spark, sf_dir))
-    s = similarities(spark, sf_dir, found, W.meetings(found, "doc_id", "witness"))
+    s = similarities(spark, sf_dir)
     return s.select("doc_id", "a", "b", F.col("m").cast("long").alias("m"), F.col("t").cast("long").alias("t"), F.round("sim", 4).alias("sim"))
 
 
@@ -138,10 +142,13 @@ SYSTEMS = [("开宝", "中系"), ("高丽", "中系"), ("赵城", "中系"), ("
 
 def lineage(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the editions, from evidence of all documents: similarity of their texts laid end to end, and shared errors."""
-    found = cut(rows(spark, sf_dir))
-    met = cut(W.meetings(found, "doc_id", "witness"))
-    sim = similarities(spark, sf_dir, found, met).groupBy("a", "b").agg((2 * F.sum("m") / F.sum("t")).alias("sim"))
-    errors = W.shared_readings(met).select("a", "b", "errors")
+    # all documents as one text: what is shared and what is long adds up, so only numbers by witness and class are kept
+    whole = lambda df: df.withColumn("project", F.lit(1))
+    own = cut(whole(W.tallied(rows(spark, sf_dir), "witness", "category")))
+    shared = cut(whole(W.tallied(met(spark, sf_dir), *W.MET)))
+    lengths = whole(table(spark, sf_dir, "documents")).groupBy("project").agg(F.sum(F.length(T.normalize_collation(F.coalesce("text", F.lit(""))))).alias("n"))
+    sim = W.axis_similarity(lengths, own, shared, "project", "witness", NAMES, BASE).select("a", "b", F.when(F.col("t") > 0, F.col("sim")).alias("sim"))
+    errors = W.shared_readings(shared).select("a", "b", "errors")
     make = lambda values, schema: spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "ord int, " + schema)
     names = make([(n,) for n in [BASE, *NAMES]], "name string")
     ancestors = make(ANCESTORS, "keyword string, year int")

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..functions.marks import MARK
 from ..operators import lineage as L
 from ..operators import quizzes
-from ..operators import witnesses as W
 from ..query import Registry, table
 from . import editions
 from .citations import _HITS, passage_hits
@@ -21,8 +20,7 @@ registry = Registry()
 @registry.add(_READINGS + " SELECT doc_id, witness FROM x GROUP BY doc_id, witness HAVING bool_or(category = 'omission')")
 def d07_category_filter(spark, sf_dir):
     """Witnesses of documents that omit anything: kept when any of their departures is of the class."""
-    d = editions.built(table(spark, sf_dir, "documents")).withColumn("found", W.departures(F.col("segments")))
-    return d.where(F.exists("found", lambda x: x["reading"] == W.NONE)).select("doc_id", "witness")
+    return editions.rows(spark, sf_dir).where("category = 'omission'").select("doc_id", "witness").distinct()
 
 
 _BY_CLASS = ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}s" for c in ("variant", "error", "omission", "addition"))
@@ -32,14 +30,13 @@ _BY_CLASS = ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}s" for c
 def g02_difference_statistics(spark, sf_dir):
     """Departures of each witness of each document by class."""
     n = lambda c: F.count_if(F.col("category") == c).alias(f"{c}s")
-    return editions.rows(spark, sf_dir).groupBy("doc_id", "witness").agg(*map(n, ("variant", "error", "omission", "addition")), F.countDistinct("pos").alias("places"))
+    return editions.rows(spark, sf_dir, gathered=True).groupBy("doc_id", "witness").agg(*map(n, ("variant", "error", "omission", "addition")), F.countDistinct("pos").alias("places"))
 
 
 @registry.add(_READINGS + " SELECT doc_id, count(*) AS total FROM x GROUP BY doc_id")
 def g22_difference_total(spark, sf_dir):
     """All departures of all witnesses of a document."""
-    d = editions.built(table(spark, sf_dir, "documents")).select("doc_id", F.size(W.departures(F.col("segments"))).cast("long").alias("n"))
-    return d.groupBy("doc_id").agg(F.sum("n").alias("total")).where("total > 0")
+    return editions.rows(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
 
 
 @registry.add(f"""SELECT doc_id, pos, kind, substr(c, CAST(greatest(pos - 30, 0) AS BIGINT) + 1, CAST(pos + 30 - greatest(pos - 30, 0) AS BIGINT)) AS context FROM ({_SQL_MARKS})
@@ -57,7 +54,7 @@ def g07_context_slices(spark, sf_dir):
 SELECT a, b, string_agg(category || ':' || n, ' ' ORDER BY category) AS merged, CAST(sum(n) AS BIGINT) AS total FROM s GROUP BY a, b""")
 def k06_class_merge(spark, sf_dir):
     """What two witnesses share, all classes in one list."""
-    met = W.meetings(editions.rows(spark, sf_dir), "doc_id", "witness").where("same AND category = other")
+    met = editions.met(spark, sf_dir).where("same AND category = other")
     n = met.groupBy("a", "b", "category").agg(F.count(F.lit(1)).alias("n"))
     each = F.array_sort(F.collect_list(F.struct("category", F.concat_ws(":", "category", F.col("n").cast("string")).alias("said"))))
     return n.groupBy("a", "b").agg(F.array_join(F.transform(each, lambda x: x["said"]), " ").alias("merged"), F.sum("n").alias("total"))
