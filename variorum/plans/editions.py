@@ -185,10 +185,12 @@ def h05_transitive_reduction(spark, sf_dir):
     return L.reduce_transitive(lineage(spark, sf_dir)[1]).select("source", "target", "confidence")
 
 
-@registry.add(_LINEAGE + " SELECT name AS node, CAST(year AS BIGINT) AS year, system, is_ancestor FROM nd")
+@registry.add(_LINEAGE + " SELECT name AS node, CAST(year AS BIGINT) AS year, system, is_ancestor, count(target) AS n_children FROM nd LEFT JOIN ed ON source = name GROUP BY ALL")
 def h06_nodes(spark, sf_dir):
-    n = lineage(spark, sf_dir)[0]
-    return n.select(F.col("name").alias("node"), "year", "system", "is_ancestor")
+    """The editions, and to how many younger ones an edge leads from each by the evidence of all documents."""
+    n, edges = lineage(spark, sf_dir)
+    children = edges.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
+    return n.join(children, "name", "left").select(F.col("name").alias("node"), "year", "system", "is_ancestor", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
 
 
 @registry.add(_LINEAGE + """, cn AS (SELECT system, string_agg(name || '(' || year || ')', ' → ' ORDER BY year, ord) AS chain FROM nd GROUP BY system HAVING count(*) >= 2),
