@@ -94,8 +94,13 @@ def note_explanation(category: Column, old: Column, new: Column, sources: Column
     return F.when(F.size(said) > 0, says("按：", F.array_join(said, "，"), "。")).otherwise(alone)
 
 
-def note_text(index: Column, pos: Column, category: Column, action: Column, old: Column, new: Column, sources: Column, explanation: Column, uncertain: Column) -> Column:
-    """A numbered note: place (from 1), what stands there, which editions read what, the explanation, and a sign of doubt."""
+def note_head(index: Column, pos: Column) -> Column:
+    """The number of a note and its place (from 1)."""
+    return F.concat(F.lit("【"), index.cast("string"), F.lit("】第"), (pos + 1).cast("string"), F.lit("字"))
+
+
+def note_tail(category: Column, action: Column, old: Column, new: Column, sources: Column, explanation: Column, uncertain: Column) -> Column:
+    """The rest of a note: what stands there, which editions read what, the explanation, and a sign of doubt."""
     says = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     by = F.array_join(F.transform(sources, short_name), "、")
     some, was, now = by != "", says("“", old, "”"), says("“", new, "”")
@@ -107,4 +112,4 @@ def note_text(index: Column, pos: Column, category: Column, action: Column, old:
         .when(action == "乙", F.when(some, says(reads, "。")).otherwise(says(was, now, "乙。")))
         .otherwise(F.when(~category.isin(*VARIANT), says(was, "，不改。")).when(some, says(reads, "，异体不改。")).otherwise(says(was, now, "异体，不改。")))
     )
-    return says("【", index.cast("string"), "】第", (pos + 1).cast("string"), "字", body, explanation, F.when(uncertain, "（存疑）").otherwise(""))
+    return says(body, explanation, F.when(uncertain, "（存疑）").otherwise(""))
