@@ -9,10 +9,10 @@ a given share of the notice's word trigrams must be in the paragraph.
 Paragraphs end at blank lines, so a notice may run over any number of lines. Each line is a candidate beside its
 paragraph, for texts without blank lines and for notices of several families that follow each other.
 
-Only n-grams with a content word of a notice are features. Every notice has a content word of six letters or more;
-shorter ones (mit, cc) are words of other languages too, so a paragraph without a long one is unknown text by rule, and
-is left out before scoring, whole documents by plain substring tests before any text is split into words. Scoring is one
-projection of built-in functions, the model being two constants of it: no user function, no shuffle.
+Only n-grams with a content word of a notice are features, so every paragraph without one gets the intercepts alone. What
+the model says of these is computed once; as long as it is unknown text or too unsure, such paragraphs need no scoring,
+else they are scored like all others. Scoring is one projection of built-in functions, the model being two constants of
+it: no user function, no shuffle.
 
 Nulls and edge cases: a null or empty text has no paragraphs; a paragraph of any length is scored whole; repeated rows are scanned each; documents without a notice are rows with zero counts and a null family; where the
 sample has no text, notices alone train the model; ties go to the family first in the alphabet.
@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,8 +44,6 @@ NOTICES = {
 }
 #: Function words: no evidence of their own.
 FUNCTION_WORDS = set("a all also an and any are as be been by can following for form found free from in is it may not of or other person possible provided that the this to under use used v version were which with without work you your file on later law met extent author copy deal terms code conditions general public source 0 1 2 3 4".split())
-#: Letters of the words of which a scored paragraph has one at least.
-LONG = 6
 VARIANTS, SAMPLE, MAX_GRAM = 24, 200, 3
 #: Share of a notice's trigrams that confirms a prediction, and the share of unknown paragraphs that may pass the probability.
 CONFIRMED, FALSE_RATE = 0.5, 0.001
@@ -108,7 +104,14 @@ class Scanner:
         self.temperature, self.least = temperature, least
         self.intercepts = [round(float(x), 6) for x in intercepts]
         self.weights = {g: [round(float(x), 6) for x in weights[:, i]] for i, g in enumerate(vocabulary)}
-        self.gate = gate_words()
+        self.content = content_words()
+        self.bare = self.of_bare()
+
+    def of_bare(self) -> bool:
+        """Whether a paragraph without any feature would be told as a notice, before it is confirmed."""
+        z = np.array(self.intercepts)
+        k = int(z.argmax())
+        return self.families[k] != OTHER and float(1 / np.exp((z - z[k]) / self.temperature).sum()) >= self.least
 
     def measured(self, c: Column) -> Column:
         """struct(paragraph, line, words, logits) of a candidate."""
@@ -145,10 +148,6 @@ def content_words() -> list[str]:
     return sorted({w for ts in NOTICES.values() for t in ts for w in py_grams(t, 1, 1)} - FUNCTION_WORDS)
 
 
-def gate_words() -> list[str]:
-    return [w for w in content_words() if len(w) >= LONG]
-
-
 def vocabulary() -> list[str]:
     content = set(content_words())
     return sorted({g for ts in NOTICES.values() for t in ts for g in py_grams(t, 1, MAX_GRAM) if content & set(g.split())})
@@ -201,12 +200,15 @@ def fit(documents: DataFrame) -> Scanner:
 
 
 def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:
-    """doc_id, n_paragraphs, n_candidates (lines and paragraphs with a long content word), n_notices (confirmed lines, and paragraphs confirmed for a family that none of their lines has), families (sorted, joined by commas; null: none) and probability (the surest)."""
-    gate = F.array(*map(F.lit, scanner.gate))
+    """doc_id, n_paragraphs, n_candidates (lines and paragraphs with a content word), n_notices (confirmed lines, and paragraphs confirmed for a family that none of their lines has), families (sorted, joined by commas; null: none) and probability (the surest)."""
+    content = F.array(*map(F.lit, scanner.content))
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", paragraphs(text).alias("paragraphs"), F.lower(text).alias("low"))
-    possible = reduce(or_, [F.contains(F.col("low"), F.lit(w)) for w in scanner.gate])
-    near = F.when(possible, F.filter(candidates(F.col("paragraphs")), lambda c: F.arrays_overlap(words(c["p"]), gate))).otherwise(F.array().cast(CANDIDATES))
+    # the same as a word of content in words(), for a whole text
+    possible = F.col("low").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(scanner.content) + r")(?![\p{L}\p{N}])")
+    every = candidates(F.col("paragraphs"))
+    none = F.array().cast(CANDIDATES)
+    near = every if scanner.bare else F.when(possible, F.filter(every, lambda c: F.arrays_overlap(words(c["p"]), content))).otherwise(none)
     rows = rows.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), near.alias("near"))
     rows = rows.withColumn("judged", F.transform(F.transform("near", scanner.measured), scanner.judged))
     sure = F.filter("judged", lambda x: (x["family"] != OTHER) & (x["probability"] >= scanner.least) & scanner.confirmed(x))
