@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import marks
 from ..operators import variants as V
 from ..query import Registry, table
 from .collation import _SQL_READINGS, long_readings, mark_witness, readings
@@ -102,13 +103,7 @@ r AS (SELECT doc_id, unnest(x[2:]) AS a, unnest(y[2:]) AS b, generate_subscripts
 SELECT doc_id, count(*) FILTER (WHERE a <> '') AS n_base, count(*) FILTER (WHERE b <> '') AS n_other, count(*) FILTER (WHERE a <> b) AS n_different, CAST(coalesce(min(pos) FILTER (WHERE a <> b), -1) AS BIGINT) AS first_pos FROM r GROUP BY doc_id""")
 def f15_basic_compare(spark, sf_dir):
     """C10 of both texts side by side. Both have the same clean text, so no join is needed."""
-    t = F.col("text")
-    g = table(spark, sf_dir, "documents").select("doc_id", V.basic_gaps(t).alias("a"), V.basic_gaps(mark_witness(t)).alias("b"))
-    differ = F.zip_with("a", "b", lambda x, y: x != y)
-    filled = lambda c: F.size(F.filter(c, lambda x: x != "")).cast("long")
-    at = F.array_position(differ, F.lit(True))
-    d = g.where(F.size("a") > 0).select("doc_id", filled("a").alias("n_base"), filled("b").alias("n_other"), F.size(F.filter(differ, lambda x: x)).cast("long").alias("n_different"), at.alias("at"))
-    return d.select("doc_id", "n_base", "n_other", "n_different", (F.col("at") - 1).alias("first_pos"))
+    return marks.basic_gaps(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), mark_witness(F.col("text")))
 
 
 @registry.add(f"""WITH d AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN '' ELSE b END AS new FROM ({_SQL_READINGS}) WHERE b <> base AND pos % 7 <> 0),
