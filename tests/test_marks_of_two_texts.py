@@ -89,3 +89,12 @@ def test_basic_gaps_of_a_long_text(spark, tmp_path):
     spark.createDataFrame([(1, LONG * 4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got, seconds = timed(variants.f15_basic_compare(spark, str(tmp_path)))
     assert tuple(got) == (1, 1_200_000, 1_200_000, 1_200_000, 2) and seconds < 20
+
+
+def test_contexts_of_a_long_text(spark, tmp_path):
+    from variorum.plans import listings
+
+    spark.createDataFrame([(1, LONG)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    all_ = listings.g07_context_slices(spark, str(tmp_path)).agg(F.count(F.lit(1)), F.sum("pos"), F.count_if(F.length("context") == 60), F.max(F.struct("pos", "context")))
+    got, seconds = timed(all_)
+    assert got[:3] == (300_000, 2 * 300_000 + 3 * sum(range(300_000)), 299_980) and got[3] == (899_999, "b" + "字ab" * 10) and seconds < 20

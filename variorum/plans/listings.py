@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.marks import MARK
 from ..operators import lineage as L
 from ..operators import quizzes
@@ -43,11 +42,8 @@ def g22_difference_total(spark, sf_dir):
 JOIN (SELECT doc_id, regexp_replace({_SQL_SPACELESS}, '{MARK}', '', 'g') AS c FROM documents) USING (doc_id)""")
 def g07_context_slices(spark, sf_dir):
     """Thirty clean characters on either side of each difference of marks."""
-    docs = table(spark, sf_dir, "documents")
-    d = mark_differences(docs).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kind")).alias("d"))  # so that a text goes along once
-    first = lambda x: F.greatest(x["pos"] - 30, F.lit(0)).cast("int")
-    cut = F.transform("d", lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), F.substring(F.col("c"), first(x) + 1, (x["pos"] + 30).cast("int") - first(x)).alias("context")))
-    return docs.select("doc_id", T.strip_marks(F.col("text")).alias("c")).join(d, "doc_id").select("doc_id", F.inline(cut))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    return mark_differences(docs, context=30).select("doc_id", "pos", "kind", "context")
 
 
 @registry.add(_MET + """, s AS (SELECT a, b, category, count(*) AS n FROM m WHERE same AND category = other GROUP BY ALL)
