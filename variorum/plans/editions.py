@@ -113,10 +113,10 @@ p AS (SELECT doc_id, '{BASE}' AS a, w AS b, n - departed AS m, 2 * n + added - o
 
 
 def similarities(spark, sf_dir: str) -> DataFrame:
-    """Likeness of all editions of each document. Readings and meetings go on as their numbers by document, witness and class."""
-    own = cut(W.tallied(rows(spark, sf_dir, gathered=True), "doc_id", "witness", "category"))
+    """Likeness of all editions of each document. Readings are found once, and go on as the different kinds of places that a document has."""
+    places = cut(W.alike_places(rows(spark, sf_dir, gathered=True), "doc_id", "witness", NAMES))
     lengths = table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize_collation(F.coalesce("text", F.lit("")))).alias("n"))
-    return W.axis_similarity(lengths, own, W.tallied(met(spark, sf_dir), "doc_id", *W.MET), "doc_id", "witness", NAMES, BASE)
+    return W.axis_similarity(lengths, *W.tallied_places(places, "doc_id", "witness"), "doc_id", "witness", NAMES, BASE)
 
 
 @registry.add(_AXIS + " SELECT doc_id, a, b, CAST(m AS BIGINT) AS m, CAST(t AS BIGINT) AS t, round(CASE WHEN t = 0 THEN 1.0 ELSE 2.0 * m / t END, 4) AS sim FROM p")
