@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from cases import words
 
@@ -93,3 +94,21 @@ def test_all_stages(spark, tmp_path, corpus):
     assert counts == [len(rows()), *[len(groups(rows()))] * 3]
     ids = sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
     assert ids == sorted((min((i for i, _ in g if i is not None), default=None) for g in groups(rows())), key=str)
+
+
+def test_small_batches(spark, tmp_path):
+    """Every stage leaves a session whose tasks get texts in batches of a few MB: 10,000 long texts at once are 30 MB in each worker, and twice that in its executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, " ".join(words(50, 1)), "en", "web", 300)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 3000) text")
+    sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        stage(spark, docs, str(tmp_path))
+        assert sizes.agg({"n": "max"}).first()[0] < common.BATCH + 10_000
+    spark.conf.set(name, "1m")
+    common.bounded(docs)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)

@@ -154,7 +154,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for b in slices(batches, 1000, 2 << 20):
+        for b in slices(batches, 1000, 1 << 20):
             found = sets(b.column(2))
             n = np.array([len(u) for u in found], np.int64)
             cls = np.array([class_of(u) if len(u) else 0 for u in found], np.uint64).view(np.int64)
@@ -173,7 +173,7 @@ def subsets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, bands, seen, shared = Sets(), Bands(), set(), Known(1 << 18)
-        for b in slices(batches, 1000, 2 << 20):
+        for b in slices(batches, 1000, 1 << 20):
             found: list[tuple] = []
             for u in sets(b.column(0)):
                 if len(u) and (name := class_of(u)) not in seen:
@@ -242,7 +242,7 @@ def sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for b in slices(batches, 500, 2 << 20):
+        for b in slices(batches, 500, 1 << 20):
             found = sets(b.column(1))
             bits = [np.packbits(np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes() for u in found]
             at = np.concatenate([[0], np.cumsum([len(u) for u in found])]).astype(np.int32)
