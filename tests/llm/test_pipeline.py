@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from cases import words
 
-from variorum.llm import common, decontamination, jaccard_join
+from variorum.llm import byte_bpe, common, decontamination, jaccard_join
 
 BIG = (1 << 62) + 5
 TOP = (1 << 63) - 1
@@ -112,3 +112,8 @@ def test_small_batches(spark, tmp_path):
     common.bounded(docs)
     assert spark.conf.get(name) == "1m"
     spark.conf.unset(name)
+
+
+def test_tokens_by_any_blocks(spark, corpus):
+    ids = [sorted(map(str, byte_bpe.encode(corpus, *byte_bpe.vocabulary(), block=n).select("doc_id", "text", "ids").collect())) for n in (byte_bpe.BLOCK, 1 << 20, 1000)]
+    assert ids[0] == ids[1] == ids[2]

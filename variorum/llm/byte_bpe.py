@@ -258,13 +258,13 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def encode(documents: DataFrame, lines: bytes, pattern: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """The rows with a column ids (array of int; a column of that name is replaced); or, with digest, doc_id and hashes of the ids and of what they decode to."""
+def encode(documents: DataFrame, lines: bytes, pattern: str, text: str = "text", digest: bool = False, block: int = BLOCK) -> DataFrame:
+    """The rows with a column ids (array of int; a column of that name is replaced); or, with digest, doc_id and hashes of the ids and of what they decode to. Smaller blocks take less memory and more time."""
     shared = documents.sparkSession.sparkContext.broadcast((lines, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(*shared.value)
-        for b in slices(batches, 2000, BLOCK):
+        for b in slices(batches, 2000, block):
             ids, at = coder.encode(b.column(b.schema.get_field_index(text)))
             if digest:
                 back, raw = coder.decode(ids), ids.astype("<u4").tobytes()
