@@ -455,6 +455,44 @@ def test_decontamination_of_paraphrases(spark):
     assert caught["short"] == total["short"] and not [d for d, _ in found if d >= clean]
 
 
+def test_decontamination_of_whole_tables(spark, monkeypatch):
+    """The decomposition is that of all documents and items; items of few words and without an item_id are found; nothing that a comparison with every passage finds is lost."""
+    r = random.Random(4)
+    vocabulary = list(dict.fromkeys(words(1500, 2)))
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(k, text(r.randint(15, 60))) for k in range(12)] + [(None, text(30)), (50, "zyx"), (51, "Zyx, wvu"), (52, "one zyx wvu")]
+    rows = [(k, text(r.randint(5, 120)) + " " + items[k % 13][1] if k % 9 == 0 else text(r.randint(5, 60))) for k in range(700)]
+    rows += [(800, "a zyx here"), (801, "one (zyx wvu) " + text(200)), (802, "wvu one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    product, seen = decontamination.product, []
+    monkeypatch.setattr(decontamination, "product", lambda texts, *more: [seen.append(texts.count()), product(texts, *more)][1])
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, bench).collect()}
+    assert set(seen) == {len(rows) + len(items)}
+    assert {(800, 50), (801, 50), (801, 51), (801, 52)} <= got and not [x for x in got if x[0] == 802]
+    assert {(k, items[k % 13][0]) for k in range(0, 700, 9)} <= got
+    monkeypatch.setattr(decontamination, "COSINE", -2.0)
+    every = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, bench).collect()}
+    assert got <= every and len(got) >= 0.9 * len(every)
+
+
+def test_product_of_passages():
+    """A block's part of the product against one passage after the other."""
+    r = np.random.default_rng(1)
+    at = np.array([0, 0, 500, 530, 9000])
+    h = r.integers(0, 900, at[-1]).astype(np.uint64)
+    idf, right, weight = r.random(decontamination.FEATURES).astype(np.float32), r.random((decontamination.FEATURES, 8)).astype(np.float32), np.array([1.0, 1.0, 7.0, 2.0])
+    got, want = np.zeros_like(right), np.zeros(right.shape)
+    decontamination.add_product(h, at, weight, idf, right, got)
+    for k in range(4):
+        for i in range(at[k], at[k + 1], decontamination.PART):
+            f, n = np.unique(h[i : min(i + decontamination.PART, at[k + 1])].astype(np.int64), return_counts=True)
+            w = n * idf[f].astype(float)
+            w *= np.sqrt(weight[k] / (w @ w))
+            want[f] += np.outer(w, w @ right[f])
+    assert np.abs(got - want).max() < 1e-4 * want.max()
+
+
 def test_quality_classifier(spark, sf_dir, docs, empty):
     got = quality_classifier.op10_quality_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.quality == got.predicted).mean() > 0.9
