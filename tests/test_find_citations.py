@@ -127,3 +127,18 @@ def test_common_subsequence():
                 for k in range(1, len(row)):
                     row[k] = last[k - 1] + 1 if text[i + k - 1] == c else max(last[k], row[k - 1])
             assert row[-1] == g
+
+
+def test_pairs_that_may_reach():
+    """All citations and windows of a text at once give what one citation after the other gives, for words of 32 and 64 bits."""
+    r = random.Random(7)
+    for letters, longest in (("abcdef, gh", 24), ("ab，c", 64), ("甲乙丙丁戊。", 40)):
+        text = "".join(r.choice(letters) for _ in range(900))
+        t = C.Text(text)
+        at = np.array(sorted({r.randrange(len(text)) for _ in range(200)} | {0, len(text) - 1}))
+        begin, end = np.maximum(at - 10, 0), np.minimum(at + 11, len(text))
+        asked = [PASSED_OVER.sub("", spoiled(r, text[k : k + r.randint(3, longest)], 0.1)) for k in (r.randrange(850) for _ in range(120))]
+        asked = [a for a in asked if a]
+        pattern, window = t.may_reach(asked, begin, end, 0.75)
+        want = {(k, w) for k, a in enumerate(asked) for w in np.flatnonzero(C.reach_of(t.common(a, begin, end), len(a) + t.before[end] - t.before[begin], 0.75)).tolist()}
+        assert set(zip(pattern.tolist(), window.tolist(), strict=True)) == want and len(want) == len(pattern) > 50

@@ -22,8 +22,10 @@ from .sentences import PASSED_OVER, in_steps
 WIDER, LEAST, BEST = 15, 0.7, 10
 RANGE_BEST, RANGE, RANGE_TIMES, SHOWN, SURE = 5, 300, 20, 80, 0.9
 AROUND, AROUND_LEAST = 10, 0.75
-#: Windows that are bounded together.
-TOGETHER = 20_000
+#: Windows that are bounded together, and windows of patterns where all patterns of a text are.
+TOGETHER, CELLS = 20_000, 1 << 16
+#: Characters of windows and citations of a batch that are matched together.
+MATCHED = 1 << 20
 
 
 class Text:
@@ -64,6 +66,35 @@ class Text:
             out[i : i + TOGETHER] = 64 * words - ones
         return out
 
+    def may_reach(self, patterns: list[str], begin: np.ndarray, end: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (pattern, window) whose longest common subsequence allows a likeness of `least`, for clean patterns of 1 to 64 characters. All pairs take a step together: a row of words is a window, a word of it a pattern."""
+        known = np.array(sorted({ord(c) for p in patterns for c in p}), np.uint32)
+        word = np.uint32 if max(map(len, patterns)) <= 32 else np.uint64
+        mask = np.zeros((len(known) + 1, len(patterns)), word)
+        sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
+        letter = np.searchsorted(known, np.frombuffer("".join(patterns).encode("utf-32-le", "surrogatepass"), np.uint32))
+        of = np.repeat(np.arange(len(patterns)), sizes)
+        bit = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        np.bitwise_or.at(mask, (letter, of), word(1) << bit.astype(word))
+        at = np.minimum(np.searchsorted(known, self.code), len(known) - 1)
+        index = np.append(np.where((known[at] == self.code) & self.kept, at, len(known)), len(known)) if len(self.code) else np.array([len(known)])
+        some = max(1, CELLS // len(patterns))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(0, len(begin), some):
+            b, e = begin[i : i + some], end[i : i + some]
+            v = np.full((len(b), len(patterns)), ~word(0))
+            for s in range(int((e - b).max(initial=0))):
+                u = mask[index[np.where(b + s < e, b + s, len(self.code))]]
+                u &= v
+                left = v ^ u
+                v += u
+                v |= left
+            most = v.itemsize * 8 - np.bitwise_count(v).astype(np.int64)
+            total = (self.before[e] - self.before[b])[:, None] + sizes
+            window, pattern = np.nonzero(reach_of(most, total, least))
+            found.append((pattern, window + i))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def likeness(self, pattern: str, begin: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
         """The likeness of the pattern and each window where it is `least` or more, else -1."""
         pattern = PASSED_OVER.sub("", pattern)
@@ -186,13 +217,53 @@ def find_citations(texts: DataFrame, citations: DataFrame) -> DataFrame:
 def citations_at(texts: DataFrame, citations: DataFrame, positions: DataFrame, around: int = AROUND, least: float = AROUND_LEAST) -> DataFrame:
     """Key, id, position (from 0), similarity, confidence and matched: the citations that are like what stands around positions (key, position) of their text."""
     at = positions.groupBy("key").agg(F.array_sort(F.collect_set("position")).alias("at"))
-    both = asked(texts, citations.join(at, "key"), "at")
+    both = asked(texts, citations).join(at, "key")
+    kinds = dict(both.dtypes)
+    of = both.schema["asked"].dataType.elementType["id"].dataType.simpleString()
+    names = ["key", "id", "position", "similarity", "confidence", "matched"]
 
-    def find(t: Text, a: dict) -> list[tuple]:
-        p = np.array(a["at"], np.int64)
-        p = p[(p >= 0) & (p < max(1, len(t.code)))]
+    def near(t: Text, citations: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Pairs (citation, position) that may be alike, and the windows and clean citations."""
         begin, end = np.maximum(p - around, 0), np.minimum(p + around + 1, len(t.code))
-        sim = t.likeness(a["citation"] or "", begin, end, least)
-        return [(int(p[k]), float(sim[k]), "high" if sim[k] >= SURE else "medium", t.text[begin[k] : end[k]]) for k in np.flatnonzero(sim >= least).tolist()]
+        clean = [PASSED_OVER.sub("", c) for c in citations]
+        sizes = np.fromiter(map(len, clean), np.int64, len(clean))
+        window = t.before[end] - t.before[begin]
+        c, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        some = np.flatnonzero((sizes > 0) & (sizes <= 64))
+        if len(some):
+            x, y = t.may_reach([clean[k] for k in some.tolist()], begin, end, least)
+            c.append(some[x])
+            w.append(y)
+        for k in np.flatnonzero((sizes == 0) | (sizes > 64)).tolist():  # by lengths alone; these are few
+            y = np.flatnonzero(reach_of(np.minimum(window, sizes[k]), window + sizes[k], least) if sizes[k] else (window == 0) | (least <= 0))
+            c.append(np.full(len(y), k))
+            w.append(y)
+        c, w = np.concatenate(c), np.concatenate(w)
+        order = np.lexsort((w, c))
+        return c[order], w[order], begin, end, clean
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = [b.schema.field(0).type, b.schema.field(2).type.value_type.field("id").type, pa.int32(), pa.float64(), pa.string(), pa.string()]
+            rows: list[tuple] = []
+            size = 0
 
-    return _mapped(both, find, "position int, similarity double, confidence string, matched string")
+            def matched(rows: list[tuple], types: list = types) -> pa.RecordBatch:
+                sims = in_steps([r[4] for r in rows], [PASSED_OVER.sub("", r[3]) for r in rows]).tolist()
+                found = [(key, id_, at, s, "high" if s >= SURE else "medium", text) for (key, id_, at, text, _), s in zip(rows, sims, strict=True) if s >= least]
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * len(types), types, strict=True)], names)
+
+            for key, text, own, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = Text(text or "")
+                p = np.array(places, np.int64)
+                p = p[(p >= 0) & (p < max(1, len(t.code)))]
+                c, w, begin, end, clean = near(t, [a["citation"] or "" for a in own], p)
+                for k, i, j, q in zip(c.tolist(), begin[w].tolist(), end[w].tolist(), p[w].tolist(), strict=True):
+                    rows.append((key, own[k]["id"], q, t.text[i:j], clean[k]))
+                    size += j - i + len(clean[k])
+                if size > MATCHED:
+                    yield matched(rows)
+                    rows, size = [], 0
+            yield matched(rows)
+
+    return both.select("key", "text", "asked", "at").mapInArrow(run, f"key {kinds['key']}, id {of}, position int, similarity double, confidence string, matched string")
