@@ -156,3 +156,19 @@ def test_definitive(spark):
     docs = spark.createDataFrame(texts, "k int, text string").repartition(3)
     got = D.definitive(docs, spark.createDataFrame(differences, "k int, id int, pos int, kind string, y string"), spark.createDataFrame(decisions, "k int, id int, second boolean, note string"), "k")
     assert {x.k: (x.text, [tuple(n) for n in x.notes], *tuple(x)[3:]) for x in got.collect()} == want
+
+
+def test_bounds_of_blocks():
+    """What the lengths and common subsequences let a block score at most is no less than what it scores, and long texts and equal ones have the matcher's likeness."""
+    r = random.Random(3)
+    for _ in range(20):
+        s = [words(r, r.randint(1, 9)).replace(" ", "") for _ in range(9)]
+        one, two = s, [x.replace("e", "é", r.randint(0, 2)) for x in s if r.random() < 0.8] or [""]
+        p = B._Pair(one, two)
+        for most, m, n, sim in B._most(p):
+            (got, scored), = B._tell([(p, m, n)])
+            assert got == likeness("".join(one[:m]), "".join(two[:n])) <= sim and scored <= most + 1e-12
+            assert p.next(m, n) is None or B._behind(B._Pair(one, two), 0, 0) >= 0.0
+    long = words(r, 900)
+    texts = [(long, long[:2000] + "x" + long[2000:]), (long, long), ("ab" * 150, "ab" * 150), ("ab", "ab"), ("", ""), ("", "a")]
+    assert B.ratios([a for a, _ in texts], [b for _, b in texts]) == [likeness(a, b) for a, b in texts]

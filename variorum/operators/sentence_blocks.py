@@ -3,12 +3,15 @@
 A block takes up to eight sentences of either side: those whose likeness, less what unequal numbers cost and with what a
 like pair behind the block is worth, is greatest. Texts are cut, cleaned and put together by expressions; a task only
 chooses the numbers. It steps through many pairs at once, so that one call of the alignment kernel serves them all, and
-leaves out what its lengths keep from the best score.
+leaves out what the longest common subsequences of its texts keep from the best score; what may score most is compared first.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
-from .align import matching_blocks
+from .align import matching_blocks, popular
 
 #: The sentences of a block's side, what equal numbers are worth and unequal ones cost, what a block of like
 #: sentences gains by its size, from which likeness on, what the pair behind it adds, from which likeness on, and the
 #: likeness below which texts differ.
 MOST, EVEN, UNEVEN, LARGER, LIKE, BEHIND, LIKE_BEHIND, SAME = 8, 0.05, 0.03, 0.01, 0.9, 0.1, 0.8, 0.95
 #: Pairs of texts that step together, and characters that are compared in one call.
-TOGETHER, CALL = 64, 1 << 20
+TOGETHER, CALL = 256, 1 << 20
+#: Characters of two texts up to which the standard library's matcher, which the kernel follows, takes less time than a call of the kernel.
+SHORT = 4096
 
 STEP = StructType(
     [StructField(n, IntegerType()) for n in ("begin1", "count1", "begin2", "count2", "start1", "end1", "start2", "end2")]
@@ -35,13 +40,28 @@ _STEP = pa.list_(pa.struct([(f.name, pa.int32()) for f in STEP.fields[:8]] + [("
 
 def ratios(left: list[str], right: list[str]) -> list[float]:
     """Twice the matched over all characters of each pair, by the matcher's heuristic; two empty texts are alike."""
+    out = [1.0] * len(left)
+    some = []
+    matcher = SequenceMatcher()
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        # equal texts are matched whole, unless all characters of a long one are popular
+        if x == y and (len(y) < 200 or not popular([y]).all()):
+            continue
+        if len(x) + len(y) > SHORT:
+            some.append(k)
+            continue
+        matcher.set_seq2(y)  # of the same right text it keeps what it knows
+        matcher.set_seq1(x)
+        out[k] = matcher.ratio()
+    left, right = [left[k] for k in some], [right[k] for k in some]
     total = np.fromiter((len(x) + len(y) for x, y in zip(left, right, strict=True)), np.int64, len(left))
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(total) // CALL)) + 1).tolist(), len(left)] if len(left) else [0]
-    out: list[float] = []
     for i, j in zip(edges, edges[1:], strict=False):
-        pair, _, _, size = matching_blocks(left[i:j], right[i:j], autojunk=True)
-        same = np.bincount(pair, size, j - i)
-        out += [2.0 * s / t if t else 1.0 for s, t in zip(same.tolist(), total[i:j].tolist(), strict=True)]
+        if j > i:
+            pair, _, _, size = matching_blocks(left[i:j], right[i:j], autojunk=True)
+            same = np.bincount(pair, size, j - i)
+            for k, s, t in zip(some[i:j], same.tolist(), total[i:j].tolist(), strict=True):
+                out[k] = 2.0 * s / t
     return out
 
 
@@ -67,6 +87,7 @@ class _Pair:
         self.at = [0, 0]
         self.out: list[dict] = []
         self.behind: dict[tuple[int, int], float] = {}
+        self.most: dict[tuple[int, int], float] = {}  # the same before it is known, at most
 
     def more(self) -> bool:
         return self.at[0] < len(self.side[0]) and self.at[1] < len(self.side[1])
@@ -102,34 +123,92 @@ def _tell(asked: list[tuple[_Pair, int, int]]) -> list[tuple[float, float]]:
     return [(s, score(m, n, s, p.behind.get(p.next(m, n), 0.0))) for (p, m, n), s in zip(asked, sims, strict=False)]
 
 
-def steps(pairs: list[tuple[list[str], list[str]]]) -> list[list[dict]]:
-    """The blocks of each pair of lists of cleaned sentences. Of equal scores the fewest sentences of the left, then of the right win. What one side has left over is a block without likeness."""
-    all_ = [_Pair(*p) for p in pairs]
-    while open_ := [p for p in all_ if p.more()]:
-        best: dict[int, tuple[float, int, int, float]] = {}
-
-        def meet(asked: list[tuple[_Pair, int, int]], best: dict = best) -> None:
-            for (p, m, n), (sim, s) in zip(asked, _tell(asked), strict=True):
-                best[id(p)] = max(best.get(id(p), (-np.inf, 0, 0, 0.0)), (s, -m, -n, sim))
-
-        room = {id(p): tuple(min(MOST, len(p.side[k]) - p.at[k]) for k in (0, 1)) for p in open_}
-        meet([(p, k, k) for p in open_ for k in range(1, min(room[id(p)]) + 1)])
-        others = []
-        for p in open_:
+def _common(a: str, cuts: list[int], parts: list[str]) -> list[list[int]]:
+    """The longest common subsequences of the first parts together and each beginning a[:cut]: no likeness matches more. A bit of a number is a character of a, zero where the sequence grows."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    v = full = (1 << len(a)) - 1
+    low = [(1 << c) - 1 for c in cuts]
+    out = []
+    for s in parts:
+        for c in s:
+            m = where.get(c)
+            if m is not None:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        out.append([c - (v & x).bit_count() for c, x in zip(cuts, low, strict=True)])
+    return out
+
+
+def _behind(p: _Pair, m: int, n: int) -> float:
+    """The greatest likeness of the sentences behind a block."""
+    k = p.next(m, n)
+    if k is None:
+        return 0.0
+    if k not in p.behind and k not in p.most:
+        a, b = p.side[0][k[0]], p.side[1][k[1]]
+        p.most[k] = 2.0 * _common(a, [len(a)], [b])[0][0] / (len(a) + len(b)) if a or b else 1.0
+    return p.behind[k] if k in p.behind else p.most[k]
+
+
+def _most(p: _Pair) -> list[tuple[float, int, int, float]]:
+    """What each block may score at most (whatever is behind it), its sentences, and its greatest likeness."""
+    room = [min(MOST, len(p.side[k]) - p.at[k]) for k in (0, 1)]
+    cuts = [p.size(0, m) for m in range(1, room[0] + 1)]
+    common = _common("".join(p.side[0][p.at[0] : p.at[0] + room[0]]), cuts, p.side[1][p.at[1] : p.at[1] + room[1]])
+    out = []
+    for n in range(1, room[1] + 1):
+        for m in range(1, room[0] + 1):
+            total = cuts[m - 1] + p.size(1, n)
+            sim = 2.0 * common[n - 1][m - 1] / total if total else 1.0
+            out.append((score(m, n, sim, 1.0 if p.next(m, n) else 0.0), m, n, sim))
+    return sorted(out, reverse=True)
+
+
+def _step(open_: list[_Pair]) -> None:
+    """One block more for each pair. Blocks are compared in the order of what they may score, some at a time, until no other can score as much as the best."""
+    best = {id(p): (-np.inf, 0, 0, 0.0) for p in open_}
+    left = {id(p): _most(p) for p in open_}
+    going, some = open_, 1
+    while going:
+        asked = [(p, m, n) for p in going for _, m, n, _ in sorted(left[id(p)][:some], key=lambda x: x[2])]
+        for (p, m, n), (sim, s) in zip(asked, _tell(asked), strict=True):
+            best[id(p)] = max(best[id(p)], (s, -m, -n, sim))
+        for p in going:
             least = best[id(p)][0] - 1e-9
-            for m in range(1, room[id(p)][0] + 1):
-                for n in range(1, room[id(p)][1] + 1):
-                    if m != n and score(m, n, _reach(p.size(0, m), p.size(1, n)), 1.0 if p.next(m, n) else 0.0) >= least:
-                        others.append((p, m, n))
-        meet(others)
-        for p in open_:
-            _, m, n, sim = best[id(p)]
-            p.add(-m, -n, sim)
-    for p in all_:
-        left = [len(p.side[k]) - p.at[k] for k in (0, 1)]
-        if any(left):
-            p.add(*left, None)
-    return [p.out for p in all_]
+            left[id(p)] = [x for x in left[id(p)][some:] if x[0] >= least and score(x[1], x[2], x[3], _behind(p, x[1], x[2])) >= least]
+        going, some = [p for p in going if left[id(p)]], some * 4
+    for p in open_:
+        _, m, n, sim = best[id(p)]
+        p.add(-m, -n, sim)
+
+
+def stepped(pairs: Iterator[tuple[list[str], list[str]]]) -> Iterator[list[dict]]:
+    """The blocks of each pair of lists of cleaned sentences, in order. Of equal scores the fewest sentences of the left, then of the right win. What one side has left over is a block without likeness. TOGETHER pairs step together; where one is done another takes its place."""
+    waiting: deque[_Pair] = deque()
+    open_: list[_Pair] = []
+    more = True
+    while more or waiting:
+        while more and len(open_) < TOGETHER:
+            p = next(pairs, None)
+            more = p is not None
+            if more:
+                waiting.append(_Pair(*p))
+                open_ += [waiting[-1]] if waiting[-1].more() else []
+        if open_:
+            _step(open_)
+            open_ = [p for p in open_ if p.more()]
+        while waiting and not waiting[0].more():
+            p = waiting.popleft()
+            left = [len(p.side[k]) - p.at[k] for k in (0, 1)]
+            if any(left):
+                p.add(*left, None)
+            yield p.out
+
+
+def steps(pairs: list[tuple[list[str], list[str]]]) -> list[list[dict]]:
+    return list(stepped(iter(pairs)))
 
 
 def chosen(rows: DataFrame, one: str, two: str) -> DataFrame:
@@ -138,10 +217,10 @@ def chosen(rows: DataFrame, one: str, two: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found = stepped(zip(*(b.column(i).to_pylist() for i in at), strict=True))
             for k in range(0, b.num_rows, TOGETHER):
                 part = b.slice(k, TOGETHER)
-                found = steps(list(zip(*(part.column(i).to_pylist() for i in at), strict=True)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, _STEP)], [*part.schema.names, "steps"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(islice(found, part.num_rows)), _STEP)], [*part.schema.names, "steps"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("steps", ArrayType(STEP))]))
 
