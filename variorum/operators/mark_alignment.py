@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import align
+from .graph import cut
 from .marks import mark_map
 
 _SEGMENT = ["k", "type", "i1", "i2", "j1", "j2"]
@@ -28,8 +29,8 @@ def _placed(marks: DataFrame, segments: DataFrame, begin: str, end: str) -> Data
 def mark_differences(pairs: DataFrame, key: str, one: str, two: str, fold: tuple[str, str] = ("", "")) -> DataFrame:
     """key, id (from 1), pos1, pos2, character1, character2 ('' where the other text has none), x, y (marks of either text), kind. Of several at one pos1 the first in the order of the alignment stays; where a text lacks a character, the one before it stands for its place."""
     rows = pairs.select(F.col(key).alias("key"), F.col(one).alias("one"), F.col(two).alias("two")).withColumns({"a": T.strip_marks(F.col("one")), "b": T.strip_marks(F.col("two"))})
-    aligned = align.align(rows.select("key", "a", "b"), "a", "b", fold, autojunk=True).select("key", "a", "b", F.posexplode("segments").alias("k", "s"))
-    segments = aligned.select("key", "k", "s.type", "s.i1", "s.i2", "s.j1", "s.j2")
+    aligned = align.align(rows.select("key", "a", "b"), "a", "b", fold, autojunk=True).select("key", F.posexplode("segments").alias("k", "s"))
+    segments = cut(aligned.select("key", "k", "s.type", "s.i1", "s.i2", "s.j1", "s.j2"))  # aligned once for both sides
     p = _placed(mark_map(rows.select("key", "one"), "key", "one"), segments, "i1", "i2")
     q = _placed(mark_map(rows.select("key", "two"), "key", "two"), segments, "j1", "j2")
     both = F.least(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
@@ -45,5 +46,5 @@ def mark_differences(pairs: DataFrame, key: str, one: str, two: str, fold: tuple
     found = met.union(lost).union(won)
     once = found.withColumn("nth", F.row_number().over(Window.partitionBy("key", "pos1").orderBy("k", "pos2"))).where("nth = 1")
     char: Column = lambda t, at: F.substring(t, F.col(at) + 1, F.lit(1))
-    told = once.join(rows.select("key", "a", "b"), "key").withColumn("id", F.row_number().over(Window.partitionBy("key").orderBy("pos1")))
+    told = once.withColumn("id", F.row_number().over(Window.partitionBy("key").orderBy("pos1"))).join(rows.select("key", "a", "b"), "key")  # numbered before the texts come in
     return told.select(F.col("key").alias(key), "id", "pos1", "pos2", char(F.col("a"), "pos1").alias("character1"), F.when(F.col("has2"), char(F.col("b"), "pos2")).otherwise("").alias("character2"), "x", "y", T.mark_difference(F.col("x"), F.col("y")).alias("kind"))
