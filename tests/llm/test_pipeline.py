@@ -81,6 +81,14 @@ def test_leaks(spark, tmp_path, corpus):
     assert kept == sorted((r for k, r in enumerate(rows()) if k not in found), key=str)
 
 
+def test_leaks_of_items_without_id(spark, tmp_path, corpus):
+    """An item without an item_id and one of two words are leaks as any other."""
+    text = words(90, 41)
+    spark.createDataFrame([(None, " ".join(text[20:60])), (2, "qqqq wwww")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "a qqqq wwww b"), (3, "another text of few words")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()] == [3]
+
+
 def test_all_stages(spark, tmp_path, corpus):
     """Without labels every document scores 0.5 and stays; windows of 35 words are the leaking item's only, so those texts lose it before the leaks are looked for."""
     corpus.write.parquet(f"{tmp_path}/documents.parquet")
